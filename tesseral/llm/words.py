@@ -14,6 +14,7 @@ FUNCTION_WORDS = {
     "es": "el la los las de que y en un una por con para del se no es al lo como más pero sus su fue".split(),
 }
 LANGUAGES = tuple(FUNCTION_WORDS)
+FUNCTION = frozenset(w for words in FUNCTION_WORDS.values() for w in words)
 _STRIP = "\"'`.,;:!?()[]{}<>|*&%$#@~^_-+=/\\«»„“”‚‘’¿¡…"
 
 
@@ -61,13 +62,11 @@ def kept(name, make):  # noqa: ANN001, ANN201
     return _kept[name]
 
 
-_language_rows: dict[str, tuple[float, ...]] = {}
-for _k, _words in enumerate(FUNCTION_WORDS.values()):
-    for _w in _words:
-        _language_rows[_w] = tuple(x + (i == _k) for i, x in enumerate(_language_rows.get(_w, (0.0,) * len(LANGUAGES))))
+_NO_LANGUAGE = (0.0,) * len(LANGUAGES)
+#: How much a function word speaks for each of LANGUAGES; one that several share counts less for each.
+_language_rows = {w: tuple((w in words) / sum(w in x for x in FUNCTION_WORDS.values()) for words in FUNCTION_WORDS.values()) for w in FUNCTION}
 
 
 def language_row(word: str) -> tuple[float, ...]:
-    """How much a plain word speaks for each of LANGUAGES: words shared by several count less for each."""
-    row = _language_rows.get(word)
-    return tuple(x / sum(row) for x in row) if row else (0.0,) * len(LANGUAGES)
+    """How much a plain word speaks for each of LANGUAGES."""
+    return _language_rows.get(word, _NO_LANGUAGE)
