@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesseral.llm import lines, media, mixing, packing, secrets, sharding, topk
+from tesseral.llm import lines, media, minhash, mixing, packing, quality, secrets, sharding, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,7 +67,22 @@ def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_media_columns, op4_secret_scan, op5_line_dedup, op6_exact_top_k, op7_two_pass_shuffle, op8_entropy_mixing)}
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.duplicate_classes(_table(spark, sf_dir, "documents")).drop("copy")
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify_quality(_table(spark, sf_dir, "documents")).select("doc_id", "posterior", "quality", "kept")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.train_toxicity(docs, _table(spark, sf_dir, "labels"))
+    scored = toxicity.score_toxicity(docs, model)
+    return scored.select("doc_id", (toxicity.fold("doc_id") == 0).alias("held_out"), "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_order_minhash, op3_media_columns, op4_secret_scan, op5_line_dedup, op6_exact_top_k, op7_two_pass_shuffle, op8_entropy_mixing, op9_quality_classifier, op10_toxicity)}
 
 _OP5 = """
 with cut as (
