@@ -10,13 +10,16 @@ why it may be broadcast. Each piece finds its run by its rank among pieces of it
 
 from __future__ import annotations
 
+import json
 import os
+import struct
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,8 +100,9 @@ class _Plan:
             rest &= ~(1 << a)
         return None
 
-    def exact(self) -> None:
-        for length in range(self.capacity, 0, -1):
+    def exact(self, least: int) -> None:
+        """Fill sequences exactly that begin with a length of `least` or more."""
+        for length in range(self.capacity, least - 1, -1):
             while self.left[length] and (rest := self.complement(length)) is not None:
                 self.open([length, *rest], self.times([length, *rest]))
 
@@ -132,47 +136,92 @@ def plan_packing(counts: dict[int, int], capacity: int) -> list[Run]:
     From the longest length down, gaps are filled exactly by one length, by two or by
     three, as often as all of them are left; bit sets of the lengths that are left answer
     "which pairs sum to g" at once. What remains is packed best-fit decreasing.
+    With few pieces an exact filling can spend what longer pieces will need, so plans that
+    only fill up long pieces exactly, or none, are made as well and the one with the fewest sequences is taken.
     Each step uses up a length or a run of gaps, so the runs are a small multiple of
     `capacity`, however many pieces there are.
     """
-    plan = _Plan(counts, capacity)
-    plan.exact()
-    plan.best_fit()
-    return plan.runs
+    plans = []
+    for least in (1, capacity // 2 + 1, capacity + 1):
+        plan = _Plan(counts, capacity)
+        plan.exact(least)
+        plan.best_fit()
+        plans.append(plan)
+    return min(plans, key=lambda p: p.sequences).runs
+
+
+#: The normaliser and pre-tokeniser of tokenizers whose tokens never reach across white space (fixed values).
+_WORD_NORMALIZER = ["NFC", "Replace", "Lowercase"]
+_WORD_PRETOKENIZER = ["Split", "ByteLevel"]
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class _Words(dict):
+    def __init__(self, encode: Callable[[str], bytes]):
+        super().__init__({"": b""})
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        self[word] = got = self.encode(word)
+        return got
 
 
 class WordEncoder:
-    """Token ids of texts as little-endian unsigned 32-bit bytes.
+    """Token ids of texts as little-endian unsigned 32-bit bytes, without special tokens added.
 
-    For tokenizers whose tokens never reach across a space (white space is dropped and the
-    pre-tokeniser splits there), ids of a text are those of its words in turn. Words repeat,
-    so each is encoded once and remembered; the memory is emptied when `most` words are in it.
+    If the tokenizer lower-cases, drops white space and splits words by a pattern, the ids of a text are
+    those of its words in turn. Words repeat, so each is encoded once and remembered, and so are the
+    parts into which the pattern splits words; the memory is emptied when `most` are in it.
+    Words of Latin letters go straight to the model; any others, and
+    whole texts under any other tokenizer, go through all of the tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.most = most
-        self.known: dict[str, bytes] = {"": b""}
-
-    def learn(self, words: set[str]) -> None:
-        new = list(words - self.known.keys())
-        if len(self.known) + len(new) > self.most:
-            self.known = {"": b""}
-            new = list(words)
-        for word, got in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.known[word] = b"".join(i.to_bytes(4, "little") for i in got.ids)
-        self.known[""] = b""
+        with open(path, encoding="utf-8") as f:
+            form = json.load(f)
+        normal = [x["type"] for x in (form["normalizer"] or {}).get("normalizers", [])]
+        pre = (form["pre_tokenizer"] or {}).get("pretokenizers", [])
+        self.by_word = normal == _WORD_NORMALIZER and [x["type"] for x in pre] == _WORD_PRETOKENIZER and pre[0]["invert"] and pre[0]["behavior"] == "Removed"
+        if self.by_word:
+            self.pattern = regex.compile(pre[0]["pattern"]["Regex"])
+            self.special = [x["content"] for x in form["added_tokens"]]
+            byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            #: What the byte-level step makes of Latin letters beyond ASCII.
+            self.latin = {i: byte_level.pre_tokenize_str(chr(i))[0][0] for i in range(0xA1, 0x250)}
+            self.model = self.tokenizer.model
+        self.words, self.parts = _Words(self.word), _Words(self.part)
+
+    def part(self, part: str) -> bytes:
+        return _packed([t.id for t in self.model.tokenize(part if part.isascii() else part.translate(self.latin))])
+
+    def word(self, word: str) -> bytes:
+        if word.isascii():  # most words are letters and perhaps a mark
+            if word.isalpha():
+                return self.parts[word.lower()]
+            if word[-1] in ".," and word[:-1].isalpha():
+                return self.parts[word[:-1].lower()] + self.parts[word[-1]]
+        low = word.lower()
+        if word.isprintable() and max(low) < "\u0250" and not any(x in word for x in self.special):
+            return b"".join(map(self.parts.__getitem__, self.pattern.findall(low)))
+        return _packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
 
     def __call__(self, text: str) -> bytes:
+        if not self.by_word:
+            return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        for known in (self.words, self.parts):
+            if len(known) > self.most:
+                known.clear()
+                known[""] = b""
         words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            self.learn(set(words))
-            return b"".join(map(self.known.__getitem__, words))
+        return b"".join(map(self.words.__getitem__, words))
 
 
 _encoders: dict[str, WordEncoder] = {}
