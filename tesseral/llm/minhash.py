@@ -6,33 +6,45 @@ hash orders the sketch of a text is its few smallest labelled k-mers *in the ord
 agree on a sketch if they share those k-mers and have them in the same order, so agreement follows
 edit similarity rather than mere overlap.
 
-Candidates agree on at least two sketches. They are verified on the whole texts by a
+Candidates agree on several sketches. They are verified on the whole texts by a
 banded alignment of their k-mers: with L k-mers aligned in order, the similarity is
 L / (n + m - L), and 0.8 or more links two texts.
 
 Exact copies are classed first, so one text stands for all its copies. In each bucket of equal
 sketches every text is first compared with the bucket's leader only; texts that end up in one class
 need no more comparisons. Only buckets that still hold several classes pair their texts across classes, and
-only those that agree on a second sketch as well, by which they are keyed. Large groups of near copies
-therefore cost a few comparisons a text, and buckets of unlike texts with a common passage come apart.
+only those that agree on enough of all sketches, have lengths that allow the threshold, and by the triangle
+inequality can be as similar, given how similar each is to the leader.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesseral.llm.common import stored, text_or_empty
+from tesseral.llm.words import let_go
 
 WORDS = 5
 THRESHOLD = 0.8
-SKETCHES = 40
+SKETCHES = 96
 SMALLEST = 6
+#: So many of the sketches are buckets; texts meet if they agree on one of these. At similarity 0.8 two texts
+#: agree on a sketch with a probability of about 0.26, so all but one pair in 100,000 meet.
+BUCKETS = 40
+#: Texts are compared with their bucket's leader if they agree on so many buckets.
+AGREE = 2
+#: Other pairs are compared if they agree on so many of all sketches: at similarity 0.8 that holds but for 3 pairs in 1,000
+#: that have no other link to their class, at 0.7 for a quarter and at 0.65 for hardly any.
+AGREE_ALL = 14
+#: Larger buckets are dealt over several tasks.
+BUCKET_ROWS = 2_000
 #: Up to so many texts the ids of those to align are broadcast; beyond that the texts are shuffled to them.
 BROADCAST_TEXTS = 500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -91,6 +103,18 @@ def sketches(h: np.ndarray) -> np.ndarray:
     return (keys + _orders).view(np.int64)  # another key for each order
 
 
+def bag_similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """The Jaccard similarity of two bags of k-mers. One less it is a distance that obeys the triangle
+    inequality, and no alignment is more similar than the bags."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    ua, ca = np.unique(a, return_counts=True)
+    ub, cb = np.unique(b, return_counts=True)
+    _, ia, ib = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
+    common = int(np.minimum(ca[ia], cb[ib]).sum())
+    return common / (len(a) + len(b) - common)
+
+
 def aligned(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float:
     """L / (n + m - L) for the longest common subsequence L of two k-mer sequences within the band
     that the threshold allows; 0 if it is surely below the threshold.
@@ -114,13 +138,6 @@ def aligned(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float
     core_a, core_b = a[head : n - tail], b[head : m - tail]
     length = head + tail
     if len(core_a) and len(core_b):
-        # A bound by counts alone: k-mers that both have, as often as both have them.
-        ua, ca = np.unique(core_a, return_counts=True)
-        ub, cb = np.unique(core_b, return_counts=True)
-        _, ia, ib = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
-        most = length + int(np.minimum(ca[ia], cb[ib]).sum())
-        if most < threshold * (n + m - most):
-            return 0.0
         places: dict[int, int] = {}
         for i, x in enumerate(core_a.tolist()):
             places[x] = places.get(x, 0) | 1 << i
@@ -138,18 +155,22 @@ def aligned(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float
 
 
 def sketch_table(docs: DataFrame) -> DataFrame:
-    """Rows doc_id, copy (a 128-bit hash of the whole text), size (its k-mers), keys (its sketches)."""
+    """Rows doc_id, copy (a 128-bit hash of the whole text), size (its k-mers), keys (sketches that are buckets), marks (all sketches, in 32 bits)."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
-            sizes, keys = [], []
+            sizes, keys, marks = [], [], []
             for text in batch.column(2):
                 h = kmers(text.as_py())
+                s = sketches(h)
                 sizes.append(len(h))
-                keys.append(sketches(h))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "copy", "size", "keys"])
+                keys.append(s[:BUCKETS])
+                marks.append((s >> 32).astype(np.int32))
+            columns = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "copy", "size", "keys", "marks"])
 
-    return _with_copy(docs).select("doc_id", "copy", "_text").mapInArrow(sketch, "doc_id long, copy binary, size long, keys array<long>")
+    return _with_copy(docs).select("doc_id", "copy", "_text").mapInArrow(sketch, "doc_id long, copy binary, size long, keys array<long>, marks array<int>")
 
 
 def _with_copy(docs: DataFrame) -> DataFrame:
@@ -167,24 +188,25 @@ def _texts_of(pairs: DataFrame, docs: DataFrame, distinct: DataFrame) -> DataFra
     return stored(found.select("id", F.col("_text").alias("text")).dropDuplicates(["id"]), "texts")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, distinct: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose whole texts are similar enough, with the similarity."""
+def compared(pairs: DataFrame, docs: DataFrame, distinct: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) with bag and similarity of their whole texts; similarity is 0 if it is below the threshold."""
     texts = _texts_of(pairs, docs, distinct)
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, known = None, None
         for batch in batches:
-            out = []
+            bags, out = [], []
             for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 if a != last:  # pairs come in runs with the same first text
                     last, known = a, kmers(x.as_py())
-                out.append(aligned(known, kmers(y.as_py()), threshold))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=["a", "b", "similarity"])
+                other = kmers(y.as_py())
+                bags.append(bag_similarity(known, other))
+                out.append(aligned(known, other, threshold) if bags[-1] >= threshold else 0.0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bags, pa.float64()), pa.array(out, pa.float64())], names=["a", "b", "bag", "similarity"])
 
     both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     both = both.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    found = both.select("a", "b", "text_a", "text_b").mapInArrow(align, "a long, b long, similarity double")
-    return found.where(F.col("similarity") >= threshold)
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(align, "a long, b long, bag double, similarity double")
 
 
 def components(links: DataFrame, *, steps: int = 60) -> DataFrame:
@@ -217,35 +239,45 @@ def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
 
 
-def links_of(docs: DataFrame, distinct: DataFrame, threshold: float, agree: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(links a, b, similarity; their components) of the distinct texts (id, copy, doc_id, size, keys)."""
+def links_of(docs: DataFrame, distinct: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(links a, b, similarity; their components) of the distinct texts (id, copy, doc_id, size, keys, marks)."""
     bands = distinct.select("id", F.explode("keys").alias("key"))
-    leaders = bands.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    # Each row is one sketch that the text shares with another.
-    members = stored(bands.join(leaders.drop("n"), "key"), "members")
+    several = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = stored(bands.join(several, "key"), "shared")
+    # A bucket's leader is the text that shares most sketches with others: one in the middle of its group.
+    degree = shared.groupBy("id").agg(F.count("*").alias("degree"))
+    leaders = shared.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", "id")).alias("leader"))
+    members = stored(shared.join(leaders.select("key", F.col("leader.id").alias("leader")), "key"), "members")
     stars = members.where("id != leader").groupBy(F.col("leader").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("agree"))
-    stars = stored(stars.where(F.col("agree") >= agree).select("a", "b"), "stars")
-    links = stored(verified(stars, docs, distinct, threshold), "links")
+    stars = stored(compared(stored(stars.where(F.col("agree") >= AGREE).select("a", "b"), "stars"), docs, distinct, threshold), "compared")
+    links = stars.where(F.col("similarity") >= threshold).select("a", "b", "similarity")
     roots = components(links)
 
-    # Buckets that still hold several classes and more than a leader and another.
-    classed = stored(_rooted(members.select("id", "key"), roots), "classed")
-    mixed = classed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where("x != y and n > 2").select("key")
-    still = classed.join(mixed, "key").join(distinct.select("id", "size"), "id")
-    # Texts that agree on two of these buckets meet under both keys.
-    own = still.groupBy("id", "size", "root").agg(F.array_sort(F.collect_list("key")).alias("own")).where(F.size("own") >= agree)
-    twice = own.withColumn("i", F.explode(F.sequence(F.lit(1), F.size("own") - 1)))
-    twice = twice.withColumn("j", F.explode(F.sequence(F.col("i") + 1, F.size("own"))))
-    twice = twice.select("id", "size", "root", F.xxhash64(F.element_at("own", F.col("i")), F.element_at("own", F.col("j"))).alias("cell"))
-    several = twice.groupBy("cell").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("cell")
-    twice = stored(twice.join(several, "cell"), "cells")
-    p, q = twice.alias("p"), twice.alias("q")
-    across = p.join(q, (F.col("p.cell") == F.col("q.cell")) & (F.col("p.id") < F.col("q.id")) & (F.col("p.root") != F.col("q.root")) & (F.least("p.size", "q.size") >= threshold * F.greatest("p.size", "q.size")))
-    pairs = across.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    pairs = stored(pairs, "pairs")
+    # Buckets that still hold several classes. How like the leader a text is limits how like each other two can be.
+    like = stars.select(F.col("a").alias("leader"), F.col("b").alias("id"), "bag")
+    classed = stored(_rooted(members, roots).join(like, ["leader", "id"], "left").withColumn("bag", F.when(F.col("id") == F.col("leader"), 1.0).otherwise(F.col("bag"))), "classed")
+    mixed = classed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
+    still = classed.join(mixed, "key").join(distinct.select("id", "size", "marks"), "id").withColumn("short", F.hash("key"))
+    own = still.groupBy("id").agg(F.array_sort(F.collect_set("short")).alias("own"))
+    still = stored(still.join(own, "id").select("key", "short", "id", "size", "root", "bag", "own", "marks", F.ceil(F.col("n") / BUCKET_ROWS).cast("int").alias("parts")), "open")
+    # A bucket of many texts is dealt into parts on one side and repeated on the other. A pair is made in the first of
+    # its common buckets only, and only if there are enough of them.
+    p = still.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).alias("p")
+    q = still.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("q")
+    agree = F.size(F.filter(F.zip_with("p.marks", "q.marks", lambda x, y: x == y), lambda same: same))
+    tests = [
+        F.col("p.key") == F.col("q.key"), F.col("p.part") == F.col("q.part"), F.col("p.id") < F.col("q.id"), F.col("p.root") != F.col("q.root"),
+        F.least("p.size", "q.size") >= threshold * F.greatest("p.size", "q.size"),
+        F.coalesce(F.abs(F.col("p.bag") - F.col("q.bag")) <= 1 - threshold + 1e-9, F.lit(True)),
+        agree >= AGREE_ALL, F.array_min(F.array_intersect("p.own", "q.own")) == F.col("p.short"),
+    ]
+    across = p.join(q, reduce(Column.__and__, tests))
+    known = stars.select("a", "b").union(stars.select("b", "a"))
+    pairs = stored(across.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct().join(known, ["a", "b"], "left_anti"), "pairs")
     if pairs.isEmpty():
         return links, roots
-    links = links.unionByName(stored(verified(pairs, docs, distinct, threshold), "links"))
+    more = stored(compared(pairs, docs, distinct, threshold), "compared").where(F.col("similarity") >= threshold)
+    links = links.unionByName(more.select("a", "b", "similarity"))
     return links, components(links)
 
 
@@ -261,7 +293,7 @@ def duplicate_classes(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataF
     Repeated rows are copies of each other. No documents give no rows.
     """
     table = stored(sketch_table(docs), "sketches")
-    distinct = table.groupBy("copy").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    distinct = table.groupBy("copy").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("marks").alias("marks"))
     distinct = stored(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct")  # numbered once, as written
     links, roots = links_of(docs, distinct, threshold)
 
