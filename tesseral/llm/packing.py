@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesseral.llm.common import pieces_of, salt, stored, text_or_empty
+from tesseral.llm.words import kept
 
 
 class Run(NamedTuple):
@@ -179,7 +180,7 @@ class WordEncoder:
     whole texts under any other tokenizer, go through all of the tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -224,14 +225,9 @@ class WordEncoder:
         return b"".join(map(self.words.__getitem__, words))
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def word_encoder(path: str) -> WordEncoder:
-    """One encoder for each file and Python worker."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    """The encoder of a Python worker."""
+    return kept(f"packing-{path}", lambda: WordEncoder(path))
 
 
 def tokenize_pieces(docs: DataFrame, tokenizer: str, capacity: int, *, with_ids: bool = False) -> DataFrame:

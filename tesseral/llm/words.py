@@ -33,7 +33,7 @@ class WordTable(dict):
     Emptied between texts when `most` words are in it, so memory has a bound.
     """
 
-    def __init__(self, describe, width: int, dtype: type, most: int = 300_000):  # noqa: ANN001
+    def __init__(self, describe, width: int, dtype: type, most: int = 200_000):  # noqa: ANN001
         super().__init__()
         self.describe, self.most = describe, most
         self.table = np.zeros((1024, width), dtype)
@@ -52,16 +52,23 @@ class WordTable(dict):
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
-#: Tables are kept by name for as long as a Python worker lives.
+#: What the operator that ran last keeps in this Python worker, by name.
 _kept: dict = {}
 
 
 def kept(name, make):  # noqa: ANN001, ANN201
+    """What make() made when this worker was first asked for `name`. Workers serve one operator after another, so
+    asking for another name lets go of what was kept."""
     if name not in _kept:
+        _kept.clear()
         _kept[name] = make()
     return _kept[name]
 
 
+def let_go() -> None:
+    _kept.clear()
+
+
 _NO_LANGUAGE = (0.0,) * len(LANGUAGES)
 #: How much a function word speaks for each of LANGUAGES; one that several share counts less for each.
 _language_rows = {w: tuple((w in words) / sum(w in x for x in FUNCTION_WORDS.values()) for words in FUNCTION_WORDS.values()) for w in FUNCTION}
