@@ -154,7 +154,8 @@ def bytes_to_bits(data: Column) -> Column:
     zooms = F.aggregate(
         F.when(axes > 0, F.sequence(F.lit(0), axes - 1)).otherwise(F.array().cast("array<int>")),
         F.lit(0).cast("long"),
-        lambda n, i: n + F.conv(F.substr(digits, i * 5 + 5, F.lit(5)), 2, 10).cast("long") + 1,
+        # A header that isn't there counts as the longest, so the length check below fails.
+        lambda n, i: n + F.coalesce(F.conv(F.substr(digits, i * 5 + 5, F.lit(5)), 2, 10).cast("long"), F.lit(31)) + 1,
     )
     length = (axes * 5 + zooms + 4).cast("int")
     bad = F.length(data).isNull() | (F.length(data) < 1) | (length > F.length(digits))
