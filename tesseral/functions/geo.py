@@ -82,3 +82,11 @@ def height_boundary_near_zero(low: float, high: float, zoom: int) -> float:
     """The altitude of the layer edge that lies nearest to altitude 0, to which a local zero is snapped."""
     step = (high - low) / (1 << zoom)
     return low + round(-low / step) * step
+
+
+def resolve_height_origin(given: float | None, stored: float | None, low: float, high: float, zoom: int) -> float:
+    """The altitude of a local zero: as given, else as stored with the data, else the layer edge nearest to altitude 0."""
+    for value in (given, stored):
+        if value is not None:
+            return float(value)
+    return height_boundary_near_zero(low, high, zoom)

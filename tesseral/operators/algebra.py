@@ -71,6 +71,14 @@ def semantic_equal(a: DataFrame, b: DataFrame, working: dict[str, int], by: Sequ
     return sides.groupBy(*by).agg((F.count_if(F.col("_a") != F.col("_b")) == 0).alias("equal"))
 
 
+def expansion_check(normal: DataFrame, fine: DataFrame, working: dict[str, int], by: Sequence[str] = ()) -> DataFrame:
+    """Rows of `by`, missing, extra: fine cells that a normal form doesn't cover, and cells it covers beyond them."""
+    both = atoms(normal, working, by).withColumn("_n", F.lit(1)).withColumn("_f", F.lit(0))
+    both = both.unionByName(fine.select(*by, *CELL).distinct().withColumn("_n", F.lit(0)).withColumn("_f", F.lit(1)))
+    sides = both.groupBy(*by, *CELL).agg(F.max("_n").alias("_n"), F.max("_f").alias("_f"))
+    return sides.groupBy(*by).agg(F.count_if(F.col("_n") < F.col("_f")).alias("missing"), F.count_if(F.col("_n") > F.col("_f")).alias("extra"))
+
+
 def remove_subsumed(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """The distinct cells that no other cell of their region subsumes."""
     cells = df.select(*by, *CELL).distinct()

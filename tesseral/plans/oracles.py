@@ -287,3 +287,27 @@ O["exposed_origin"] = _with("grid", _sh, _cube, _close, _box, _face, """so as (s
   and exists (select 1 from cl w where w.region_id = b.region_id and w.iy = b.iy and w.ih = b.ih and w.ix > b.ix) and exists (select 1 from cl w where w.region_id = b.region_id and w.ix = b.ix and w.iy = b.iy and w.ih > b.ih))""", f"ed as ({_edge('so')})") + """
 select e.region_id, case when s.ix is not null then 'raw' when c.ix is not null then 'closed' else 'fill' end as origin, count(*) as voxels from ed e
   left join sh s using (region_id, ix, iy, ih) left join cl c using (region_id, ix, iy, ih) group by all"""
+O["expansion_check"] = _with("grid", "n as (select *, 1 as inside from grid where ix % 11 <> 3 and iy % 7 <> 2)", "f as (select *, 1 as wanted from grid where iy % 7 <> 1)") + """
+select region_id, count(*) filter (where inside is null) as missing, count(*) filter (where wanted is null) as extra from n full join f using (region_id, ix, iy, ih) group by region_id"""
+O["index_update"] = _with("cells", SIDES) + "(select * from a union select * from b where zx <= 4) except select * from b where vy % 2 = 0"
+O["voxel_set_sizes"] = _with("grid", _sh, _cube, _close, "c1 as (select ix, iy, ih from cl where region_id = 'A')", "r1 as (select ix, iy, ih from sh where region_id = 'A')",
+  "b1 as (select x.ix, y.iy, h.ih from range(-3, 36) x(ix), range(-3, 36) y(iy), range(-3, 8) h(ih))", """s1 as (select * from c1 union select b.* from b1 b where exists (select 1 from c1 w where w.iy = b.iy and w.ih = b.ih and w.ix < b.ix)
+  and exists (select 1 from c1 w where w.iy = b.iy and w.ih = b.ih and w.ix > b.ix) and exists (select 1 from c1 w where w.ix = b.ix and w.iy = b.iy and w.ih > b.ih))""") + """
+select (select count(*) from r1) as raw, (select count(*) from (select * from c1 except select * from r1)) as closed_added, (select count(*) from (select * from s1 except select * from c1)) as fill_added,
+  (select count(*) from s1) as solid, (select count(*) from (select * from r1 except select * from c1)) as raw_lost, round(coalesce((select count(*) from (select * from s1 except select * from c1)) / nullif((select count(*) from s1), 0), 0), 9) as fill_share"""
+O["voxel_downsample"] = _with("points", "p as (select lon * 100 as e, lat * 100 as n, alt as u from points)") + "select round(avg(e), 6) as e, round(avg(n), 6) as n, round(avg(u), 6) as u from p where u >= 5 and e <= 13998e0 group by floor(e / 2e0), floor(n / 2e0), floor(u / 2e0)"
+O["thinned_routes"] = _with("samples", "s as (select flight_id, epoch_s, max(lat) as lat, max(lon) as lon from samples group by 1, 2)",
+  "k as (select *, row_number() over w - 1 as k, lead(epoch_s) over w is null as fin from s window w as (partition by flight_id order by epoch_s))",
+  "t as (select *, lag(lat) over w as pl, lag(lon) over w as po from k where k % 5 = 0 or fin window w as (partition by flight_id order by epoch_s))") + "select flight_id, epoch_s, lat, lon from t where not (pl is not distinct from lat and po is not distinct from lon)"
+
+
+def _site(z: int) -> str:
+    axes = {"x": (x_tile("lon", z), z), "y": (y_tile("lat", z), z), "f": (f_tile("h", z), z)}
+    return f"""select site_id, agl_m, {z} as zoom, {id_bits(axes)} as id_bits, round(-180e0 + {axes["x"][0]} * (360e0 / {1 << z}), 7) as west,
+      round(degrees(atan(sinh(pi() * (1e0 - 2e0 * {axes["y"][0]} / {1 << z})))), 7) as north, round(-16383e0 + ({axes["f"][0]} << {32 - z}) / 4294967295e0 * 32767e0, 7) as bottom from s"""
+
+
+O["site_cells"] = "with s as (select n_nationkey as site_id, 37.3e0 + n_nationkey / 50e0 as lat, 139.6e0 + n_nationkey / 40e0 as lon, agl_m, 150e0 + n_nationkey + agl_m as h from nation, (values (30e0), (50e0), (100e0)) t(agl_m))\n" + " union all ".join(map(_site, (20, 24, 28)))
+O["index_candidates"] = _with("grid", "c as (select distinct ix >> 1 as x, iy >> 1 as y, ih >> 1 as f, (ix + iy) % 2 as k from grid where region_id = 'A')") + " union all ".join(
+    f"select {n}::int as axes, count(*) as pairs from (select distinct {cols} from c where k = 0) a join (select distinct {cols} from c where k = 1) b using ({cols})" for n, cols in ((1, "x"), (2, "x, y"), (3, "x, y, f"))
+)

@@ -554,3 +554,68 @@ def cell_json(spark: SparkSession, sf: str) -> DataFrame:
     from tesseral.sources.tables import cell_records
 
     return cell_records(fixtures.grid_cells(spark, sf), "bitmap")
+
+
+@query
+def expansion_check(spark: SparkSession, sf: str) -> DataFrame:
+    """A normal form against its cells, of which every eleventh column is held back."""
+    cells = fixtures.grid_cells(spark, sf)
+    normal = algebra.normalize(cells.where("vx % 11 != 3 and vy % 7 != 2"), ["region_id"])
+    return algebra.expansion_check(normal, cells.where("vy % 7 != 1"), {"x": 5, "y": 5, "f": 2}, ["region_id"])
+
+
+@query
+def index_update(spark: SparkSession, sf: str) -> DataFrame:
+    a, b = _sides(spark, sf)
+    index = a.select("region_id", *CELL)
+    grown = algebra.add_cells(index, b.where("zx <= 4"))
+    return algebra.discard_cells(grown, b.where("vy % 2 = 0").select("region_id", *CELL)).select("region_id", *XY)
+
+
+@query
+def voxel_set_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    raw = _shell(spark, sf).where("region_id = 'A'").drop("region_id")
+    closed = occupancy.close(raw, 1)
+    sizes = occupancy.set_sizes(raw, closed, occupancy.directional_fill(closed))
+    return sizes.withColumn("fill_share", F.round("fill_share", 9))
+
+
+@query
+def voxel_downsample(spark: SparkSession, sf: str) -> DataFrame:
+    p = fixtures.points(spark, sf).selectExpr("lon * 100 as e", "lat * 100 as n", "alt as u")
+    return occupancy.downsample(occupancy.crop(p, {"u": 5.0}, {"e": 13998.0}), 2.0).select(*[F.round(c, 6).alias(c) for c in "enu"])
+
+
+@query
+def thinned_routes(spark: SparkSession, sf: str) -> DataFrame:
+    samples = fixtures.flight_samples(spark, sf).groupBy("flight_id", "epoch_s").agg(F.max("lat").alias("lat"), F.max("lon").alias("lon"))
+    return airspace.thinned_routes(samples, 5).select("flight_id", "epoch_s", "lat", "lon")
+
+
+@query
+def site_cells(spark: SparkSession, sf: str) -> DataFrame:
+    sites = spark.read.parquet(f"{sf}/nation.parquet").selectExpr("n_nationkey as site_id", "37.3D + n_nationkey / 50.0D as lat", "139.6D + n_nationkey / 40.0D as lon", "150.0D + n_nationkey as ground_m")
+    cells = airspace.cell_bounds_of_sites(sites, (30, 50, 100), (20, 24, 28))
+    return cells.select("site_id", "agl_m", "zoom", "id_bits", *[F.round(c, 7).alias(c) for c in ("west", "north", "bottom")])
+
+
+@query
+def normalize_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows only: what each pass over mixed-zoom regions did."""
+    stats: list[dict[str, int]] = []
+    algebra.normalize_mixed(fixtures.cells(spark, sf).where("vx % 3 != 0"), ["region_id"], stats=stats)
+    rows = [(i, r["cells"], r["kept"], sum(v for k, v in r.items() if k.startswith("merged_"))) for i, r in enumerate(stats)]
+    return spark.createDataFrame(rows, "pass int, cells long, kept long, merges long")
+
+
+@query
+def index_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """How many of all pairs are compatible, by the number of axes in use."""
+    c = fixtures.grid_cells(spark, sf).where("region_id = 'A'").drop("region_id")
+    out = None
+    for axes in ("x", "xy", "xyf"):
+        side = [algebra.coarsen(c.where(f"pmod(vx + vy, 2) = {k}"), {a: z for a, z in zip("xyf", (4, 4, 1), strict=True)}).select(*CELL) for k in (0, 1)]
+        side = [s.select(F.lit(sum({"x": 8, "y": 4, "f": 2}[a] for a in axes)).alias("flags"), *[F.col(k) if k[1] in axes else F.lit(0).cast("int" if k[0] == "z" else "long").alias(k) for k in CELL[1:]]).distinct() for s in side]
+        row = joins.overlap_count(*side).select(F.lit(len(axes)).alias("axes"), "pairs")
+        out = row if out is None else out.unionByName(row)
+    return out
