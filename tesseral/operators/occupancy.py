@@ -159,3 +159,21 @@ def set_sizes(raw: DataFrame, closed: DataFrame, solid: DataFrame) -> DataFrame:
     one = named.groupBy(*GRID).agg(*[F.max(k).alias(k) for k in "rcs"])
     counts = one.agg(F.sum("r").alias("raw"), F.count_if(F.expr("c = 1 and r = 0")).alias("closed_added"), F.count_if(F.expr("s = 1 and c = 0 and r = 0")).alias("fill_added"), F.sum("s").alias("solid"), F.count_if(F.expr("r = 1 and c = 0")).alias("raw_lost"))
     return counts.withColumn("fill_share", F.coalesce(F.col("fill_added") / F.nullif(F.col("solid"), F.lit(0)), F.lit(0.0)))
+
+
+def local_bounds(cells: DataFrame, lat0: float, lon0: float, height_origin: float = 0.0) -> DataFrame:
+    """cells of x, y and f with the box low_e .. high_u, in metres around an anchor, that holds their four corners and layers."""
+    north, south = codec.y_north(F.col("vy"), F.col("zy")), codec.y_north(F.col("vy") + 1, F.col("zy"))
+    west, east = codec.x_west(F.col("vx"), F.col("zx")), codec.x_west(F.col("vx") + 1, F.col("zx"))
+    corners = [geo.wgs84_to_enu(lat, lon, lat0, lon0) for lat in (south, north) for lon in (west, east)]
+    e, n = [c[0] for c in corners], [c[1] for c in corners]
+    low, high = codec.f_bounds_linear(F.col("vf"), F.col("zf"), height_origin)
+    return cells.withColumns({"low_e": F.least(*e), "high_e": F.greatest(*e), "low_n": F.least(*n), "high_n": F.greatest(*n), "low_u": low, "high_u": high})
+
+
+def largest_by_volume(boxes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Of boxes with local bounds the one of the greatest volume, with it; ties go to the first by its bounds."""
+    volume = (F.col("high_e") - F.col("low_e")) * (F.col("high_n") - F.col("low_n")) * (F.col("high_u") - F.col("low_u"))
+    order = F.struct(volume.alias("v"), (-F.col("low_e")).alias("e"), (-F.col("low_n")).alias("n"), (-F.col("low_u")).alias("u"))
+    best = boxes.groupBy(*by).agg(F.max_by(F.struct(*[c for c in boxes.columns if c not in by], volume.alias("volume")), order).alias("_b"))
+    return best.where("_b is not null").select(*by, "_b.*")

@@ -98,3 +98,15 @@ def sampled_surface(triangles: DataFrame, density: float, seed: int = 5) -> Data
     rows = rows.withColumn("_r", F.sqrt(unit(0))).withColumn("_s", unit(1))
     mix = lambda c: F.col("a" + c) * (1 - F.col("_r")) + F.col("b" + c) * F.col("_r") * (1 - F.col("_s")) + F.col("c" + c) * F.col("_r") * F.col("_s")
     return rows.select(mix("x").alias("e"), mix("y").alias("n"), mix("z").alias("u"))
+
+
+def read_transform(spark: SparkSession, path: str) -> DataFrame:
+    """One row lat, lon, height_origin_m of a point cloud's anchor document; fails without latitude and longitude."""
+    doc = spark.read.schema("anchor struct<lat:double,lon:double,height_origin_m:double>").json(path, multiLine=True)
+    need = lambda c: F.coalesce(F.col(f"anchor.{c}"), F.raise_error(F.lit(f"the anchor has no {c}")).cast("double")).alias(c)
+    return doc.select(need("lat"), need("lon"), "anchor.height_origin_m")
+
+
+def write_stats(stats: DataFrame, path: str) -> None:
+    """Rows of figures as JSON lines."""
+    stats.coalesce(1).write.mode("overwrite").json(path)

@@ -118,3 +118,18 @@ def test_geodesy(spark):
     r = spark.range(1).select(e.alias("e"), n.alias("n"), geo.haversine_m(F.lit(37.5), F.lit(139.9), p, q).alias("d")).first()
     assert r["e"] == pytest.approx(250, abs=1e-6) and r["n"] == pytest.approx(-120, abs=1e-6) and r["d"] == pytest.approx(math.hypot(250, 120), rel=3e-3)
     assert geo.height_boundary_near_zero(codec.F_LOW, codec.F_HIGH, 14) == pytest.approx(0, abs=1.0)
+
+
+def test_sql_functions(spark):
+    from tesseral.functions.register import register
+
+    assert "tess_time_cover" in register(spark)
+    df = spark.createDataFrame([(139.75, 35.68, 10.0, 1747839600), (-190.0, -89.0, -5.0, 0)], "x double, y double, f double, t long")
+    want = df.select(codec.x_tile(F.col("x"), 10), codec.y_tile(F.col("y"), 12), codec.f_tile(F.col("f"), 9), codec.t_tile(F.col("t"), 20)).collect()
+    df.createOrReplaceTempView("points_for_sql")
+    got = spark.sql("select tess_x_tile(x, 10), tess_y_tile(y, 12), tess_f_tile(f, 9), tess_t_tile(t, 20) from points_for_sql").collect()
+    assert list(map(tuple, got)) == list(map(tuple, want))
+    cover = spark.sql("select zt, vt from tess_time_cover(3, 17)").collect()
+    assert sorted((r["vt"] << (32 - r["zt"]), (r["vt"] + 1) << (32 - r["zt"])) for r in cover) == [(3, 4), (4, 8), (8, 16), (16, 17)]
+    assert sorted(map(tuple, spark.sql("select * from tess_refine(5, 3)").collect())) == [(4, 10), (4, 11)]
+    assert spark.sql("select tess_compatible(5, 3, 2, 2), tess_subsumes(5, 3, 2, 2), tess_subsumes(2, 2, 5, 3), tess_prefix_bits(5, 4), tess_time_block(30)").first()[:] == (True, False, True, "0101", 4)

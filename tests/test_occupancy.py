@@ -111,3 +111,17 @@ def test_points(spark):
     assert voxels(v) == {(0, 0, 2), (10, 10, 0)}
     assert {tuple(r) for r in occupancy.voxel_centers(v, 0.5, (0.0, 0.0, -1.0)).collect()} == {(0.25, 0.25, 0.25), (5.25, 5.25, -0.75)}
     assert occupancy.quantize(points, 37.5, 139.9, 220.0, 24, 14).count() == 2  # tiles of two metres
+
+
+def test_local_boxes(spark):
+    from tests.helpers import SCHEMA as CELLS
+    from tests.helpers import cell
+
+    one = cell(x=(20, 931_000), y=(20, 405_000), f=(14, 8300))
+    lat, lon = 36.5, 139.6
+    boxes = occupancy.local_bounds(spark.createDataFrame([one, cell(x=(19, 465_500), y=(19, 202_500), f=(14, 8300))], CELLS), lat, lon).collect()
+    small, large = sorted(boxes, key=lambda r: -r["zx"])
+    assert 25 < small["high_e"] - small["low_e"] < 45 and 1.9 < small["high_u"] - small["low_u"] < 2.1
+    assert large["low_e"] <= small["low_e"] and large["high_n"] >= small["high_n"]
+    best = occupancy.largest_by_volume(spark.createDataFrame(boxes)).collect()
+    assert [r["zx"] for r in best] == [19]

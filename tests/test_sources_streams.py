@@ -136,3 +136,13 @@ def test_stream_joins_and_gaps(spark, events, tmp_path):
     some = events.where("id < 40 or id > 60").select("flight_id", "at")
     pauses = drain(monitor.gaps(some, "at", 30), "gaps").collect()
     assert {r["flight_id"] for r in pauses} == {0, 1, 2, 3} and all(r["to_s"] - r["from_s"] > 30 for r in pauses)
+
+
+def test_anchor_documents(spark, tmp_path):
+    (tmp_path / "t.json").write_text(json.dumps({"anchor": {"lat": 37.5, "lon": 139.9}}))
+    assert tuple(tables.read_transform(spark, f"{tmp_path}/t.json").first()) == (37.5, 139.9, None)
+    (tmp_path / "u.json").write_text(json.dumps({"anchor": {"lat": 37.5}}))
+    with pytest.raises(PySparkException):
+        tables.read_transform(spark, f"{tmp_path}/u.json").collect()
+    tables.write_stats(spark.createDataFrame([(1, 2)], "cells int, kept int"), f"{tmp_path}/stats")
+    assert spark.read.json(f"{tmp_path}/stats").first()["kept"] == 2
