@@ -202,16 +202,16 @@ def _patterns(docs: DataFrame) -> dict[int, int]:
 
 
 def _sample(docs: DataFrame, rows: int, most: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-    """Features and patterns of about `most` documents, picked by a hash of their text."""
+    """Features and patterns of about `most` documents, picked by a hash of id and text, so that copies don't crowd it."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [read_text(t.as_py()) for t in batch.column(0)]
+            got = [read_text(t.as_py()) for t in batch.column(1)]
             columns = [pa.array([pattern_of(r.votes) for r in got], pa.int64()), pa.array([r.features.astype(np.int32).tobytes() for r in got], pa.binary()), pa.array([r.values.tobytes() for r in got], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["pattern", "features", "values"])
 
     part = min(1.0, most / max(rows, 1))
-    picked = docs.select(text_or_empty().alias("text")).where(F.pmod(F.xxhash64(F.lit(41), "text"), F.lit(1 << 20)) < int(part * (1 << 20)) + 1)
+    picked = docs.select("doc_id", text_or_empty().alias("text")).where(F.pmod(F.xxhash64(F.lit(41), "doc_id", "text"), F.lit(1 << 20)) < int(part * (1 << 20)) + 1)
     got = picked.mapInArrow(read, "pattern long, features binary, values binary").limit(2 * most).collect()
     got.sort(key=lambda r: (r["pattern"], bytes(r["features"])))
     got = [r for r in got if r["features"]]
@@ -221,7 +221,7 @@ def _sample(docs: DataFrame, rows: int, most: int) -> tuple[list[tuple[np.ndarra
 def classify_quality(docs: DataFrame, *, sample: int = 4_000) -> DataFrame:
     """docs with quality (0 to 1, higher is better), posterior (of the labellers' votes) and kept (quality >= 0.5).
 
-    docs: text and any others, all kept; columns named like the three new ones are replaced. Null
+    docs: doc_id, text and any others, all kept; columns named like the three new ones are replaced. Null
     and blank texts score 0 and aren't kept; equal texts score alike, so repeated rows do. Labellers' accuracies
     come from all documents; the scorer learns on about `sample` of them, at most twice as many.
     """
