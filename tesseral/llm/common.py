@@ -24,6 +24,16 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[app]
 
 
+#: Rows in an Arrow batch of whole documents. A batch lies in memory in the JVM and in the Python worker at once.
+TEXTS_PER_BATCH = 1_000
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """The session, set to send documents to Python workers in batches of TEXTS_PER_BATCH."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXTS_PER_BATCH))
+    return spark
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -33,16 +33,18 @@ from tesseral.llm.words import let_go
 
 WORDS = 5
 THRESHOLD = 0.8
-SKETCHES = 96
+SKETCHES = 128
 SMALLEST = 6
 #: So many of the sketches are buckets; texts meet if they agree on one of these. At similarity 0.8 two texts
 #: agree on a sketch with a probability of about 0.26, so all but one pair in 100,000 meet.
 BUCKETS = 40
+#: Columns that hold a byte of each sketch: unequal sketches agree in it once in 256.
+MARKS = tuple(f"m{i}" for i in range(SKETCHES // 8))
 #: Texts are compared with their bucket's leader if they agree on so many buckets.
 AGREE = 2
 #: Other pairs are compared if they agree on so many of all sketches: at similarity 0.8 that holds but for 3 pairs in 1,000
-#: that have no other link to their class, at 0.7 for a quarter and at 0.65 for hardly any.
-AGREE_ALL = 14
+#: that have no other link to their class, at 0.7 for a tenth and at 0.65 for hardly any.
+AGREE_ALL = 20
 #: Larger buckets are dealt over several tasks.
 BUCKET_ROWS = 2_000
 #: Up to so many texts the ids of those to align are broadcast; beyond that the texts are shuffled to them.
@@ -155,22 +157,23 @@ def aligned(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float
 
 
 def sketch_table(docs: DataFrame) -> DataFrame:
-    """Rows doc_id, copy (a 128-bit hash of the whole text), size (its k-mers), keys (sketches that are buckets), marks (all sketches, in 32 bits)."""
+    """Rows doc_id, copy (a 128-bit hash of the whole text), size (its k-mers), keys (sketches that are buckets) and m0, m1, ...: a byte of every sketch, eight in a long."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
         for batch in batches:
-            sizes, keys, marks = [], [], []
-            for text in batch.column(2):
+            sizes, keys, marks = [], [], np.zeros((len(batch), SKETCHES), np.uint8)
+            for i, text in enumerate(batch.column(2)):
                 h = kmers(text.as_py())
                 s = sketches(h)
                 sizes.append(len(h))
                 keys.append(s[:BUCKETS])
-                marks.append((s >> 32).astype(np.int32))
-            columns = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "copy", "size", "keys", "marks"])
+                marks[i, : len(s)] = (s >> 48).astype(np.uint8)
+            columns = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            columns += [pa.array(c, pa.int64()) for c in np.ascontiguousarray(marks.view(np.int64).T)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "copy", "size", "keys", *MARKS])
 
-    return _with_copy(docs).select("doc_id", "copy", "_text").mapInArrow(sketch, "doc_id long, copy binary, size long, keys array<long>, marks array<int>")
+    return _with_copy(docs).select("doc_id", "copy", "_text").mapInArrow(sketch, "doc_id long, copy binary, size long, keys array<long>, " + ", ".join(f"{m} long" for m in MARKS))
 
 
 def _with_copy(docs: DataFrame) -> DataFrame:
@@ -215,7 +218,8 @@ def components(links: DataFrame, *, steps: int = 60) -> DataFrame:
     Alternates large-star and small-star steps until the edges are stars; each step is a
     grouped minimum and a join, and is written out, so no component meets in one task or on the driver.
     """
-    edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
+    files = links.sparkSession.sparkContext.defaultParallelism  # edges are few and short: no more files than cores
+    edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct().coalesce(files), "edges")
     before = None
     for _ in range(steps):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -224,7 +228,7 @@ def components(links: DataFrame, *, steps: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select("u", "v", "m")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        edges = stored(small, "edges")
+        edges = stored(small.coalesce(files), "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -234,13 +238,21 @@ def components(links: DataFrame, *, steps: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _bytes_apart(x: Column, y: Column) -> Column:
+    """In how many of their eight bytes two longs differ: the bits of each byte of x ^ y are gathered in its last one."""
+    d = x.bitwiseXOR(y)
+    for n in (4, 2, 1):
+        d = d.bitwiseOR(F.shiftrightunsigned(d, n))
+    return F.bit_count(d.bitwiseAND(F.lit(0x0101010101010101)))
+
+
 def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
     """rows (id, ...) with the root of each id: itself if it has no link."""
     return rows.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
 
 
 def links_of(docs: DataFrame, distinct: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(links a, b, similarity; their components) of the distinct texts (id, copy, doc_id, size, keys, marks)."""
+    """(links a, b, similarity; their components) of the distinct texts (id, copy, doc_id, size, keys, m0, m1, ...)."""
     bands = distinct.select("id", F.explode("keys").alias("key"))
     several = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = stored(bands.join(several, "key"), "shared")
@@ -257,14 +269,14 @@ def links_of(docs: DataFrame, distinct: DataFrame, threshold: float) -> tuple[Da
     like = stars.select(F.col("a").alias("leader"), F.col("b").alias("id"), "bag")
     classed = stored(_rooted(members, roots).join(like, ["leader", "id"], "left").withColumn("bag", F.when(F.col("id") == F.col("leader"), 1.0).otherwise(F.col("bag"))), "classed")
     mixed = classed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
-    still = classed.join(mixed, "key").join(distinct.select("id", "size", "marks"), "id").withColumn("short", F.hash("key"))
+    still = classed.join(mixed, "key").join(distinct.select("id", "size", *MARKS), "id").withColumn("short", F.hash("key"))
     own = still.groupBy("id").agg(F.array_sort(F.collect_set("short")).alias("own"))
-    still = stored(still.join(own, "id").select("key", "short", "id", "size", "root", "bag", "own", "marks", F.ceil(F.col("n") / BUCKET_ROWS).cast("int").alias("parts")), "open")
+    still = stored(still.join(own, "id").select("key", "short", "id", "size", "root", "bag", "own", *MARKS, F.ceil(F.col("n") / BUCKET_ROWS).cast("int").alias("parts")), "open")
     # A bucket of many texts is dealt into parts on one side and repeated on the other. A pair is made in the first of
     # its common buckets only, and only if there are enough of them.
     p = still.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).alias("p")
     q = still.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("q")
-    agree = F.size(F.filter(F.zip_with("p.marks", "q.marks", lambda x, y: x == y), lambda same: same))
+    agree = F.lit(SKETCHES) - reduce(Column.__add__, (_bytes_apart(F.col("p." + m), F.col("q." + m)) for m in MARKS))
     tests = [
         F.col("p.key") == F.col("q.key"), F.col("p.part") == F.col("q.part"), F.col("p.id") < F.col("q.id"), F.col("p.root") != F.col("q.root"),
         F.least("p.size", "q.size") >= threshold * F.greatest("p.size", "q.size"),
@@ -293,7 +305,7 @@ def duplicate_classes(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataF
     Repeated rows are copies of each other. No documents give no rows.
     """
     table = stored(sketch_table(docs), "sketches")
-    distinct = table.groupBy("copy").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("marks").alias("marks"))
+    distinct = table.groupBy("copy").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("keys").alias("keys"), *[F.first(m).alias(m) for m in MARKS])
     distinct = stored(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct")  # numbered once, as written
     links, roots = links_of(docs, distinct, threshold)
 

@@ -146,15 +146,18 @@ def mix_to_targets(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), sha
     copies = round_copies(rates, limit)
     classes = copies.alias("c").join(targets.alias("g"), F.equal_null(F.col("c.source"), F.col("g.source"))).select("c.source", "size", "copies", "extra", "source_size", "target")
 
-    # Which of a class get the extra copy: the first by hash, ranked in parts as a class can be huge.
+    # Which of a class get the extra copy: the first by hash, ranked in parts as a class can be huge. The ranking and the
+    # join with the classes have the same keys, without nulls, so documents cross the network once.
+    named = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
+    keys = ["_source", "_size", "_part"]
     biggest = hist.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-    sized = sized.withColumn("_part", salt(pieces_of(biggest, ranked_rows), "_tie"))
-    before = sized.groupBy("source", "size", "_part").agg(F.count("*").alias("_n"))
-    before = before.withColumn("_before", F.sum("_n").over(Window.partitionBy("source", "size").orderBy("_part")) - F.col("_n"))
-    before = before.alias("b").join(classes.alias("c"), F.equal_null(F.col("b.source"), F.col("c.source")) & (F.col("b.size") == F.col("c.size")))
-    before = before.select(F.col("b.source").alias("_source"), F.col("b.size").alias("_size"), F.col("_part").alias("_in"), "_before", "copies", "extra", "source_size", "target")
-    place = F.row_number().over(Window.partitionBy("source", "size", "_part").orderBy("_tie", "doc_id")) - 1
-    mixed = sized.withColumn("_place", place).join(before, F.equal_null("source", "_source") & (F.col("size") == F.col("_size")) & (F.col("_part") == F.col("_in")))
+    sized = sized.withColumns({"_source": named, "_size": F.col("size"), "_part": salt(pieces_of(biggest, ranked_rows), "_tie")})
+    before = sized.groupBy(*keys).agg(F.count("*").alias("_n"))
+    before = before.withColumn("_before", F.sum("_n").over(Window.partitionBy("_source", "_size").orderBy("_part")) - F.col("_n"))
+    classes = classes.select(named.alias("_source"), F.col("size").alias("_size"), "copies", "extra", "source_size", "target")
+    before = before.join(classes, ["_source", "_size"]).drop("_n")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("_tie", "doc_id")) - 1
+    mixed = sized.withColumn("_place", place).join(before, keys)
     taken = (F.col("copies") + F.when(F.col("_before") + F.col("_place") < F.col("extra"), 1).otherwise(0)).cast("int")
     return mixed.select(*docs.columns, "size", "source_size", "target", taken.alias("copies"))
 

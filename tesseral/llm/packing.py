@@ -5,7 +5,9 @@ only (id, piece, start, length, checksum) rows move. Which lengths share a seque
 decided on the histogram of piece lengths. It has at most `capacity` rows whatever the
 corpus, and so may go to the driver; the plan that comes back is a list of runs ("the next n pieces of
 length l take offset o in sequences s, s + 1, ...") of the same order of size, which is
-why it may be broadcast. Each piece finds its run by its rank among pieces of its length.
+why it may be broadcast. Each piece finds its run by its rank among pieces of its length: tasks number the pieces of each
+length as they make them, and the counts of the tasks before are added. So nothing is sorted, no length meets in one task, and
+token ids don't cross the network.
 """
 
 from __future__ import annotations
@@ -14,19 +16,24 @@ import json
 import os
 import struct
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesseral.llm.common import pieces_of, salt, stored, text_or_empty
+from tesseral.llm.common import stored, text_or_empty
 from tesseral.llm.words import kept
 
 
+#: Up to so many counts by length and task are broadcast; beyond that they are joined by a shuffle.
+BROADCAST_COUNTS = 1_000_000
+
+
 class Run(NamedTuple):
     """The pieces of one length with ranks first_rank to first_rank + n - 1 take one place in n sequences."""
 
@@ -175,12 +182,12 @@ class WordEncoder:
 
     If the tokenizer lower-cases, drops white space and splits words by a pattern, the ids of a text are
     those of its words in turn. Words repeat, so each is encoded once and remembered, and so are the
-    parts into which the pattern splits words; the memory is emptied when `most` are in it.
+    parts into which the pattern splits words; a memory is emptied when `most` words, or twice as many parts, are in it.
     Words of Latin letters go straight to the model; any others, and
     whole texts under any other tokenizer, go through all of the tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 100_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -217,8 +224,8 @@ class WordEncoder:
     def __call__(self, text: str) -> bytes:
         if not self.by_word:
             return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        for known in (self.words, self.parts):
-            if len(known) > self.most:
+        for known, most in ((self.words, self.most), (self.parts, 2 * self.most)):
+            if len(known) > most:
                 known.clear()
                 known[""] = b""
         words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
@@ -231,18 +238,20 @@ def word_encoder(path: str) -> WordEncoder:
 
 
 def tokenize_pieces(docs: DataFrame, tokenizer: str, capacity: int, *, with_ids: bool = False) -> DataFrame:
-    """Rows doc_id, piece, start, length, ids_crc32 (and ids as bytes) of every document's pieces.
+    """Rows doc_id, piece, start, length, ids_crc32, part, place (and ids as bytes) of every document's pieces: place counts
+    the pieces of one length that the task `part` made, from 0.
 
     A document is its token ids and then id 0; pieces end at multiples of `capacity`.
     A null text is an empty one: one piece, of id 0 alone. Null ids stay null; other
     columns are not read.
     """
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, place long" + ", ids binary" * with_ids
+    fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("place", pa.int64())]
     out = pa.schema([*fields, ("ids", pa.binary())] if with_ids else fields)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_encoder(tokenizer)
+        task, made = TaskContext.get().partitionId(), Counter()
         for batch in batches:
             rows: list[tuple] = []
             held = 0
@@ -250,9 +259,11 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, capacity: int, *, with_ids:
                 data = encode(text.as_py()) + b"\0\0\0\0"
                 for k, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at : at + 4 * capacity]
-                    rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part), part)[: len(out)])
+                    n = len(part) // 4
+                    rows.append((doc, k, at // 4, n, zlib.crc32(part), task, made[n], part)[: len(out)])
+                    made[n] += 1
                     held += len(part) * with_ids
-                if held > 1 << 24:
+                if held > 1 << 22:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), out.types, strict=True)], schema=out)
                     rows, held = [], 0
             if rows:
@@ -261,27 +272,23 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, capacity: int, *, with_ids:
     return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(pieces, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, *, with_ids: bool = False, ranked_rows: int = 100_000) -> DataFrame:
-    """Every piece of every document with its sequence_id and its offset there.
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, *, with_ids: bool = False) -> DataFrame:
+    """Every piece of every document with its sequence_id and its offset there, and its ids if asked for.
 
     docs: doc_id, text and any other columns, which are left out. Null texts are empty
     texts; an empty text is one piece of length 1. Repeated rows are packed each on its own.
     No documents give no rows. Each sequence is filled without holes from offset 0.
-
-    A length that very many pieces have (short texts, or full pieces of long ones) is
-    ranked in parts of about `ranked_rows` pieces, so no task gets it whole.
     """
     spark = docs.sparkSession
     pieces = stored(tokenize_pieces(docs, tokenizer, capacity, with_ids=with_ids), "pieces")
-    # At most one row for each length up to `capacity`.
-    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    parts = pieces_of(max(counts.values(), default=0), ranked_rows)
-    pieces = pieces.withColumn("part", salt(parts, "doc_id", "piece", "ids_crc32"))
+    # One row for each length and task, numbered through the tasks.
     before = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
-    before = before.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
-    order = Window.partitionBy("length", "part").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = pieces.withColumn("place", F.row_number().over(order) - 1).join(before, ["length", "part"])
-    ranked = ranked.withColumn("rank", F.col("place") + F.col("before"))
+    before = stored(before.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")), "before")
+    counts = {r["length"]: r["n"] for r in before.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
+    side = before.select("length", "part", "before")
+    if before.count() <= BROADCAST_COUNTS:
+        side = F.broadcast(side)
+    ranked = pieces.join(side, ["length", "part"]).withColumn("rank", F.col("place") + F.col("before"))
     runs = spark.createDataFrame(
         [(r.length, r.first_rank, r.first_rank + r.n, r.first_sequence, r.offset) for r in plan_packing(counts, capacity)],
         "length long, from_rank long, to_rank long, first_sequence long, offset long",
