@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesseral.llm import lines, minhash, mixing, packing, quality
-from tesseral.llm.common import stored
+from tesseral.llm.common import small_batches, stored
 from tesseral.llm.queries import _tokenizer
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
+    small_batches(spark)
     return quality.classify_quality(docs).where("kept").select(*docs.columns)
 
 
@@ -28,6 +29,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of copies and near copies."""
+    small_batches(spark)
     return minhash.keep_one_each(docs)
 
 
@@ -38,6 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, each copy on its own, with their sequences and token ids."""
+    small_batches(spark)
     return packing.pack_documents(docs, _tokenizer(), 2048, with_ids=True)
 
 
