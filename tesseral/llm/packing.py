@@ -187,7 +187,7 @@ class WordEncoder:
     whole texts under any other tokenizer, go through all of the tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 100_000):
+    def __init__(self, path: str, most: int = 200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
