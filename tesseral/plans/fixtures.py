@@ -29,7 +29,7 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _sql(spark, sf_dir, "orders", """
         select distinct o_orderstatus as region_id, o_orderkey % 2 as side, cast(2 + o_orderkey % 5 as bigint) as zx,
           (o_orderkey*40503) % (1L << cast(2 + o_orderkey % 5 as int)) as ix, cast(2 + o_custkey % 4 as bigint) as zy,
-          (o_custkey*7919) % (1L << cast(2 + o_custkey % 4 as int)) as iy from {t} where o_orderkey % 16 < 6""")
+          (o_custkey*7919) % (1L << cast(2 + o_custkey % 4 as int)) as iy from {t}""")
     return as_cells(rows, x=("zx", "ix"), y=("zy", "iy"))
 
 
@@ -46,10 +46,10 @@ def grid_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """region_id, side and distinct cells of zoom 12 on x, about half of all."""
+    """region_id, side and distinct cells of zoom 16 on x."""
     rows = _sql(spark, sf_dir, "lineitem", """
-        select distinct l_returnflag as region_id, l_linenumber % 2 as side, 12 as zx,
-          (l_orderkey*31 + l_linenumber*7 + l_partkey % 3) % 4096 as ix from {t} where l_orderkey % 5 = 0""")
+        select distinct l_returnflag as region_id, l_linenumber % 2 as side, 16 as zx,
+          (l_orderkey*31 + l_linenumber*7 + l_partkey % 3) % 65536 as ix from {t}""")
     return as_cells(rows, x=("zx", "ix"))
 
 
@@ -63,7 +63,7 @@ def flight_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, sf_dir, "events", f"""
         select user_id % 40 as flight_id, {START_S} + event_id*61 % 7200 as epoch_s, case when event_id % 9 = 0 then 'climb' else 'cruise' end as phase,
           37.45D + cast((user_id*53 + event_id % 7) % 40 as double)/10000D as lat, 139.90D + cast((user_id*37 + event_id % 5) % 40 as double)/10000D as lon,
-          200D + cast(event_id % 10 as double) as ground_m, 240D + cast(event_id % 31 as double) as amsl_m from {{t}} where event_id % 4 = 0""")
+          200D + cast(event_id % 10 as double) as ground_m, 240D + cast(event_id % 31 as double) as amsl_m from {{t}}""")
 
 
 EP = "(epoch_us(ts)//1000000)"
@@ -74,13 +74,13 @@ CTE = {
         37.45::double + ((user_id*53 + event_id % 30) % 100)::double/1000::double as lat, value as alt, {EP} as t from events)""",
     "cells": """cells as (select distinct o_orderstatus as region_id, o_orderkey % 2 as side, (2 + o_orderkey % 5)::int as zx,
         (o_orderkey*40503) % (1::bigint << (2 + o_orderkey % 5)::int) as vx, (2 + o_custkey % 4)::int as zy,
-        (o_custkey*7919) % (1::bigint << (2 + o_custkey % 4)::int) as vy from orders where o_orderkey % 16 < 6)""",
+        (o_custkey*7919) % (1::bigint << (2 + o_custkey % 4)::int) as vy from orders)""",
     "grid": """grid as (select distinct l_returnflag as region_id, (l_orderkey*7 + l_linenumber*3) % 32 as ix, (l_partkey*5 + l_linenumber) % 32 as iy,
         l_suppkey % 4 as ih from lineitem where l_orderkey % 3 = 0)""",
     "line": """line as (select distinct l_returnflag as region_id, l_linenumber % 2 as side,
-        (l_orderkey*31 + l_linenumber*7 + l_partkey % 3) % 4096 as ix from lineitem where l_orderkey % 5 = 0)""",
+        (l_orderkey*31 + l_linenumber*7 + l_partkey % 3) % 65536 as ix from lineitem)""",
     "intervals": f"intervals as (select user_id as key, event_id, {EP} as start_s, {EP} + 300 + (event_id % 7)*3600 as end_s from events)",
     "samples": f"""samples as (select user_id % 40 as flight_id, {START_S} + event_id*61 % 7200 as epoch_s, case when event_id % 9 = 0 then 'climb' else 'cruise' end as phase,
         37.45::double + ((user_id*53 + event_id % 7) % 40)::double/10000::double as lat, 139.90::double + ((user_id*37 + event_id % 5) % 40)::double/10000::double as lon,
-        200::double + (event_id % 10)::double as ground_m, 240::double + (event_id % 31)::double as amsl_m from events where event_id % 4 = 0)""",
+        200::double + (event_id % 10)::double as ground_m, 240::double + (event_id % 31)::double as amsl_m from events)""",
 }

@@ -125,7 +125,7 @@ O["expand_atoms"] = _with("cells") + f"select * from {expanded('cells')}"
 for _name, _op in (("atoms_union", "union"), ("atoms_intersection", "intersect"), ("atoms_difference", "except")):
     O[_name] = _with("cells", SIDES) + f"select * from {expanded('a', 'vx % 3 <> 0')} {_op} select * from {expanded('b', 'vx % 3 <> 1')}"
 O["remove_subsumed"] = _with("cells", C) + f"select * from c where not exists (select 1 from c d where d.region_id = c.region_id and (d.zx <> c.zx or d.zy <> c.zy) and {covers('d', 'c')})"
-O["normalize_1d_uniform"] = _with("line", closed("n", "line", "region_id", "ix", 12, ("zx", "vx"))) + "select * from n"
+O["normalize_1d_uniform"] = _with("line", closed("n", "line", "region_id", "ix", 16, ("zx", "vx"))) + "select * from n"
 
 
 def _three(source: str, key: str) -> str:
@@ -137,7 +137,7 @@ O["normalize_attributes"] = _with("grid", "m as (select ix, iy, ih, string_agg(r
 O["normalize_mixed"] = _with("cells") + f"select * from {expanded('cells', 'vx % 3 <> 0')}"
 _ab = "a as (select region_id, ix from line where side = 0), b as (select region_id, ix from line where side = 1)"
 for _name, _op in (("union_region", "union"), ("intersection_region", "intersect"), ("difference_1d", "except")):
-    O[_name] = _with("line", _ab, f"s as (select * from a {_op} select * from b)", closed("n", "s", "region_id", "ix", 12, ("zx", "vx"))) + "select * from n"
+    O[_name] = _with("line", _ab, f"s as (select * from a {_op} select * from b)", closed("n", "s", "region_id", "ix", 16, ("zx", "vx"))) + "select * from n"
 O["difference_2d"] = _with("cells", SIDES) + f"select * from {expanded('a', 'vx % 3 <> 0')} except select * from {expanded('b', 'zx >= 5 and zy >= 4 and vx % 3 <> 1')}"
 _part = "region_id <> 'P' or zx < 6"
 O["semantic_equal"] = _with("cells", f"p as (select * from {expanded('cells')})", f"q as (select * from {expanded('cells', _part)})") + """
@@ -155,9 +155,9 @@ O["neighbor_clamp"] = _moves("true", f"greatest(0, least(vx + dx, {_nx} - 1))",
 O["neighbor_membership"] = _with("cells", SIDES, "o as (select * from (values (0, 1, 0), (1, 0, -1)) t(offset_id, dx, dy))", "m as (select b.*, offset_id, b.vx + dx as mx, b.vy + dy as my from b, o)") + """
 select region_id, zx, zy, vx, vy, offset_id::int as offset_id, mx between 0 and (1::bigint << zx) - 1 and my between 0 and (1::bigint << zy) - 1 and exists (
   select 1 from a where a.region_id = m.region_id and a.zx <= m.zx and a.zy <= m.zy and a.vx = m.mx >> greatest(m.zx - a.zx, 0) and a.vy = m.my >> greatest(m.zy - a.zy, 0)) as member from m"""
-O["prefix_dilate_1d"] = _with("line", "s as (select distinct region_id, ix from line where ix % 5 <> 0)", closed("n", "s", "region_id", "ix", 12, ("zx", "vx")),
+O["prefix_dilate_1d"] = _with("line", "s as (select distinct region_id, ix from line where ix % 5 <> 0)", closed("n", "s", "region_id", "ix", 16, ("zx", "vx")),
   "w as (select region_id, zx, vx + d as vx from n, (values (-1), (0), (1)) t(d) where vx + d between 0 and (1::bigint << zx) - 1)",
-  "u as (select distinct region_id, (vx << (12 - zx)) + i as ix from w, lateral (select unnest(range(0, 1::bigint << (12 - zx)))) as g(i))", closed("m", "u", "region_id", "ix", 12, ("zx", "vx"))) + "select * from m"
+  "u as (select distinct region_id, (vx << (16 - zx)) + i as ix from w, lateral (select unnest(range(0, 1::bigint << (16 - zx)))) as g(i))", closed("m", "u", "region_id", "ix", 16, ("zx", "vx"))) + "select * from m"
 _steps = "d as (select * from (values (1, 0), (-1, 0), (0, 1), (0, -1)) t(dx, dy))"
 O["grid_dilate"] = _with("grid", _steps) + "select region_id, ix as vx, iy as vy, ih as vf from grid union select region_id, ix + dx, iy + dy, ih from grid, d where ix + dx between 0 and 31 and iy + dy between 0 and 31"
 O["grid_erode"] = _with("grid", _steps) + "select g.region_id, g.ix as vx, g.iy as vy, g.ih as vf from grid g join d on true join grid h on h.region_id = g.region_id and h.ih = g.ih and h.ix = g.ix + dx and h.iy = g.iy + dy group by all having count(*) = 4"
@@ -199,14 +199,14 @@ select event_id, start_s, end_s, (32 - k)::int as zt, v as vt from (
 O["h_cover"] = _with("points") + f"select point_id, unnest(range({f_tile('(alt - 10)', 12)}, {f_tile('greatest(alt - 10, alt + 15 - 1e-9)', 12)} + 1)) as h12 from points"
 
 _RES = f"""base as (select flight_id, {x_tile("lon", 20)} as x, {y_tile("lat", 20)} as y, greatest({START_S}, epoch_s - 300) as start_s, least({END_S}, epoch_s + 300) as end_s,
-      {f_tile("(ground_m + 20e0)", 12)} as h0, {f_tile("(ground_m + 40e0 - 1e-9)", 12)} as h1 from samples where phase = 'cruise' and flight_id < 20),
+      {f_tile("(ground_m + 20e0)", 12)} as h0, {f_tile("(ground_m + 40e0 - 1e-9)", 12)} as h1 from samples where phase = 'cruise'),
     {_ring}, around as (select flight_id, 2*x + dx as x21, 2*y + dy as y21, unnest(range(h0, h1 + 1)) as h12, start_s, end_s from base, w),
     {_merged("around", "flight_id x21 y21 h12", "res")}"""
 O["reservation_atoms"] = _with("samples", _RES) + "select * from res"
 
 
 def _judged(shift: str) -> str:
-    return f"""s as (select flight_id, epoch_s + flight_id * 20 as epoch_s, phase, lat, lon, amsl_m from samples where flight_id < 20),
+    return f"""s as (select flight_id, epoch_s + flight_id * 20 as epoch_s, phase, lat, lon, amsl_m from samples),
     s2 as (select flight_id, epoch_s, phase, {x_tile(f"(lon + {shift})", 21)} as x21, {y_tile("lat", 21)} as y21, {f_tile("amsl_m", 12)} as h12 from s),
     j as (select s2.*, phase = 'cruise' as applies,
       exists (select 1 from res r where r.flight_id = s2.flight_id and r.x21 = s2.x21 and r.y21 = s2.y21 and r.h12 = s2.h12 and r.start_s <= s2.epoch_s and s2.epoch_s < r.end_s) as hit,
@@ -231,12 +231,12 @@ O["asof_sample"] = _with("samples", "s as (select flight_id, epoch_s, max(amsl_m
 select q.flight_id, q.epoch_s, case when q.epoch_s <= last and s.epoch_s is not null then s.epoch_s else -1 end as s_epoch_s, case when q.epoch_s <= last and s.epoch_s is not null then s.amsl_m else -1e0 end as s_amsl_m
 from q asof left join s on q.flight_id = s.flight_id and q.epoch_s >= s.epoch_s left join ends on ends.flight_id = q.flight_id"""
 O["timeslice_coverage"] = _with("samples", _RES, f"act as (select distinct flight_id, x21, y21, h12 from res where start_s <= {START_S + 3600} and {START_S + 3600} < end_s)",
-  "cov as (select x21, y21, h12, count(*) as n from act group by all)", "bands as (select i as flight_id, (20 + i % 2 * 30)::double as agl_bottom_m, (40 + i % 2 * 30)::double as agl_top_m from range(0, 20) t(i))") + """
+  "cov as (select x21, y21, h12, count(*) as n from act group by all)", "bands as (select i as flight_id, (20 + i % 2 * 30)::double as agl_bottom_m, (40 + i % 2 * 30)::double as agl_top_m from range(0, 40) t(i))") + """
 select x21, y21, agl_bottom_m, agl_top_m, array_to_string(list_sort(list(distinct flight_id)), '|') as flights, array_to_string(list_sort(list(distinct h12)), '|') as layers, max(n) as coverage
 from act join cov using (x21, y21, h12) join bands using (flight_id) group by x21, y21, agl_bottom_m, agl_top_m"""
 _fl = ", ".join(f"{b}::double + (k * {m} % 40)::double / 2000 as {n}" for n, b, m in (("olat", 37.45, 7), ("olon", 139.9, 11), ("dlat", 37.46, 13), ("dlon", 139.91, 17)))
 O["nominal_trajectory"] = f"""with f as (select k, {START_S} + k % 34 * 180 as dep, {_fl}, 180e0 + k % 20 as og, 190e0 + k % 25 as dg, ([30e0, 50e0, 100e0])[k % 3 + 1] as agl, ([5e0, 8e0, 10e0])[k % 7 % 3 + 1] as v
-    from (select o_orderkey as k from orders where o_orderkey % 300 = 0)),
+    from (select s_suppkey as k from supplier)),
   r as (select *, radians(dlon - olon) as dl, 2e0*6378137e0*asin(sqrt(pow(sin(radians(dlat-olat)/2), 2) + cos(radians(olat))*cos(radians(dlat))*pow(sin(radians(dlon-olon)/2), 2))) as dist, agl / 3e0 as climb from f),
   r2 as (select *, dist / v as cruise, atan2(sin(dl)*cos(radians(dlat)), cos(radians(olat))*sin(radians(dlat)) - sin(radians(olat))*cos(radians(dlat))*cos(dl)) as brg from r),
   s as (select *, unnest(range(0, least(ceil(climb + cruise + agl / 3e0)::bigint, {END_S} - dep) + 1)) as e from r2 where dep <= {END_S}),

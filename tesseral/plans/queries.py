@@ -363,7 +363,7 @@ def h_cover(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _reserved(spark: SparkSession, sf: str) -> DataFrame:
-    return airspace.reservations(fixtures.flight_samples(spark, sf).where("flight_id < 20"), F.lit(20.0), F.lit(40.0), START_S, END_S)
+    return airspace.reservations(fixtures.flight_samples(spark, sf), F.lit(20.0), F.lit(40.0), START_S, END_S)
 
 
 @query
@@ -373,14 +373,14 @@ def reservation_atoms(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def conformance(spark: SparkSession, sf: str) -> DataFrame:
-    samples = fixtures.flight_samples(spark, sf).where("flight_id < 20").withColumn("epoch_s", F.col("epoch_s") + F.col("flight_id") * 20)
+    samples = fixtures.flight_samples(spark, sf).withColumn("epoch_s", F.col("epoch_s") + F.col("flight_id") * 20)
     samples = samples.withColumn("lon", F.col("lon") + F.when(F.col("epoch_s") % 3 == 0, 0.0008).otherwise(0.0))
     return airspace.conformance(samples, _reserved(spark, sf)).select("flight_id", "epoch_s", "phase", "x21", "y21", "h12", "inside", "violation")
 
 
 @query
 def conformance_counts(spark: SparkSession, sf: str) -> DataFrame:
-    samples = fixtures.flight_samples(spark, sf).where("flight_id < 20").withColumn("epoch_s", F.col("epoch_s") + F.col("flight_id") * 20)
+    samples = fixtures.flight_samples(spark, sf).withColumn("epoch_s", F.col("epoch_s") + F.col("flight_id") * 20)
     counts = airspace.conformance_counts(airspace.conformance(samples, _reserved(spark, sf)))
     return counts.withColumn("inside_ratio", F.round("inside_ratio", 9))
 
@@ -407,7 +407,7 @@ def asof_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def timeslice_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    bands = spark.range(20).selectExpr("id as flight_id", "cast(20 + id % 2 * 30 as double) as agl_bottom_m", "cast(40 + id % 2 * 30 as double) as agl_top_m")
+    bands = spark.range(40).selectExpr("id as flight_id", "cast(20 + id % 2 * 30 as double) as agl_bottom_m", "cast(40 + id % 2 * 30 as double) as agl_top_m")
     sliced = airspace.time_slice(_reserved(spark, sf), bands, START_S + 3600)
     text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), "|").alias(c)
     return sliced.select("x21", "y21", "agl_bottom_m", "agl_top_m", text("flights"), text("layers"), "coverage")
@@ -416,14 +416,14 @@ def timeslice_coverage(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def timeslice_composed(spark: SparkSession, sf: str) -> DataFrame:
     """Rows only: a time slice merged in x and y where band and flights are equal."""
-    bands = spark.range(20).selectExpr("id as flight_id", "cast(20 + id % 2 * 30 as double) as agl_bottom_m", "cast(40 + id % 2 * 30 as double) as agl_top_m")
+    bands = spark.range(40).selectExpr("id as flight_id", "cast(20 + id % 2 * 30 as double) as agl_bottom_m", "cast(40 + id % 2 * 30 as double) as agl_top_m")
     return airspace.composed_slice(airspace.time_slice(_reserved(spark, sf), bands, START_S + 3600))
 
 
 def flights(spark: SparkSession, sf: str) -> DataFrame:
-    """A flight for every 300th order."""
-    o = spark.read.parquet(f"{sf}/orders.parquet").where("o_orderkey % 300 = 0")
-    k, place = F.col("o_orderkey"), lambda base, m: F.lit(base) + (F.col("o_orderkey") * m % 40).cast("double") / 2000
+    """A flight for every supplier."""
+    o = spark.read.parquet(f"{sf}/supplier.parquet")
+    k, place = F.col("s_suppkey"), lambda base, m: F.lit(base) + (F.col("s_suppkey") * m % 40).cast("double") / 2000
     return o.select(
         k.alias("flight_id"), (F.lit(START_S) + k % 34 * 180).cast("long").alias("departure_s"), place(37.45, 7).alias("origin_lat"), place(139.9, 11).alias("origin_lon"),
         (F.lit(180.0) + k % 20).alias("origin_ground_m"), place(37.46, 13).alias("destination_lat"), place(139.91, 17).alias("destination_lon"), (F.lit(190.0) + k % 25).alias("destination_ground_m"),
