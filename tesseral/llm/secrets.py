@@ -30,8 +30,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 LEAST_ASSIGNED = 6
 
-#: A name, an assignment sign and what follows it on the line.
-_PAIR = re.compile(r"""(?<![\w.$-])["']?([A-Za-z_][\w.-]{1,63})["']?[ \t]*(?::=|=>|[:=](?!=))[ \t]*(?=["'\w+/$({-])([^\n;,]{1,4096})""", re.A)
+#: A name, an assignment sign and, looked at only, what follows it on the line: it may hold pairs of its own.
+_PAIR = re.compile(r"""(?<![\w.$-])["']?([A-Za-z_][\w.-]{1,63})["']?[ \t]*(?::=|=>|[:=](?!=))[ \t]*(?=["'\w+/$({-])(?=([^\n;,]{1,4096}))""", re.A)
 #: Parts of an expression: a quoted literal, or a bare word.
 _PART = re.compile(r""""((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([A-Za-z0-9/_$][A-Za-z0-9+/_.=$-]*)""", re.A)
 _NAME = re.compile(r"[A-Za-z_]\w*\Z", re.A)
@@ -75,32 +75,36 @@ def literal_spans(text: str, threshold: float = 3.4) -> list[Span]:
     """Literals that reach a sensitive name, straight or through other names.
 
     Expressions may join literals and names with +; a name stands for its latest constant
-    before it. A span is a literal without its quotes, where it is written.
+    before it. A span is a literal without its quotes, where it is written. Pairs inside the value of
+    another are lexed like others; those inside a quoted literal end with it.
     """
     if not _HINT.search(text):
         return []
     known: dict[str, list[tuple[str, int, int]]] = {}
     best: dict[tuple[int, int], float] = {}
+    quoted = (0, 0)  # the last quoted literal that is a value
     for m in _PAIR.finditer(text):
         name, at = m.group(1), m.start(2)
+        value = m.group(2)[: quoted[1] - at] if quoted[0] <= m.start(1) and at <= quoted[1] else m.group(2)
         parts: list[tuple[str, int, int]] = []
         end = 0
-        for p in _PART.finditer(m.group(2)):
-            between = m.group(2)[end : p.start()].strip(" \t()")
+        for p in _PART.finditer(value):
+            between = value[end : p.start()].strip(" \t()")
             if end and between not in ("+", ".", ".."):
                 break
             k = p.lastindex
             if k == 3 and _NAME.match(p[3].lstrip("$")) and p[3].lstrip("$") in known:
                 parts += known[p[3].lstrip("$")]
             elif k is not None and p[k]:
+                if k < 3 and at + p.start(k) >= quoted[1]:
+                    quoted = at + p.start(k), at + p.end(k)
                 parts.append((p[k], at + p.start(k), at + p.end(k)))
             end = p.end()
         if not parts:
             continue
         known[name] = parts[-8:]
         if told := name_score(name):
-            value = "".join(x for x, _, _ in parts)
-            score = told + value_score(value)
+            score = told + value_score("".join(x for x, _, _ in parts))
             if score >= threshold:
                 for _, a, b in parts:
                     best[a, b] = max(score, best.get((a, b), 0))

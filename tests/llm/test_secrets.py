@@ -48,6 +48,15 @@ def test_constants_are_propagated():
     assert found('part = "Zx81Qp09LmNn"\npart2 = part\n') == []
 
 
+def test_pairs_in_values_of_others():
+    assert found('{"db": {"access_key": "Zx81Qp09LmNnOo22"}}') == ["Zx81Qp09LmNnOo22"]
+    assert found('client = Client(access_key="Zx81Qp09LmNnOo22")') == ["Zx81Qp09LmNnOo22"]
+    assert found("'connecting: pwd=Zx81Qp09LmNnOo22'") == ["Zx81Qp09LmNnOo22"]
+    assert found("INFO note: at 10:30 and so on pwd: Zx81Qp09LmNnOo22") == ["Zx81Qp09LmNnOo22"]
+    assert found("'https://host/x?pwd=Zx81Qp09LmNnOo22'") == ["Zx81Qp09LmNnOo22"]
+    assert found('url = "https://host/x?pwd=Zx81Qp09LmNnOo22" + "?pwd=" + word + " is 1 Long text"') == ["Zx81Qp09LmNnOo22"]
+
+
 def test_query_against_brute_force(spark):
     sf_dir = "/root/testdata/sf0.01"
     got = op4_secret_scan(spark, sf_dir).collect()
