@@ -9,6 +9,7 @@ the value looks. Literals that score enough are spans of the kind `literal`.
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import Counter
@@ -30,11 +31,16 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 LEAST_ASSIGNED = 6
 
-#: A name, an assignment sign and, looked at only, what follows it on the line: it may hold pairs of its own.
-_PAIR = re.compile(r"""(?<![\w.$-])["']?([A-Za-z_][\w.-]{1,63})["']?[ \t]*(?::=|=>|[:=](?!=))[ \t]*(?=["'\w+/$({-])(?=([^\n;,]{1,4096}))""", re.A)
+#: A name and an assignment sign, before something that can be a value. The value may hold pairs of its own.
+_PAIR = re.compile(r"""(?<![\w.$-])["']?([A-Za-z_][\w.-]*+)["']?[ \t]*+(?::=|=>|[:=](?!=))[ \t]*+(?=["'\w+/$({-])""", re.A)
 #: Parts of an expression: a quoted literal, or a bare word.
-_PART = re.compile(r""""((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([A-Za-z0-9/_$][A-Za-z0-9+/_.=$-]*)""", re.A)
-_NAME = re.compile(r"[A-Za-z_]\w*\Z", re.A)
+_PART = re.compile(r""""([^"\\\n]*+(?:\\.[^"\\\n]*+)*+)"|'([^'\\\n]*+(?:\\.[^'\\\n]*+)*+)'|([A-Za-z0-9/_$][A-Za-z0-9+/_.=$-]*+)""", re.A)
+_SKIP = re.compile(r"""[^\n;,"'A-Za-z0-9/_$]*+""")
+_JOIN = re.compile(r"[ \t()]*+(?:\+|\.\.?)[ \t()]*+")
+_NAME = re.compile(r"\$*+([A-Za-z_]\w*+)\Z", re.A)
+#: Values that begin like this, or are this, are placeholders; none needs more than the first _HEAD characters.
+_PLACEHOLDER = re.compile(r"[<${].*|true|false|null|none|changeme|example.*|your.*", re.I | re.S)
+_HEAD = 9
 #: Words in names, and how much each says that the value is secret.
 SENSITIVE = {"password": 3.0, "passwd": 3.0, "pwd": 2.5, "passphrase": 3.0, "secret": 3.0, "token": 2.5, "apikey": 3.0, "api_key": 3.0, "credential": 2.5, "credentials": 2.5, "private_key": 3.0, "access_key": 3.0, "auth": 1.5, "bearer": 2.0, "signing_key": 2.5, "client_secret": 3.0, "connection_string": 2.0}
 _SENSITIVE = re.compile("|".join(sorted(SENSITIVE, key=len, reverse=True)))
@@ -64,11 +70,60 @@ def name_score(name: str) -> float:
 
 def value_score(value: str) -> float:
     """0 to 2: long values of many kinds of characters look random; words, numbers and placeholders don't."""
-    if len(value) < 6 or re.fullmatch(r"(.)\1*|x+|[<${].*|true|false|null|none|changeme|example.*|your.*", value, re.I | re.S):
+    return _random(len(value), Counter(value), value[:_HEAD])
+
+
+def _random(length: int, counts: Counter, head: str) -> float:
+    if length < 6 or len({c.lower() for c in counts}) == 1 or _PLACEHOLDER.fullmatch(head):
         return 0.0
-    bits = -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
-    kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    return min(1.0, bits / 3.5) * (0.25 + 0.25 * kinds) + min(0.75, len(value) / 40)
+    bits = -sum(r * math.log2(r) for n in counts.values() if (r := n / length))
+    letters = "".join(counts)
+    kinds = sum(bool(re.search(p, letters)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+    return min(1.0, bits / 3.5) * (0.25 + 0.25 * kinds) + min(length, 30) / 40
+
+
+class _Value:
+    """A literal (start, end) or the joined values of `parts`, held by reference however long they are."""
+
+    __slots__ = ("start", "end", "parts", "told", "score")
+
+    def __init__(self, start: int = 0, end: int = 0, parts: tuple[_Value, ...] = ()):
+        self.start, self.end, self.parts = start, end, parts
+        self.told: tuple[int, Counter, str] | None = None
+        self.score = 0.0
+
+
+def _told(value: _Value, text: str) -> tuple[int, Counter, str]:
+    """Length, characters and beginning of the whole value: all that its score depends on."""
+    todo = [value]
+    while todo:
+        v = todo[-1]
+        missing = [p for p in v.parts if p.told is None]
+        if missing:
+            todo += missing
+            continue
+        todo.pop()
+        if v.told is not None:
+            continue
+        if not v.parts:
+            v.told = v.end - v.start, Counter(text[v.start : v.end]), text[v.start : min(v.end, v.start + _HEAD)]
+            continue
+        counts: Counter = Counter()
+        for p in v.parts:
+            counts.update(p.told[1])
+        v.told = sum(p.told[0] for p in v.parts), counts, "".join(p.told[2] for p in v.parts[:_HEAD])[:_HEAD]
+    return value.told
+
+
+def _part_at(text: str, at: int, end: int) -> re.Match | None:
+    """The first part of an expression: what is neither quote nor word is skipped, and so is a quote that isn't closed."""
+    while True:
+        at = _SKIP.match(text, at, end).end()
+        if at == end or text[at] in "\n;,":
+            return None
+        if (p := _PART.match(text, at, end)) is not None:
+            return p
+        at += 1
 
 
 def literal_spans(text: str, threshold: float = 3.4) -> list[Span]:
@@ -76,38 +131,48 @@ def literal_spans(text: str, threshold: float = 3.4) -> list[Span]:
 
     Expressions may join literals and names with +; a name stands for its latest constant
     before it. A span is a literal without its quotes, where it is written. Pairs inside the value of
-    another are lexed like others; those inside a quoted literal end with it.
+    another are lexed like others; those inside a quoted literal end with it. Names, literals and constants have any length.
     """
     if not _HINT.search(text):
         return []
-    known: dict[str, list[tuple[str, int, int]]] = {}
-    best: dict[tuple[int, int], float] = {}
-    quoted = (0, 0)  # the last quoted literal that is a value
+    known: dict[str, _Value] = {}
+    values: list[_Value] = []  # those of several parts come after their parts
+    quoted: list[tuple[int, int]] = []  # quoted literals that are values, outermost only, in order
     for m in _PAIR.finditer(text):
-        name, at = m.group(1), m.start(2)
-        value = m.group(2)[: quoted[1] - at] if quoted[0] <= m.start(1) and at <= quoted[1] else m.group(2)
-        parts: list[tuple[str, int, int]] = []
-        end = 0
-        for p in _PART.finditer(value):
-            between = value[end : p.start()].strip(" \t()")
-            if end and between not in ("+", ".", ".."):
-                break
+        name, at = m.group(1), m.end()
+        i = bisect.bisect_right(quoted, (m.start(1), len(text))) - 1
+        stop = quoted[i][1] if i >= 0 and at <= quoted[i][1] else len(text)
+        parts: list[_Value] = []
+        p = _part_at(text, at, stop)
+        while p is not None:
             k = p.lastindex
-            if k == 3 and _NAME.match(p[3].lstrip("$")) and p[3].lstrip("$") in known:
-                parts += known[p[3].lstrip("$")]
-            elif k is not None and p[k]:
-                if k < 3 and at + p.start(k) >= quoted[1]:
-                    quoted = at + p.start(k), at + p.end(k)
-                parts.append((p[k], at + p.start(k), at + p.end(k)))
-            end = p.end()
+            a, b = p.span(k)
+            if k == 3 and (word := _NAME.match(text, a, b)) and word[1] in known:
+                parts.append(known[word[1]])
+            elif a < b:
+                if k < 3 and a >= (quoted[-1][1] if quoted else 0):
+                    quoted.append((a, b))
+                parts.append(_Value(a, b))
+                values.append(parts[-1])
+            plus = _JOIN.match(text, p.end(), stop)
+            p = plus and _PART.match(text, plus.end(), stop)
         if not parts:
             continue
-        known[name] = parts[-8:]
+        if len(parts) == 1:
+            known[name] = parts[0]
+        else:
+            known[name] = _Value(parts=tuple(parts))
+            values.append(known[name])
         if told := name_score(name):
-            score = told + value_score("".join(x for x, _, _ in parts))
+            score = told + _random(*_told(known[name], text))
             if score >= threshold:
-                for _, a, b in parts:
-                    best[a, b] = max(score, best.get((a, b), 0))
+                known[name].score = max(score, known[name].score)
+    best: dict[tuple[int, int], float] = {}
+    for v in reversed(values):
+        for p in v.parts:
+            p.score = max(v.score, p.score)
+        if v.score and not v.parts:
+            best[v.start, v.end] = max(v.score, best.get((v.start, v.end), 0))
     return [Span("literal", a, b, s) for (a, b), s in sorted(best.items())]
 
 

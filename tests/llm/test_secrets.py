@@ -57,6 +57,19 @@ def test_pairs_in_values_of_others():
     assert found('url = "https://host/x?pwd=Zx81Qp09LmNnOo22" + "?pwd=" + word + " is 1 Long text"') == ["Zx81Qp09LmNnOo22"]
 
 
+def test_names_literals_and_constants_of_any_length():
+    assert found('k = "Zx81Qp09LmNnOo22"\nsigning_key = k') == ["Zx81Qp09LmNnOo22"]
+    assert found("x" * 100 + '_password = "Zx81Qp09LmNnOo22"') == ["Zx81Qp09LmNnOo22"]
+    assert found('connection_string = "Server=db;User=me,you;Pass=Zx81Qp09"') == ["Server=db;User=me,you;Pass=Zx81Qp09"]
+    assert found("secret = 'ab,cd;Zx81Qp09LmNn' + \"x;y\"") == ["ab,cd;Zx81Qp09LmNn", "x;y"]
+    pem = "Zx81Qp09" * 2000
+    assert found(f'private_key = "{pem}"') == [pem]
+    parts = [f"Zx81Qp{i:02}" for i in range(20)]
+    assert found("k = " + " + ".join(f'"{p}"' for p in parts) + "\nsecret = k") == parts
+    assert found('k = "Zx81Qp09"\n' + 'k = k + k\n' * 3000 + "secret = k") == ["Zx81Qp09"]
+    assert found('k = "Zx81Qp09"\n' + 'k = k + "aB3"\n' * 20_000 + "secret = k") == ["Zx81Qp09"] + ["aB3"] * 20_000
+
+
 def test_query_against_brute_force(spark):
     sf_dir = "/root/testdata/sf0.01"
     got = op4_secret_scan(spark, sf_dir).collect()
