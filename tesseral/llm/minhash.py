@@ -6,7 +6,7 @@ hash orders the sketch of a text is its few smallest labelled k-mers *in the ord
 agree on a sketch if they share those k-mers and have them in the same order, so agreement follows
 edit similarity rather than mere overlap.
 
-Candidates agree on several sketches. They are verified on the whole texts by a
+Candidates agree on several sketches; if one of them has few k-mers, they share some of their rarest ones. They are verified on the whole texts by a
 banded alignment of their k-mers: with L k-mers aligned in order, the similarity is
 L / (n + m - L), and 0.8 or more links two texts.
 
@@ -45,6 +45,8 @@ AGREE = 2
 #: Other pairs are compared if they agree on so many of all sketches: at similarity 0.8 that holds but for 3 pairs in 1,000
 #: that have no other link to their class, at 0.7 for a tenth and at 0.65 for hardly any.
 AGREE_ALL = 20
+#: Pairs of which one text has up to so many k-mers are found by shared k-mers instead of sketches, and none is lost.
+SHORT = 24
 #: Larger buckets are dealt over several tasks.
 BUCKET_ROWS = 2_000
 #: Up to so many texts the ids of those to align are broadcast; beyond that the texts are shuffled to them.
@@ -70,15 +72,16 @@ def kmers(text: str, words: int = WORDS) -> np.ndarray:
 
 def labelled(h: np.ndarray) -> np.ndarray:
     """The hashes mixed with how often the same k-mer stood before."""
+    if not len(h):
+        return h
     order = np.argsort(h, kind="stable")
     s = h[order]
     new = np.concatenate([[True], s[1:] != s[:-1]])
-    if new.all():
-        return h
-    starts = np.flatnonzero(new)
-    nth = np.arange(len(s)) - np.repeat(starts, np.diff(np.append(starts, len(s))))
     out = h.copy()
-    out[order] += nth.astype(np.uint64) * np.uint64(0x94D049BB133111EB)
+    if not new.all():
+        starts = np.flatnonzero(new)
+        nth = np.arange(len(s)) - np.repeat(starts, np.diff(np.append(starts, len(s))))
+        out[order] += nth.astype(np.uint64) * np.uint64(0x94D049BB133111EB)
     out ^= out >> np.uint64(30)
     return out * _MIX
 
@@ -156,24 +159,27 @@ def aligned(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float
     return length / (n + m - length)
 
 
-def sketch_table(docs: DataFrame) -> DataFrame:
-    """Rows doc_id, copy (a 128-bit hash of the whole text), size (its k-mers), keys (sketches that are buckets) and m0, m1, ...: a byte of every sketch, eight in a long."""
+def sketch_table(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows doc_id, copy (a 128-bit hash of the whole text), size (its k-mers), grams (the labelled k-mers of texts that have few), keys (sketches
+    that are buckets; texts of up to SHORT k-mers have none) and m0, m1, ...: a byte of every sketch, eight in a long."""
+    reach = SHORT / threshold + 1e-9  # a longer text is no partner of one of SHORT k-mers
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
         for batch in batches:
-            sizes, keys, marks = [], [], np.zeros((len(batch), SKETCHES), np.uint8)
+            sizes, grams, keys, marks = [], [], [], np.zeros((len(batch), SKETCHES), np.uint8)
             for i, text in enumerate(batch.column(2)):
                 h = kmers(text.as_py())
-                s = sketches(h)
+                s = sketches(h) if len(h) > SHORT else np.zeros(0, np.int64)
+                grams.append(labelled(h).view(np.int64) if 0 < len(h) <= reach else None)
                 sizes.append(len(h))
                 keys.append(s[:BUCKETS])
                 marks[i, : len(s)] = (s >> 48).astype(np.uint8)
-            columns = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            columns = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(grams, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))]
             columns += [pa.array(c, pa.int64()) for c in np.ascontiguousarray(marks.view(np.int64).T)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "copy", "size", "keys", *MARKS])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "copy", "size", "grams", "keys", *MARKS])
 
-    return _with_copy(docs).select("doc_id", "copy", "_text").mapInArrow(sketch, "doc_id long, copy binary, size long, keys array<long>, " + ", ".join(f"{m} long" for m in MARKS))
+    return _with_copy(docs).select("doc_id", "copy", "_text").mapInArrow(sketch, "doc_id long, copy binary, size long, grams array<long>, keys array<long>, " + ", ".join(f"{m} long" for m in MARKS))
 
 
 def _with_copy(docs: DataFrame) -> DataFrame:
@@ -251,9 +257,22 @@ def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
 
 
+def short_bands(distinct: DataFrame, threshold: float) -> DataFrame:
+    """Rows id, key: for each text with grams its rarest ones, so many that two texts of the threshold share one.
+
+    Two bags of n and m k-mers that are as similar share at least threshold * n of them. So they share one of the
+    first n - ceil(threshold * n) + 1 of each, whatever order of k-mers is used; that of rarity keeps the buckets small.
+    """
+    grams = distinct.where(F.col("grams").isNotNull()).select("id", "size", F.explode("grams").alias("gram"))
+    often = grams.groupBy("gram").agg(F.count("*").alias("often")).where("often > 1")
+    ranked = grams.join(often, "gram", "left").groupBy("id", "size").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(1)).alias("often"), "gram"))).alias("ranked"))
+    first = F.slice("ranked", F.lit(1), (F.col("size") - F.ceil(threshold * F.col("size") - 1e-9) + 1).cast("int"))
+    return ranked.select("id", F.explode(first).alias("first")).where("first.often > 1").select("id", F.xxhash64(F.lit(5), "first.gram").alias("key"))
+
+
 def links_of(docs: DataFrame, distinct: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(links a, b, similarity; their components) of the distinct texts (id, copy, doc_id, size, keys, m0, m1, ...)."""
-    bands = distinct.select("id", F.explode("keys").alias("key"))
+    """(links a, b, similarity; their components) of the distinct texts (id, copy, doc_id, size, grams, keys, m0, m1, ...)."""
+    bands = distinct.select("id", F.explode("keys").alias("key")).unionByName(short_bands(distinct, threshold))
     several = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = stored(bands.join(several, "key"), "shared")
     # A bucket's leader is the text that shares most sketches with others: one in the middle of its group.
@@ -269,19 +288,22 @@ def links_of(docs: DataFrame, distinct: DataFrame, threshold: float) -> tuple[Da
     like = stars.select(F.col("a").alias("leader"), F.col("b").alias("id"), "bag")
     classed = stored(_rooted(members, roots).join(like, ["leader", "id"], "left").withColumn("bag", F.when(F.col("id") == F.col("leader"), 1.0).otherwise(F.col("bag"))), "classed")
     mixed = classed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
-    still = classed.join(mixed, "key").join(distinct.select("id", "size", *MARKS), "id").withColumn("short", F.hash("key"))
+    still = classed.join(mixed, "key").join(distinct.select("id", "size", "grams", *MARKS), "id").withColumn("short", F.hash("key"))
     own = still.groupBy("id").agg(F.array_sort(F.collect_set("short")).alias("own"))
-    still = stored(still.join(own, "id").select("key", "short", "id", "size", "root", "bag", "own", *MARKS, F.ceil(F.col("n") / BUCKET_ROWS).cast("int").alias("parts")), "open")
+    still = stored(still.join(own, "id").select("key", "short", "id", "size", "root", "bag", "own", "grams", *MARKS, F.ceil(F.col("n") / BUCKET_ROWS).cast("int").alias("parts")), "open")
     # A bucket of many texts is dealt into parts on one side and repeated on the other. A pair is made in the first of
     # its common buckets only, and only if there are enough of them.
     p = still.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).alias("p")
     q = still.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("q")
     agree = F.lit(SKETCHES) - reduce(Column.__add__, (_bytes_apart(F.col("p." + m), F.col("q." + m)) for m in MARKS))
+    # Bags of few k-mers are counted as they are. Null for a pair of longer texts or one out of reach of each other.
+    shared = F.size(F.array_intersect("p.grams", "q.grams"))
+    enough = F.when(F.least("p.size", "q.size") <= SHORT, shared * (1 + threshold) >= threshold * (F.col("p.size") + F.col("q.size")) - 1e-6).otherwise(agree >= AGREE_ALL)
     tests = [
         F.col("p.key") == F.col("q.key"), F.col("p.part") == F.col("q.part"), F.col("p.id") < F.col("q.id"), F.col("p.root") != F.col("q.root"),
         F.least("p.size", "q.size") >= threshold * F.greatest("p.size", "q.size"),
         F.coalesce(F.abs(F.col("p.bag") - F.col("q.bag")) <= 1 - threshold + 1e-9, F.lit(True)),
-        agree >= AGREE_ALL, F.array_min(F.array_intersect("p.own", "q.own")) == F.col("p.short"),
+        enough, F.array_min(F.array_intersect("p.own", "q.own")) == F.col("p.short"),
     ]
     across = p.join(q, reduce(Column.__and__, tests))
     known = stars.select("a", "b").union(stars.select("b", "a"))
@@ -304,8 +326,8 @@ def duplicate_classes(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataF
     one k-mer. Null ids are classed like others but come after all numbers; a class of null ids alone has a null class_id.
     Repeated rows are copies of each other. No documents give no rows.
     """
-    table = stored(sketch_table(docs), "sketches")
-    distinct = table.groupBy("copy").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("keys").alias("keys"), *[F.first(m).alias(m) for m in MARKS])
+    table = stored(sketch_table(docs, threshold), "sketches")
+    distinct = table.groupBy("copy").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("grams").alias("grams"), F.first("keys").alias("keys"), *[F.first(m).alias(m) for m in MARKS])
     distinct = stored(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct")  # numbered once, as written
     links, roots = links_of(docs, distinct, threshold)
 

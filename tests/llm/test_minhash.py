@@ -113,6 +113,28 @@ def test_groups_and_common_passages(spark):
     assert sorted(r["doc_id"] for r in kept) == sorted(set(got.values()))
 
 
+def test_labels_do_not_depend_on_other_repeats():
+    once, twice = (set(minhash.labelled(minhash.kmers(t)).tolist()) for t in ("a b c d e f g a b c d", "a b c d e f g a b c d e"))
+    assert once < twice
+
+
+def test_short_texts_meet(spark):
+    rnd = random.Random(3)
+    texts = []
+    for n in [8, 9, 10, 11, 12, 13, 15, 20, 24, 27, 28, 29, 33, 34, 40]:
+        for i in range(4):
+            words = [f"s{n}_{i}_{rnd.randrange(10**6)}" for _ in range(n)]
+            texts += [" ".join(words), " ".join([*words, "more"])]
+            if n >= 14:
+                texts += [" ".join([*words[:-2], "a", "b"]), " ".join(words[: -(n // 7)])]
+    texts += [f"a common line of some eight words {i}" for i in range(50)]
+    rows = dict(enumerate(texts))
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in minhash.duplicate_classes(docs).collect()}
+    assert got == classes_by_hand(rows)
+    assert got[1] == 0 and got[9] == 8
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(200)] + [(1000, 1001 + i) for i in range(50)]
     random.Random(1).shuffle(chain)
