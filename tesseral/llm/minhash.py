@@ -13,15 +13,16 @@ L / (n + m - L), and 0.8 or more links two texts.
 Exact copies are classed first, so one text stands for all its copies. In each bucket of equal
 sketches every text is first compared with the bucket's leader only; texts that end up in one class
 need no more comparisons. Only buckets that still hold several classes pair their texts across classes, and
-only those that agree on enough of all sketches, have lengths that allow the threshold, and by the triangle
+only those that agree on enough of all sketches for their lengths, have lengths that allow the threshold, and by the triangle
 inequality can be as similar, given how similar each is to the leader.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,9 +43,8 @@ BUCKETS = 40
 MARKS = tuple(f"m{i}" for i in range(SKETCHES // 8))
 #: Texts are compared with their bucket's leader if they agree on so many buckets.
 AGREE = 2
-#: Other pairs are compared if they agree on so many of all sketches: at similarity 0.8 that holds but for 3 pairs in 1,000
-#: that have no other link to their class, at 0.7 for a tenth and at 0.65 for hardly any.
-AGREE_ALL = 20
+#: Other pairs are compared if they agree on as many of all sketches as pairs of their lengths at the threshold do but for this share.
+LOST = 1e-6
 #: Pairs of which one text has up to so many k-mers are found by shared k-mers instead of sketches, and none is lost.
 SHORT = 24
 #: Larger buckets are dealt over several tasks.
@@ -257,6 +257,30 @@ def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
 
 
+@cache
+def agreements(threshold: float) -> list[tuple[int, int]]:
+    """(n, a), ascending: of pairs with n k-mers or more in all that are as similar as the threshold, all but LOST agree on a sketches.
+
+    With c k-mers of u in common two texts agree on a sketch with a probability of C(c, SMALLEST) / C(u, SMALLEST).
+    """
+    least = []
+    totals = range(2 * SHORT + 2, 2_000)
+    for n in totals:
+        c = math.ceil(threshold * n / (1 + threshold) - 1e-9)
+        p = math.comb(c, SMALLEST) / math.comb(n - c, SMALLEST)
+        below, a = (1 - p) ** SKETCHES, 0
+        while below <= LOST:
+            a += 1
+            below += math.comb(SKETCHES, a) * p**a * (1 - p) ** (SKETCHES - a)
+        least.append(a)
+    low = min(least[-20:])  # the probability still grows with the length, but for the rounding of c
+    steps: dict[int, int] = {}
+    for n, a in zip(reversed(totals), reversed(least), strict=True):
+        low = min(low, a)
+        steps[low] = n
+    return sorted((n, a) for a, n in steps.items())
+
+
 def short_bands(distinct: DataFrame, threshold: float) -> DataFrame:
     """Rows id, key: for each text with grams its rarest ones, so many that two texts of the threshold share one.
 
@@ -296,9 +320,12 @@ def links_of(docs: DataFrame, distinct: DataFrame, threshold: float) -> tuple[Da
     p = still.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).alias("p")
     q = still.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("q")
     agree = F.lit(SKETCHES) - reduce(Column.__add__, (_bytes_apart(F.col("p." + m), F.col("q." + m)) for m in MARKS))
+    needed = F.lit(0)
+    for n, a in agreements(threshold):
+        needed = F.when(F.col("p.size") + F.col("q.size") >= n, a).otherwise(needed)
     # Bags of few k-mers are counted as they are. Null for a pair of longer texts or one out of reach of each other.
     shared = F.size(F.array_intersect("p.grams", "q.grams"))
-    enough = F.when(F.least("p.size", "q.size") <= SHORT, shared * (1 + threshold) >= threshold * (F.col("p.size") + F.col("q.size")) - 1e-6).otherwise(agree >= AGREE_ALL)
+    enough = F.when(F.least("p.size", "q.size") <= SHORT, shared * (1 + threshold) >= threshold * (F.col("p.size") + F.col("q.size")) - 1e-6).otherwise(agree >= needed)
     tests = [
         F.col("p.key") == F.col("q.key"), F.col("p.part") == F.col("q.part"), F.col("p.id") < F.col("q.id"), F.col("p.root") != F.col("q.root"),
         F.least("p.size", "q.size") >= threshold * F.greatest("p.size", "q.size"),

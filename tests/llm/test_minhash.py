@@ -118,6 +118,19 @@ def test_labels_do_not_depend_on_other_repeats():
     assert once < twice
 
 
+def test_agreements_suit_the_length():
+    steps = minhash.agreements(0.8)
+    assert [a for _, a in steps] == sorted({a for _, a in steps})
+    rnd = np.random.default_rng(2)
+    for common, each in ((24, 3), (40, 5), (200, 25)):  # similarity 0.8
+        need = max((a for n, a in steps if 2 * (common + each) >= n), default=0)
+        got = []
+        for _ in range(400):
+            h = rnd.integers(1, 1 << 63, common + 2 * each, np.uint64)
+            got.append(int((minhash.sketches(h[: common + each]) == minhash.sketches(np.delete(h, slice(common, common + each)))).sum()))
+        assert min(got) >= need > 0
+
+
 def test_short_texts_meet(spark):
     rnd = random.Random(3)
     texts = []
