@@ -85,14 +85,12 @@ class KdTree:
                 continue
             scores = self.points[a:b] @ query
             near = np.flatnonzero(scores >= worst) if worst is not None else np.arange(b - a)
+            near = near[self.ids[a + near] != own]
             if len(near) > 4 * k:  # no more than k, and all ties with the last of them, can matter
-                cut = np.partition(scores[near], len(near) - k - 1)[len(near) - k - 1]
+                cut = np.partition(scores[near], len(near) - k)[len(near) - k]
                 near = near[scores[near] >= cut]
             for i in near:
-                x = int(self.ids[a + i])
-                if x == own:
-                    continue
-                item = (int(scores[i]), -x)
+                item = (int(scores[i]), -int(self.ids[a + i]))
                 if len(best) < k:
                     heapq.heappush(best, item)
                 elif item > best[0]:

@@ -75,3 +75,12 @@ def test_vectors_that_take_no_part(spark):
     got = topk.top_k(q, q.where("vec_id % 50 = 0"), 5).collect()
     assert Counter(map(tuple, got)) == Counter([(0, 1, 5, 256 * 255), (0, 2, 5, 256 * 255)])
     assert topk.top_k(q.limit(0), q, 5).count() == 0
+
+
+def test_repeated_own_rows_take_no_places():
+    points = np.array([[100.0]] * 4 + [[float(x)] for x in range(60)])
+    ids = np.array([7] * 4 + list(range(100, 160)))
+    tree = topk.KdTree(points, ids)
+    query = np.array([1.0])
+    got = tree.search(query, tree.bounds(query[None])[0], 7, 5, None)
+    assert sorted(got, reverse=True) == [(x, 100 + x) for x in range(59, 54, -1)]
