@@ -32,14 +32,15 @@ def test_alignment_is_the_longest_common_subsequence():
 
 
 def test_sketches_keep_order_and_occurrences():
+    kmers = lambda text: minhash.kmers(minhash.words_of(text))
     words = [f"w{i}" for i in range(300)]
-    h = minhash.kmers(" ".join(words))
-    moved = minhash.kmers(" ".join(words[150:] + words[:150]))  # almost the same 5-mers, another order
-    near = minhash.kmers(" ".join(words[:100] + ["new"] + words[101:]))
+    h = kmers(" ".join(words))
+    moved = kmers(" ".join(words[150:] + words[:150]))  # almost the same 5-mers, another order
+    near = kmers(" ".join(words[:100] + ["new"] + words[101:]))
     same = lambda x: int((minhash.sketches(h) == minhash.sketches(x)).sum())
     assert same(h) == minhash.SKETCHES
-    assert same(near) > 64 > 16 > same(moved)
-    assert len(set(minhash.labelled(minhash.kmers("a " * 50)).tolist())) == 46
+    assert same(near) > 40 > 28 > same(moved)
+    assert len(set(minhash.labelled(kmers("a " * 50)).tolist())) == 46
 
 
 def multiset(text):
@@ -47,8 +48,20 @@ def multiset(text):
     return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
 
 
+def linked(a, b):
+    """Equal words, or a common run of five words and an alignment of 0.8 or more."""
+    x, y = a.lower().split(), b.lower().split()
+    if x == y:
+        return bool(x)
+    both = sum((Counter(x) & Counter(y)).values())
+    if both < 0.8 * (len(x) + len(y) - both) or not multiset(a) & multiset(b):
+        return False
+    n = lcs(x, y)
+    return n / (len(x) + len(y) - n) >= 0.8
+
+
 def classes_by_hand(texts):
-    """Components of pairs of equal texts or of texts whose 5-mers align to 0.8 or more."""
+    """Components of pairs of equal texts or linked ones."""
     ids = list(texts)
     bags = {i: multiset(t) for i, t in texts.items()}
     where = defaultdict(list)
@@ -66,14 +79,9 @@ def classes_by_hand(texts):
     first = {}
     for i in ids:
         root[find(i)] = find(first.setdefault(texts[i], i))
-    degree = defaultdict(set)
     for a, b in pairs:
-        both = sum((bags[a] & bags[b]).values())
-        if both / (bags[a].total() + bags[b].total() - both) >= 0.8:
-            seq = [[tuple(t.lower().split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))] for t in (texts[a], texts[b])]
-            if texts[a] == texts[b] or lcs(*seq) / (len(seq[0]) + len(seq[1]) - lcs(*seq)) >= 0.8:
-                root[find(a)] = find(b)
-                degree[a].add(texts[b])
+        if find(a) != find(b) and linked(texts[a], texts[b]):
+            root[find(a)] = find(b)
     smallest = {}
     for i in ids:
         smallest[find(i)] = min(i, smallest.get(find(i), i))
@@ -101,7 +109,7 @@ def test_groups_and_common_passages(spark):
     rnd = random.Random(8)
     passage = " ".join(f"p{i}" for i in range(60))
     texts = list(near_copies(rnd, 60, 200, 0.01))  # linked all over
-    texts += list(near_copies(rnd, 25, 120, 0.022))  # near the threshold: chains
+    texts += list(near_copies(rnd, 25, 120, 0.055))  # near the threshold: chains
     texts += [passage + " " + " ".join(f"u{i}_{j}" for j in range(25)) for i in range(80)]  # alike by 60 of 85 words
     texts += [passage + " " + " ".join(f"v{j}" for j in range(25)) + f" x{i}" for i in range(6)]  # alike in truth
     texts += ["same words"] * 5
@@ -114,21 +122,44 @@ def test_groups_and_common_passages(spark):
 
 
 def test_labels_do_not_depend_on_other_repeats():
-    once, twice = (set(minhash.labelled(minhash.kmers(t)).tolist()) for t in ("a b c d e f g a b c d", "a b c d e f g a b c d e"))
+    once, twice = (set(minhash.labelled(minhash.kmers(minhash.words_of(t))).tolist()) for t in ("a b c d e f g a b c d", "a b c d e f g a b c d e"))
     assert once < twice
 
 
-def test_agreements_suit_the_length():
-    steps = minhash.agreements(0.8)
-    assert [a for _, a in steps] == sorted({a for _, a in steps})
+def test_marks_tell_similar_bags():
+    assert minhash.needed_marks(0.8) > 70
     rnd = np.random.default_rng(2)
-    for common, each in ((24, 3), (40, 5), (200, 25)):  # similarity 0.8
-        need = max((a for n, a in steps if 2 * (common + each) >= n), default=0)
+    for common, each in ((24, 3), (400, 50)):  # similarity 0.8
         got = []
-        for _ in range(400):
-            h = rnd.integers(1, 1 << 63, common + 2 * each, np.uint64)
-            got.append(int((minhash.sketches(h[: common + each]) == minhash.sketches(np.delete(h, slice(common, common + each)))).sum()))
-        assert min(got) >= need > 0
+        for _ in range(300):
+            w = rnd.integers(1, 1 << 63, common + 2 * each, np.uint64)
+            got.append(int((minhash.marks(w[: common + each]) == minhash.marks(np.delete(w, slice(common, common + each)))).sum()))
+        assert min(got) >= minhash.needed_marks(0.8) and abs(np.mean(got) - 0.8 * minhash.MARKED) < 4
+    apart = [int((minhash.marks(rnd.integers(1, 1 << 63, 200, np.uint64)) == minhash.marks(rnd.integers(1, 1 << 63, 200, np.uint64))).sum()) for _ in range(50)]
+    assert max(apart) < 10
+
+
+@pytest.mark.parametrize("spread", [True, False])
+def test_recall_of_edits(spark, spread):
+    """Copies with 1 to 10 of 100 words substituted, evenly or anywhere, that align to 0.8 or more: nine in ten are found, and far more of few edits."""
+    rnd = random.Random(21)
+    texts, edits = [], []
+    for k in range(1, 11):
+        for _ in range(40):
+            n = rnd.choice((60, 150, 400))
+            base = [f"r{rnd.randrange(10**8)}" for _ in range(n)]
+            places = [int((i + 0.5) * 100 / k) for i in range(n * k // 100)] if spread else rnd.sample(range(n), n * k // 100)
+            copy = list(base)
+            for i in places:
+                copy[i] = f"e{rnd.randrange(10**8)}"
+            texts += [" ".join(base), " ".join(copy)]
+            edits.append(k)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in minhash.duplicate_classes(docs).collect()}
+    assert all(got[2 * i] == 2 * i for i in range(len(edits)))
+    true = [(k, got[2 * i + 1] == 2 * i) for i, k in enumerate(edits) if linked(texts[2 * i], texts[2 * i + 1])]
+    assert np.mean([hit for k, hit in true]) > 0.95
+    assert np.mean([hit for k, hit in true if k >= 9]) > (0.8 if spread else 0.9) and all(hit for k, hit in true if k <= 4)
 
 
 def test_short_texts_meet(spark):
@@ -164,6 +195,6 @@ def test_odd_rows(odd, none, monkeypatch, most):
     assert by[3] == by[4] == by[6] == 3 and by[5] == 5 and by[None] is None and by[8] == by[9] == 8
     kept = minhash.keep_one_each(odd.withColumn("copy", odd["size"]))
     assert kept.columns == [*odd.columns, "copy"]
-    assert Counter(r["doc_id"] for r in kept.collect()) == Counter([1, 2, 3, 5, None, 7, 8, 10, 11])
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter([1, 3, 5, None, 7, 8, 10, 11])
     assert minhash.duplicate_classes(none).count() == 0
     assert minhash.keep_one_each(none).count() == 0
