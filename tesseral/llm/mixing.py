@@ -3,9 +3,9 @@
 Documents get rates r = min(limit, exp(t * z)), z being a document's size over its source's
 mean size and t the source's multiplier: of all rates between 0 and the limit that meet the
 source's token target, these lie nearest to 1 in Kullback-Leibler divergence. The multipliers maximise a
-concave dual, so Newton's method, kept inside a shrinking bracket, finds them. Everything
-but the last join works on the histogram (source, size) of the corpus, summed before it is
-shuffled, so a source with a third of all rows is no larger a row group than its sizes.
+concave dual, which falls apart by sources: Newton's method, kept inside a shrinking bracket, finds them, all sources
+side by side in one job. Everything but the last join works on the histogram (source, size) of the corpus, summed before it is
+shuffled, so a source with a third of all rows is no larger a group than its distinct sizes.
 
 The rates are then rounded into whole copies, size class by size class: within a class the
 documents with the smallest hashes get the extra copy, and a few passes move single copies
@@ -15,6 +15,7 @@ until a source's sum can come no nearer to its target.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,108 +59,136 @@ def capped_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, lim
     return rows.select("source", "source_size", F.greatest(target, F.lit(0.0)).alias("target"))
 
 
-def balance(hist: DataFrame, targets: DataFrame, limit: float, *, steps: int = 40, tolerance: float = 1e-9) -> DataFrame:
-    """Rows source, t: the multipliers, by Newton steps over the whole histogram.
+def _named(**parts: Column) -> Column:
+    return F.named_struct(*[x for name, value in parts.items() for x in (F.lit(name), value)])
 
-    A source whose target is its cap, or which has no words, has no finite multiplier: its t is null.
+
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value worked out once, however often `use` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def balance(classes: Column, mean: Column, target: Column, limit: float, *, steps: int = 400, tolerance: float = 1e-9) -> Column:
+    """The multiplier t of a source from its histogram, an array of (size, n): Newton steps over all its sizes until
+    the expected words are the target but for `tolerance` of it.
+
+    A source whose target is its cap, or which has no words, has no finite multiplier: its t is null. Each step either is
+    Newton's or halves the bracket, which bounds how many are needed; fails if they did not suffice.
+    """
+    log_limit, far = math.log(limit), 1e12
+
+    def sums(s: Column) -> Column:
+        def add(acc: Column, x: Column) -> Column:
+            z = x["size"] / mean
+            u = s["t"] * z
+            free = u < log_limit
+            rate = F.when(free, F.exp(F.least(u, F.lit(log_limit)))).otherwise(F.lit(float(limit)))
+            return _with(x["n"] * z * rate, lambda words: _named(got=acc["got"] + words, slope=acc["slope"] + F.when(free, words * z).otherwise(0.0)))
+
+        return F.aggregate(classes, _named(got=F.lit(0.0), slope=F.lit(0.0)), add)
+
+    def moved(s: Column, m: Column) -> Column:
+        miss = m["got"] - target / mean
+        off = F.abs(miss) * mean / target
+        low, high = F.when(miss < 0, s["t"]).otherwise(s["low"]), F.when(miss > 0, s["t"]).otherwise(s["high"])
+        step = s["t"] - miss / F.nullif(m["slope"], F.lit(0.0))
+        inside = F.coalesce((step > low) & (step < high), F.lit(False))
+        halved = F.when(high >= far, F.greatest(s["t"] * 2, F.lit(1.0))).when(low <= -far, F.least(s["t"] * 2, F.lit(-1.0))).otherwise((low + high) / 2)
+        t = F.when(off <= tolerance, s["t"]).when(inside, step).otherwise(halved)
+        return _named(t=t, low=low, high=high, off=off)
+
+    start = _named(t=F.lit(0.0), low=F.lit(-far), high=F.lit(far), off=F.lit(1.0))
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, lambda s, _: F.when(s["off"] <= tolerance, s).otherwise(_with(sums(s), lambda m: moved(s, m))))
+    open_ = (target > 0) & (target < mean * F.aggregate(classes, F.lit(0.0), lambda acc, x: acc + x["n"]) * float(limit))
+    settled = _with(end, lambda s: F.when(s["off"] <= tolerance, s["t"]).otherwise(F.raise_error(F.lit("a source's multiplier did not settle")).cast("double")))
+    return F.when(open_, settled)
+
+
+def settled_copies(classes: Column, miss: Column, limit: int, *, passes: int = 2_000) -> Column:
+    """How many copies of each of `classes`, an array of (size, n, taken), are taken in the end.
+
+    Each pass moves copies of the one size that brings the source's sum nearest to its target, until none does; every
+    pass brings it nearer. Fails if `passes` did not suffice.
     """
-    log_limit = math.log(limit)
-    open_ = targets.where("target > 0 and target < source_size * 1D * %r" % float(limit))
-    n = hist.groupBy("source").agg(F.sum("n").alias("docs"))
-    open_ = open_.join(n, F.equal_null(open_["source"], n["source"])).drop(n["source"])
-    state = open_.select("source", (F.col("source_size") / F.col("docs")).alias("mean"), F.col("target"), F.lit(0.0).alias("t"), F.lit(-1e4).alias("low"), F.lit(1e4).alias("high"), F.lit(1.0).alias("off"))
-    state = stored(state, "balance")
-    if state.isEmpty():
-        return state.select("source", "t")
-    for _ in range(steps):
-        s = state.alias("s")
-        z = F.col("h.size") / F.col("s.mean")
-        u = F.col("s.t") * z
-        rate = F.when(u < log_limit, F.exp(F.least(u, F.lit(log_limit)))).otherwise(F.lit(float(limit)))
-        sums = (
-            hist.alias("h")
-            .join(s, F.equal_null(F.col("h.source"), F.col("s.source")))
-            .groupBy("s.source", "mean", "target", "t", "low", "high")
-            .agg(F.sum(F.col("n") * z * rate).alias("got"), F.sum(F.when(u < log_limit, F.col("n") * z * z * rate)).alias("slope"))
-        )
-        miss = F.col("got") - F.col("target") / F.col("mean")
-        sums = sums.withColumn("low", F.when(miss < 0, F.col("t")).otherwise(F.col("low"))).withColumn("high", F.when(miss > 0, F.col("t")).otherwise(F.col("high")))
-        step = F.col("t") - miss / F.col("slope")
-        inside = F.col("slope").isNotNull() & (F.col("slope") > 0) & (step > F.col("low")) & (step < F.col("high"))
-        bisected = F.when(F.col("high") >= 1e4, F.greatest(F.col("t") * 2, F.lit(1.0))).when(F.col("low") <= -1e4, F.least(F.col("t") * 2, F.lit(-1.0))).otherwise((F.col("low") + F.col("high")) / 2)
-        off = F.abs(miss) * F.col("mean") / F.col("target")
-        state = stored(sums.select("source", "mean", "target", F.when(off <= tolerance, F.col("t")).when(inside, step).otherwise(bisected).alias("t"), "low", "high", off.alias("off")), "balance")
-        if state.agg(F.max("off")).first()[0] <= tolerance:
-            break
-    return state.select("source", "t")
-
-
-def round_copies(rates: DataFrame, limit: int, *, passes: int = 12) -> DataFrame:
-    """rates (source, size, n, rate, target) to rows source, size, copies, extra: each document of the
+
+    def best(s: Column) -> Column:
+        def move(x: Column, i: Column) -> Column:
+            taken = F.get(s["taken"], i)
+            room = F.when(s["miss"] > 0, limit * x["n"] - taken).otherwise(taken)
+            k = F.least(room, F.floor(F.abs(s["miss"]) / x["size"] + 0.5)).cast("long")
+            return _with(k, lambda k: _with(F.abs(F.abs(s["miss"]) - k * x["size"]), lambda left: F.when((k > 0) & (left < F.abs(s["miss"])), _named(left=left, size=x["size"], i=i, k=k))))
+
+        return F.array_min(F.transform(classes, lambda x, i: F.when(x["size"] > 0, move(x, i))))
+
+    def moved(s: Column, b: Column) -> Column:
+        k = F.signum(s["miss"]).cast("long") * b["k"]
+        taken = F.transform(s["taken"], lambda y, i: F.when(i == b["i"], y + k).otherwise(y))
+        return F.when(b.isNull(), _named(taken=s["taken"], miss=s["miss"], over=F.lit(True))).otherwise(
+            _named(taken=taken, miss=s["miss"] - k * b["size"], over=F.lit(False)))
+
+    start = _named(taken=F.transform(classes, lambda x: x["taken"]), miss=miss, over=F.lit(False))
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(passes)), start, lambda s, _: F.when(s["over"], s).otherwise(_with(best(s), lambda b: moved(s, b))))
+    return _with(end, lambda s: F.when(s["over"], s["taken"]).otherwise(F.raise_error(F.lit("copies did not settle")).cast("array<bigint>")))
+
+
+def plan_copies(hist: DataFrame, targets: DataFrame, limit: int) -> DataFrame:
+    """hist (source, size, n) and targets to rows source, size, copies, extra, source_size, target: each document of the
     class is taken `copies` times and `extra` of them once more.
 
-    First the fractions are summed from the largest size down and rounded as a running sum; then each pass
-    lets every source move copies of the one size that brings its sum nearest to the target.
+    A source's histogram, which has no more rows than its longest text has words, meets in one row; sources are solved side by side.
+    The fractions of the tilted rates are summed from the largest size down and rounded as a running sum; then whole copies are moved.
     """
-    down = Window.partitionBy("source").orderBy(F.col("size").desc())
+    per = hist.groupBy("source").agg(F.collect_list(F.struct("size", "n")).alias("h"), F.sum("n").alias("docs")).hint("merge")
+    per = targets.join(per.withColumnRenamed("source", "_of"), F.equal_null("source", "_of")).drop("_of")
+    mean = F.col("source_size") / F.col("docs")
+    per = per.select("source", "source_size", "target", mean.alias("mean"), balance(F.col("h"), mean, F.col("target"), limit).alias("t"), F.explode("h").alias("c"))
+    tilted = F.least(F.lit(float(limit)), F.exp(F.least(F.col("t") * F.col("c.size") / F.col("mean"), F.lit(math.log(limit)))))
+    full = F.when(F.col("target") > 0, F.lit(float(limit))).otherwise(F.lit(0.0))
+    rate = F.when(F.col("c.size") == 0, F.lit(1.0)).otherwise(F.coalesce(tilted, full))
+    rates = per.select("source", "source_size", "target", "c.size", "c.n", rate.alias("rate"))
+
     part = F.col("n") * (F.col("rate") - F.floor("rate"))
-    upto = F.sum(part).over(down)
+    upto = F.sum(part).over(Window.partitionBy("source").orderBy(F.col("size").desc()))
     taken = F.col("n") * F.floor("rate") + F.least(F.col("n"), F.greatest(F.lit(0), F.floor(upto + 0.5) - F.floor(upto - part + 0.5)))
-    now = stored(rates.select("source", "size", "n", "target", taken.cast("long").alias("taken")), "copies")
-    for _ in range(passes):
-        miss = now.groupBy("source").agg((F.first("target") - F.sum(F.col("taken") * F.col("size"))).alias("miss")).withColumnRenamed("source", "at")
-        room = F.when(F.col("miss") > 0, limit * F.col("n") - F.col("taken")).otherwise(F.col("taken"))
-        k = F.least(room, F.floor(F.abs("miss") / F.col("size") + 0.5)).cast("long")
-        left = F.abs(F.abs("miss") - F.col("k") * F.col("size"))
-        moves = now.where("size > 0").join(miss, F.equal_null("source", "at")).withColumn("k", k).where("k > 0").withColumn("left", left)
-        moves = moves.where("left < abs(miss)").groupBy("at").agg(F.min_by(F.struct("size", (F.signum("miss") * F.col("k")).cast("long").alias("k")), F.struct("left", "size")).alias("move"))
-        moves = stored(moves.select("at", F.col("move.size").alias("move_size"), F.col("move.k").alias("k")), "moves")
-        if moves.isEmpty():
-            break
-        now = now.join(moves, F.equal_null("source", "at") & (F.col("size") == F.col("move_size")), "left").select("source", "size", "n", "target", (F.col("taken") + F.coalesce("k", F.lit(0))).alias("taken"))
-        now = stored(now, "copies")
-    return now.select("source", "size", F.expr("taken div n").alias("copies"), (F.col("taken") % F.col("n")).alias("extra"))
-
-
-def mix_to_targets(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, limit: int = 2, ranked_rows: int = 100_000) -> DataFrame:
+    rounded = rates.withColumn("taken", taken.cast("long"))
+    got = rounded.groupBy("source", "source_size", "target").agg(F.collect_list(F.struct("size", "n", "taken")).alias("c"), F.sum(F.col("taken") * F.col("size")).alias("words"))
+    final = got.withColumn("end", settled_copies(F.col("c"), F.col("target") - F.col("words"), limit))
+    rows = final.select("source", "source_size", "target", F.explode(F.arrays_zip("c", "end")).alias("x"))
+    return rows.select("source", F.col("x.c.size").alias("size"), F.expr("x.end div x.c.n").alias("copies"), (F.col("x.end") % F.col("x.c.n")).alias("extra"), "source_size", "target")
+
+
+def mix_to_targets(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, limit: int = 2, ranked_rows: int = 20_000) -> DataFrame:
     """docs with size, source_size, target (of its source) and copies: how often the mix takes the document.
 
     docs: doc_id, text, source and any others, all of which are kept; columns named like the four new
     ones are replaced. Null texts have size 0; null is a source of its own, the last. Documents
-    of size 0 are taken once. Repeated rows are rows like any: ties within a class fall by id and text hash.
+    of size 0 are taken once; very long ones are counted whole. Repeated rows are rows like any: which of a class get an extra copy is told by a hash of
+    all columns (but maps), so only rows that are alike in all of them are interchangeable.
     No documents give no rows. Copies run from 0 to `limit` and are the same on each run.
     """
     docs = docs.drop("size", "source_size", "target", "copies")
-    sized = docs.withColumn("size", word_count("text")).withColumn("_tie", F.xxhash64(F.lit(3), "doc_id", "text"))
-    hist = stored(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "sizes")
+    hashed = ["doc_id", "text", *[c for c, kind in docs.dtypes if c not in ("doc_id", "text") and "map<" not in kind]]
+    named = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
+    sized = docs.withColumns({"_size": word_count("text"), "_tie": F.xxhash64(F.lit(3), *hashed), "_source": named})
+    # What is counted and ranked before documents move: read from the texts once.
+    narrow = stored(sized.select("source", "_source", "_size", "_tie"), "sizes")
+    hist = stored(narrow.groupBy("source", F.col("_size").alias("size")).agg(F.count("*").alias("n")), "histogram")
     sizes = hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
-    targets = stored(capped_targets(sizes, weights, share, limit), "targets")
-    t = balance(hist, targets, limit)
-
-    r = hist.alias("h").join(targets.alias("g"), F.equal_null(F.col("h.source"), F.col("g.source")))
-    r = r.join(t.alias("t"), F.equal_null(F.col("h.source"), F.col("t.source")), "left")
-    mean = F.col("source_size") / F.sum("n").over(Window.partitionBy("h.source"))
-    tilted = F.least(F.lit(float(limit)), F.exp(F.least(F.col("t.t") * F.col("size") / mean, F.lit(math.log(limit)))))
-    full = F.when(F.col("target") > 0, F.lit(float(limit))).otherwise(F.lit(0.0))
-    rate = F.when(F.col("size") == 0, F.lit(1.0)).otherwise(F.coalesce(tilted, full))
-    rates = r.select("h.source", "size", "n", rate.alias("rate"), "source_size", "target")
-    copies = round_copies(rates, limit)
-    classes = copies.alias("c").join(targets.alias("g"), F.equal_null(F.col("c.source"), F.col("g.source"))).select("c.source", "size", "copies", "extra", "source_size", "target")
+    classes = stored(plan_copies(hist, capped_targets(sizes, weights, share, limit), limit), "classes")
 
     # Which of a class get the extra copy: the first by hash, ranked in parts as a class can be huge. The ranking and the
     # join with the classes have the same keys, without nulls, so documents cross the network once.
-    named = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
     keys = ["_source", "_size", "_part"]
     biggest = hist.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-    sized = sized.withColumns({"_source": named, "_size": F.col("size"), "_part": salt(pieces_of(biggest, ranked_rows), "_tie")})
-    before = sized.groupBy(*keys).agg(F.count("*").alias("_n"))
+    part = salt(pieces_of(biggest, ranked_rows), "_tie")
+    before = narrow.groupBy("_source", "_size", part.alias("_part")).agg(F.count("*").alias("_n"))
     before = before.withColumn("_before", F.sum("_n").over(Window.partitionBy("_source", "_size").orderBy("_part")) - F.col("_n"))
-    classes = classes.select(named.alias("_source"), F.col("size").alias("_size"), "copies", "extra", "source_size", "target")
-    before = before.join(classes, ["_source", "_size"]).drop("_n")
+    classes = classes.select(named.alias("_source"), F.col("size").alias("_size"), "copies", "extra", "source_size", "target").hint("merge")
+    before = before.join(classes, ["_source", "_size"]).drop("_n").hint("merge")
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("_tie", "doc_id")) - 1
-    mixed = sized.withColumn("_place", place).join(before, keys)
+    mixed = sized.withColumn("_part", part).withColumn("_place", place).join(before, keys)
     taken = (F.col("copies") + F.when(F.col("_before") + F.col("_place") < F.col("extra"), 1).otherwise(0)).cast("int")
-    return mixed.select(*docs.columns, "size", "source_size", "target", taken.alias("copies"))
+    return mixed.select(*docs.columns, F.col("_size").alias("size"), "source_size", "target", taken.alias("copies"))
 
 
 def repeated(mixed: DataFrame) -> DataFrame:
