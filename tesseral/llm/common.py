@@ -6,7 +6,7 @@ import math
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Folders made for sessions that name none, by application.
@@ -49,6 +49,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded(sample: DataFrame, size: Column, most: int) -> DataFrame:
+    """The first rows of a small table, in the order of its column rank, whose sizes sum up to no more than `most`."""
+    upto = F.sum(size).over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    return sample.withColumn("_upto", upto).where(F.col("_upto") <= most).drop("_upto")
+
+
 def salt(n: int, *cols: Column | str) -> Column:
     """A number from 0 to n - 1 that depends on the columns alone."""
     return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")

@@ -18,11 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tesseral.llm.common import text_or_empty
+from tesseral.llm.common import bounded, stored, text_or_empty
 from tesseral.llm.words import FUNCTION, WordTable, kept, plain, word_hash
 
 BITS = 18
 SPACE = 1 << BITS
+#: The scorer learns from no more bytes of features: some three million.
+SAMPLE_BYTES = 24 << 20
 LABELLERS = ("symbols", "capitals", "one_word", "repeats", "bare_marks", "function_words", "runs", "length", "marked_words")
 #: What a word is described by: characters, letters, capitals, symbols, whether it has no letter,
 #: whether it ends in two marks or more, whether it is a function word, and two feature numbers.
@@ -33,11 +35,11 @@ _COMMON_MARKS = set(".,;:'\"!?()-’“”„«»…")
 def _shape(word: str) -> str:
     """Runs of capitals, other letters, digits and each mark, as A, a, 0 and the mark."""
     kinds = []
-    for c in word[:40]:
+    for c in word:
         k = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
         if not kinds or kinds[-1] != k:
             kinds.append(k)
-    return "".join(kinds[:12])
+    return "".join(kinds)
 
 
 _simple_shapes = {}
@@ -72,8 +74,8 @@ class Reading:
     values: np.ndarray
 
 
-def read_text(text: str) -> Reading:
-    """Votes and hashed features of a whole text; blank texts have neither."""
+def read_text(text: str, *, with_features: bool = True) -> Reading:
+    """Votes and, if asked for, hashed features of a whole text; blank texts have neither."""
     words = text.split()
     votes = np.zeros(len(LABELLERS), np.int64)
     if not words:
@@ -109,6 +111,8 @@ def read_text(text: str) -> Reading:
         votes[4] = votes[8] = 0
     votes[7] = 1 if n >= 15 else 0
 
+    if not with_features:
+        return Reading(votes, np.zeros(0, np.int64), np.zeros(0, np.float32))
     bins = [word_hash(f"b{name}:{min(9, int(x * 10))}", BITS) for name, x in stats.items() if name not in ("word_length", "length")]
     bins += [word_hash(f"bword_length:{min(20, int(stats['word_length']))}", BITS), word_hash(f"blength:{n.bit_length()}", BITS)]
     features = np.concatenate([table[:, _SHAPE], table[:, _WORD], bins]).astype(np.int64)
@@ -193,7 +197,7 @@ def _patterns(docs: DataFrame) -> dict[int, int]:
         for batch in batches:
             found: dict[int, int] = {}
             for text in batch.column(0):
-                p = pattern_of(read_text(text.as_py()).votes)
+                p = pattern_of(read_text(text.as_py(), with_features=False).votes)
                 found[p] = found.get(p, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], names=["pattern", "n"])
 
@@ -201,21 +205,35 @@ def _patterns(docs: DataFrame) -> dict[int, int]:
     return {r["pattern"]: r["n"] for r in counted.groupBy("pattern").agg(F.sum("n").alias("n")).collect()}
 
 
-def _sample(docs: DataFrame, rows: int, most: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-    """Features and patterns of about `most` documents, picked by a hash of id and text, so that copies don't crowd it."""
+def _sample(docs: DataFrame, rows: int, most: int) -> DataFrame:
+    """Rows pattern, features, values (as bytes) of about `most` different documents, picked by a hash of id and text; repeated rows
+    count once. If they have more than SAMPLE_BYTES, as many as fit, in the order of another hash."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [read_text(t.as_py()) for t in batch.column(1)]
-            columns = [pa.array([pattern_of(r.votes) for r in got], pa.int64()), pa.array([r.features.astype(np.int32).tobytes() for r in got], pa.binary()), pa.array([r.values.tobytes() for r in got], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["pattern", "features", "values"])
+            columns = [batch.column(0), pa.array([pattern_of(r.votes) for r in got], pa.int64()), pa.array([r.features.astype(np.int32).tobytes() for r in got], pa.binary()), pa.array([r.values.tobytes() for r in got], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["rank", "pattern", "features", "values"])
 
     part = min(1.0, most / max(rows, 1))
     picked = docs.select("doc_id", text_or_empty().alias("text")).where(F.pmod(F.xxhash64(F.lit(41), "doc_id", "text"), F.lit(1 << 20)) < int(part * (1 << 20)) + 1)
-    got = picked.mapInArrow(read, "pattern long, features binary, values binary").limit(2 * most).collect()
-    got.sort(key=lambda r: (r["pattern"], bytes(r["features"])))
-    got = [r for r in got if r["features"]]
-    return [(np.frombuffer(r["features"], np.int32), np.frombuffer(r["values"], np.float32)) for r in got], np.array([r["pattern"] for r in got], np.int64)
+    ranked = picked.select(F.xxhash64(F.lit(43), "doc_id", "text").alias("rank"), "text").dropDuplicates(["rank"])
+    read_ = stored(ranked.mapInArrow(read, "rank long, pattern long, features binary, values binary").where(F.length("features") > 0), "sample")
+    # About `most` rows, whatever the corpus.
+    return bounded(read_, F.length("features") + F.length("values"), SAMPLE_BYTES)
+
+
+def _train(sample: DataFrame, labellers: LabelModel) -> Scorer:
+    """The scorer, fitted in one task: the sample is bounded."""
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted(((r["pattern"], r["features"], r["values"]) for b in batches for r in b.to_pylist()))
+        rows = [(np.frombuffer(f, np.int32), np.frombuffer(v, np.float32)) for _, f, v in got]
+        scorer = fit_scorer(rows, labellers.posterior(np.array([p for p, _, _ in got], np.int64)) if got else np.zeros(0))
+        yield pa.RecordBatch.from_arrays([pa.array([scorer.weights.tobytes()], pa.binary()), pa.array([scorer.bias], pa.float64())], names=["weights", "bias"])
+
+    made = sample.select("pattern", "features", "values").repartition(1).mapInArrow(fit, "weights binary, bias double").first()
+    return Scorer(np.frombuffer(made["weights"], np.float32), made["bias"]) if made else fit_scorer([], np.zeros(0))
 
 
 def classify_quality(docs: DataFrame, *, sample: int = 4_000) -> DataFrame:
@@ -223,12 +241,13 @@ def classify_quality(docs: DataFrame, *, sample: int = 4_000) -> DataFrame:
 
     docs: doc_id, text and any others, all kept; columns named like the three new ones are replaced. Null
     and blank texts score 0 and aren't kept; equal texts score alike, so repeated rows do. Labellers' accuracies
-    come from all documents; the scorer learns on about `sample` of them, at most twice as many.
+    come from all documents; the scorer learns on about `sample` of them and at most SAMPLE_BYTES of their features. Very long texts are read whole.
+    No documents give no rows.
     """
     docs = docs.drop("quality", "posterior", "kept")
-    labellers = fit_labellers(_patterns(docs))
-    rows, patterns = _sample(docs, docs.count(), sample)
-    scorer = fit_scorer(rows, labellers.posterior(patterns) if len(patterns) else np.zeros(0))
+    counts = _patterns(docs)
+    labellers = fit_labellers(counts)
+    scorer = _train(_sample(docs, sum(counts.values()), sample), labellers)
     shared = docs.sparkSession.sparkContext.broadcast((labellers, scorer))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,14 +13,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _tokenizer() -> str:
+def tokenizer_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_table(spark, sf_dir, "documents"), _tokenizer(), 2048)
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path(), 2048)
 
 
 def op7_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:

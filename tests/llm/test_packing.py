@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tesseral.llm import packing
-from tesseral.llm.queries import _tokenizer, op1_best_fit_packing
+from tesseral.llm.queries import tokenizer_path, op1_best_fit_packing
 
 
 def whole(rows, capacity):
@@ -79,7 +79,7 @@ def test_many_lengths_reach_the_bound():
 def test_word_encoder_is_the_tokenizer(documents):
     from tokenizers import Tokenizer
 
-    plain, fast = Tokenizer.from_file(_tokenizer()), packing.WordEncoder(_tokenizer(), most=500)
+    plain, fast = Tokenizer.from_file(tokenizer_path()), packing.WordEncoder(tokenizer_path(), most=500)
     texts = [r["text"] for r in documents[:80]] + ["", "a\x1cb c<|endoftext|>d  <|startoftext|>", "Ａé é 'S it's ΣΑΣ", "x\r\ny\tz\x0b\x0c w", "İ ǅ 👩‍👩‍👧 12", "it's we'LL İx ½² naïve-É ß<|endoftext|>", "\xa0a\xadb\u2003c ǆ"]
     texts += ["".join(random.Random(i).choices("aB'stT éÉßΣ1½.,\n\t\x1c<|>\u0301中ا", k=60)) for i in range(300)]
     for text in texts:
@@ -97,7 +97,7 @@ def test_other_tokenizers_see_whole_texts():
 def test_query_against_brute_force(spark, sf_dir, documents):
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(_tokenizer())
+    tokenizer = Tokenizer.from_file(tokenizer_path())
     want = sorted(p for r in documents for p in pieces_of(r["doc_id"], r["text"], tokenizer, 2048))
     got = op1_best_fit_packing(spark, sf_dir).collect()
     assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
@@ -108,7 +108,7 @@ def test_query_against_brute_force(spark, sf_dir, documents):
 @pytest.mark.parametrize("most", [0, 1_000_000])
 def test_odd_rows(odd, monkeypatch, most):
     monkeypatch.setattr(packing, "BROADCAST_COUNTS", most)
-    got = packing.pack_documents(odd.repartition(3), _tokenizer(), 64, with_ids=True).collect()
+    got = packing.pack_documents(odd.repartition(3), tokenizer_path(), 64, with_ids=True).collect()
     whole(got, 64)
     assert Counter(r["doc_id"] for r in got if r["piece"] == 0) == Counter([1, 2, 3, 4, 5, 6, None, 7, 8, 8, 9, 10, 11])
     assert [(r["length"], bytes(r["ids"])) for r in got if r["doc_id"] == 3] == [(1, b"\0\0\0\0")]
@@ -116,4 +116,4 @@ def test_odd_rows(odd, monkeypatch, most):
 
 
 def test_no_rows(none):
-    assert packing.pack_documents(none, _tokenizer()).count() == 0
+    assert packing.pack_documents(none, tokenizer_path()).count() == 0

@@ -10,7 +10,7 @@ def test_stages_against_brute_force(spark, sf_dir, documents):
     from tokenizers import Tokenizer
 
     from tesseral.llm.common import stored
-    from tesseral.llm.queries import _tokenizer
+    from tesseral.llm.queries import tokenizer_path
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     (_, keep), (_, lines), (_, near), (_, mix), (_, pack) = corpus_pipeline.STAGES
@@ -49,7 +49,7 @@ def test_stages_against_brute_force(spark, sf_dir, documents):
     assert max(Counter(r["doc_id"] for r in mixed.collect()).values()) == 2
 
     packed = pack(spark, mixed, sf_dir).collect()
-    tokenizer = Tokenizer.from_file(_tokenizer())
+    tokenizer = Tokenizer.from_file(tokenizer_path())
     want = Counter(p for r in mixed.collect() for p in pieces_of(r["doc_id"], r["text"], tokenizer, 2048))
     assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in packed) == want
     whole(packed, 2048)
