@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tesseral.llm import lines, minhash, mixing, packing, quality
 from tesseral.llm.common import small_batches, stored
-from tesseral.llm.queries import _tokenizer
+from tesseral.llm.queries import tokenizer_path
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, each copy on its own, with their sequences and token ids."""
     small_batches(spark)
-    return packing.pack_documents(docs, _tokenizer(), 2048, with_ids=True)
+    return packing.pack_documents(docs, tokenizer_path(), 2048, with_ids=True)
 
 
 STAGES = [
