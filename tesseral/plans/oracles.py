@@ -235,10 +235,11 @@ O["timeslice_coverage"] = _with("samples", _RES, f"act as (select distinct fligh
 select x21, y21, agl_bottom_m, agl_top_m, array_to_string(list_sort(list(distinct flight_id)), '|') as flights, array_to_string(list_sort(list(distinct h12)), '|') as layers, max(n) as coverage
 from act join cov using (x21, y21, h12) join bands using (flight_id) group by x21, y21, agl_bottom_m, agl_top_m"""
 _fl = ", ".join(f"{b}::double + (k * {m} % 40)::double / 2000 as {n}" for n, b, m in (("olat", 37.45, 7), ("olon", 139.9, 11), ("dlat", 37.46, 13), ("dlon", 139.91, 17)))
-O["nominal_trajectory"] = f"""with f as (select k, {START_S} + k % 34 * 180 as dep, {_fl}, 180e0 + k % 20 as og, 190e0 + k % 25 as dg, ([30e0, 50e0, 100e0])[k % 3 + 1] as agl, ([5e0, 8e0, 10e0])[k % 7 % 3 + 1] as v
+_FLIGHTS = f"""with f as (select k, {START_S} + k % 34 * 180 as dep, {_fl}, 180e0 + k % 20 as og, 190e0 + k % 25 as dg, ([30e0, 50e0, 100e0])[k % 3 + 1] as agl, ([5e0, 8e0, 10e0])[k % 7 % 3 + 1] as v
     from (select s_suppkey as k from supplier)),
   r as (select *, radians(dlon - olon) as dl, 2e0*6378137e0*asin(sqrt(pow(sin(radians(dlat-olat)/2), 2) + cos(radians(olat))*cos(radians(dlat))*pow(sin(radians(dlon-olon)/2), 2))) as dist, agl / 3e0 as climb from f),
-  r2 as (select *, dist / v as cruise, atan2(sin(dl)*cos(radians(dlat)), cos(radians(olat))*sin(radians(dlat)) - sin(radians(olat))*cos(radians(dlat))*cos(dl)) as brg from r),
+  r2 as (select *, dist / v as cruise, atan2(sin(dl)*cos(radians(dlat)), cos(radians(olat))*sin(radians(dlat)) - sin(radians(olat))*cos(radians(dlat))*cos(dl)) as brg from r)"""
+O["nominal_trajectory"] = f"""{_FLIGHTS},
   s as (select *, unnest(range(0, least(ceil(climb + cruise + agl / 3e0)::bigint, {END_S} - dep) + 1)) as e from r2 where dep <= {END_S}),
   p as (select *, case when e < climb then 'climb' when e < climb + cruise then 'cruise' when e < climb + cruise + agl / 3e0 then 'descent' else 'landed' end as phase from s),
   q as (select *, case when phase = 'climb' then 0e0 when phase = 'cruise' then case when dist > 0 then greatest(0e0, least(1e0, (e - climb) * v / dist)) else 0e0 end else 1e0 end as fr from p),
@@ -247,6 +248,37 @@ O["nominal_trajectory"] = f"""with f as (select k, {START_S} + k % 34 * 180 as d
     case when fr = 1 then dlon when fr = 0 then olon else olon + degrees(atan2(sin(brg)*sin(dist*fr/6378137e0)*cos(radians(olat)), cos(dist*fr/6378137e0) - sin(radians(olat))*sin(la))) end as lon,
     (1 - fr) * og + fr * dg + case phase when 'climb' then least(agl, e * 3e0) when 'cruise' then agl when 'descent' then greatest(0e0, agl - (e - climb - cruise) * 3e0) else 0e0 end as amsl from t)
 select k as flight_id, phase, count(*) as samples, min(epoch_s) as first_s, round(avg(lat), 6) as lat, round(avg(lon), 6) as lon, round(avg(amsl), 4) as amsl_m from u group by all"""
+
+
+def _stray(stream: int) -> str:
+    def knot(k: str) -> str:
+        h = f"((k % 2147483647) * 7919 + {k} * 104729 + {stream} * 1299709 + 15485863) % 2147483647"
+        for _ in range(3):
+            h = f"(({h}) * 48271 + 11) % 2147483647"
+        return f"(({h}) % 2000001)"
+
+    return f"((15 - e % 15) * {knot('(e // 15)')} + (e % 15) * {knot('(e // 15 + 1)')}) // 15 - 1000000"
+
+
+_point = lambda lat, lon, brg, d: (f"asin(sin(radians({lat}))*cos({d}/6378137e0) + cos(radians({lat}))*sin({d}/6378137e0)*cos({brg}))", f"atan2(sin({brg})*sin({d}/6378137e0)*cos(radians({lat})), cos({d}/6378137e0) - sin(radians({lat}))*sin({{q}}))")
+_q1, _l1 = _point("olat", "olon", "brg", "(along / 1e3)")
+_q2, _l2 = _point("la", "lo", "(brg + pi()/2)", "(cross_mm / 1e3)")
+O["actual_trajectory"] = f"""{_FLIGHTS},
+  m as (select *, floor(agl * 1000)::bigint as agl_mm, floor(dist * 1000)::bigint as route, (v * 1000)::bigint as spd, case when v < 6.5 then 6 when v < 9 then 8 else 10 end as st from r2),
+  s as (select *, unnest(range(0, least(floor(agl_mm / 2100e0)::bigint * 2 + floor(route * 100 / (spd * (100 - st)))::bigint + 8, {END_S} - dep) + 1)) as e from m where dep <= {END_S}),
+  n as (select *, (300000000000 + 3000 * 30 * ({_stray(1)})) // 100000000 as up1, (spd * (100000000 + st * ({_stray(2)}))) // 100000000 as step, {_stray(3)} as ac, {_stray(4)} as bob from s),
+  c as (select *, coalesce(sum(up1) over w, 0)::bigint as up, coalesce(sum(step) over w, 0)::bigint as far from n window w as (partition by k order by e rows between unbounded preceding and 1 preceding)),
+  c2 as (select *, min(case when up >= agl_mm then far end) over (partition by k) as st0 from c),
+  c3 as (select *, min(case when up >= agl_mm and far - st0 >= route then up end) over (partition by k) as top from c2),
+  c4 as (select *, case when up < agl_mm then 'climb' when far - st0 < route then 'cruise' when up - top < agl_mm then 'descent' else 'landed' end as phase from c3),
+  c5 as (select *, min(case when phase = 'landed' then e end) over (partition by k) as fin from c4),
+  d as (select *, case phase when 'climb' then 0 when 'cruise' then far - st0 else route end as along, floor(ac * (case phase when 'cruise' then 4000 when 'landed' then 0 else 500 end) / 1e6)::bigint as cross_mm,
+    case phase when 'climb' then up when 'cruise' then agl_mm + floor(bob * 1500 / 1e6)::bigint when 'descent' then agl_mm - (up - top) else 0 end as high from c5 where fin is null or e <= fin),
+  g as (select *, {_q1} as q from d), g1 as (select *, case when along = 0 then olat else degrees(q) end as la, case when along = 0 then olon else olon + degrees({_l1.format(q="q")}) end as lo from g),
+  g2 as (select *, {_q2} as q2 from g1), g3 as (select *, case when cross_mm = 0 then la else degrees(q2) end as lat, case when cross_mm = 0 then lo else lo + degrees({_l2.format(q="q2")}) end as lon,
+    og + (case when route > 0 then along / route::double when phase = 'climb' then 0 else 1 end) * (dg - og) + high / 1e3 as amsl from g2)
+select k as flight_id, phase, count(*) as samples, min(dep + e) as first_s, sum(along)::bigint as along_mm, sum(cross_mm)::bigint as cross_mm, sum(high)::bigint as agl_mm, round(avg(lat), 6) as lat, round(avg(lon), 6) as lon, round(sum(amsl), 4) as amsl_sum_m,
+  round(sum(step / spd::double), 7) as speed_sum from g3 group by all"""
 O["zoom_histogram"] = _with("cells") + "select region_id, zx, zy, count(*) as cells from cells group by all"
 O["topk_zoom"] = _with("cells") + "select zx, zy, count(*) as cells from cells group by all order by cells desc, zx, zy limit 5"
 O["representation_totals"] = _with("samples", _RES, _OVER, """

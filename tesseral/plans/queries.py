@@ -439,8 +439,9 @@ def nominal_trajectory(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def actual_trajectory(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows only: flights as flown, with random disturbances."""
-    return airspace.actual_samples(flights(spark, sf), END_S)
+    s = airspace.actual_samples(flights(spark, sf), END_S)
+    sums = [F.sum(c).alias(c) for c in ("along_mm", "cross_mm", "agl_mm")]
+    return s.groupBy("flight_id", "phase").agg(F.count("*").alias("samples"), F.min("epoch_s").alias("first_s"), *sums, F.round(F.avg("lat"), 6).alias("lat"), F.round(F.avg("lon"), 6).alias("lon"), F.round(F.sum("amsl_m"), 4).alias("amsl_sum_m"), F.round(F.sum("speed_factor"), 7).alias("speed_sum"))
 
 
 @query

@@ -123,3 +123,24 @@ def test_small_helpers(spark):
     assert {r["epoch_s"]: r["coverage"] for r in airspace.coverage_at(asked, over).collect()} == {15: 4, 25: 1}
     track = spark.createDataFrame([(1, t, 37.0 if t > 30 else t / 100, 139.0) for t in range(0, 101, 5)], "flight_id long, epoch_s long, lat double, lon double")
     assert airspace.thinned_routes(track, 4).count() == 3
+
+
+def test_flights_as_flown_stray_and_come_back(spark):
+    """Statistics of a hundred flights: on time, near the route, correlated from second to second, and no two alike."""
+    f = catalogue.flights(spark, "/root/testdata/sf0.01")
+    flown = airspace.actual_samples(f, fixtures.END_S + 100_000)
+    per = flown.groupBy("flight_id").agg(
+        F.max_by("phase", "elapsed_s").alias("last"), F.max("along_mm").alias("far"), F.max(F.abs("cross_mm")).alias("aside"), F.stddev(F.when(F.col("phase") == "cruise", F.col("cross_mm"))).alias("sigma"),
+        F.min("speed_factor").alias("slow"), F.max("speed_factor").alias("fast"), F.count("*").alias("n"), (F.max("elapsed_s") + 1).alias("span"),
+    ).collect()
+    assert len(per) == f.count() and {r["last"] for r in per} == {"landed"} and all(r["n"] == r["span"] for r in per)
+    routes = {r["flight_id"]: r["distance_m"] for r in airspace.with_route(f).collect()}
+    assert all(r["far"] == int(routes[r["flight_id"]] * 1000) for r in per)
+    assert min(r["slow"] for r in per) < 0.95 and max(r["fast"] for r in per) > 1.05
+    assert all(0.899 <= r["slow"] <= r["fast"] <= 1.1 and r["aside"] <= airspace.CROSS_STRAY_MM for r in per)
+    assert len({r["sigma"] for r in per}) == len(per) and 800 < sum(r["sigma"] for r in per) / len(per) < 2500
+    w = flown.where("phase = 'cruise'").selectExpr("flight_id", "cross_mm", "lag(cross_mm) over (partition by flight_id order by epoch_s) as was", "lag(cross_mm, 120) over (partition by flight_id order by epoch_s) as long_ago")
+    near, far = w.selectExpr("corr(cross_mm, was)", "corr(cross_mm, long_ago)").first()
+    assert near > 0.9 > 0.2 > abs(far)
+    slow = f.withColumn("cruise_speed_mps", F.lit(6.1)).limit(2).unionByName(f.withColumn("flight_id", F.lit(None).cast("long")).limit(1)).unionByName(f.withColumn("departure_s", F.lit(None).cast("long")).limit(1))
+    assert airspace.actual_samples(slow, fixtures.END_S).select("flight_id").distinct().count() == 2
