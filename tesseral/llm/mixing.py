@@ -141,7 +141,9 @@ def plan_copies(hist: DataFrame, targets: DataFrame, limit: int) -> DataFrame:
     per = hist.groupBy("source").agg(F.collect_list(F.struct("size", "n")).alias("h"), F.sum("n").alias("docs")).hint("merge")
     per = targets.join(per.withColumnRenamed("source", "_of"), F.equal_null("source", "_of")).drop("_of")
     mean = F.col("source_size") / F.col("docs")
-    per = per.select("source", "source_size", "target", mean.alias("mean"), balance(F.col("h"), mean, F.col("target"), limit).alias("t"), F.explode("h").alias("c"))
+    # The multiplier goes into the array, so it is worked out once a source and not once a row.
+    solved = _with(balance(F.col("h"), mean, F.col("target"), limit), lambda t: F.transform("h", lambda x: _named(size=x["size"], n=x["n"], t=t)))
+    per = per.select("source", "source_size", "target", mean.alias("mean"), F.explode(solved).alias("c")).withColumn("t", F.col("c.t"))
     tilted = F.least(F.lit(float(limit)), F.exp(F.least(F.col("t") * F.col("c.size") / F.col("mean"), F.lit(math.log(limit)))))
     full = F.when(F.col("target") > 0, F.lit(float(limit))).otherwise(F.lit(0.0))
     rate = F.when(F.col("c.size") == 0, F.lit(1.0)).otherwise(F.coalesce(tilted, full))
