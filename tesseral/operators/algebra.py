@@ -11,9 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesseral.functions.cells import AXES, CELL, MAX_ZOOM, VALUES, ZOOMS, axis_of, common_prefix, compatible, shl, shr, truncate
+from tesseral.functions.cells import AXES, CELL, MAX_ZOOM, VALUES, ZOOMS, axis_of, common_prefix, compatible, shl, shr, subsumes
 from tesseral.operators.intervals import dyadic_cover
-from tesseral.operators.joins import covered, meets, overlap_join
+from tesseral.operators.joins import covered, meets, overlap_join, prefixed
 from tesseral.operators.lineage import cut
 
 #: Runs of values are found within aligned chunks of 2 ** CHUNK, so no group is larger than that.
@@ -170,8 +170,8 @@ def normalize_mixed(df: DataFrame, by: Sequence[str] = (), *, stats: list[dict[s
 def normalize(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """The normal form of each region; regions of mixed axes fail.
 
-    Tables whose cells have one zoom vector, the common case of grids and sampled objects, are closed axis by axis;
-    others take the loop of normalize_mixed.
+    Tables whose cells have one zoom vector, the common case of grids and sampled objects, are closed axis by axis. On a single
+    axis cells that nothing subsumes are disjoint, so these are closed at once, too; others take the loop of normalize_mixed.
     """
     cells = df.select(*by, *CELL).distinct()
     vectors = cells.select("flags", *ZOOMS).distinct().limit(2).collect()
@@ -182,6 +182,10 @@ def normalize(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     mixed = cells.groupBy(*by).agg(F.min("flags").alias("a"), F.max("flags").alias("b")).where("a != b")
     if not mixed.isEmpty():
         raise ValueError("a region's cells have different axes")
+    axes = cells.agg(*[F.max(z).alias(z) for z in ZOOMS]).first()
+    used = [a for a in AXES if axes[f"z{a}"]]
+    if len(used) == 1:
+        return close_axis(cut(remove_subsumed(cells, by)), used[0], axes[f"z{used[0]}"], by)
     return normalize_mixed(cells, by)
 
 
@@ -193,46 +197,55 @@ def intersection(a: DataFrame, b: DataFrame, by: Sequence[str] = ()) -> DataFram
     return normalize(meets(a.select(*by, *CELL).distinct(), b.select(*by, *CELL).distinct(), by=by), by)
 
 
-def _pieces(pairs: DataFrame, keep: Sequence[str], working: dict[str, int] | None) -> DataFrame:
-    """For pairs of compatible cells a (no prefix) and b (r_), the disjoint cells that make up a without b.
-
-    On each axis in turn, and for each of b's bits beyond a's, one piece leaves b there: axes before are as
-    fine as in b, the bit is flipped, axes behind are as in a. Below the working zoom nothing is cut, and what overlaps there is dropped.
-    """
-    out = None
-    for i, a in enumerate(AXES):
-        end = F.col(f"r_z{a}") if working is None else F.least(F.col(f"r_z{a}"), F.lit(working.get(a, MAX_ZOOM)))
-        rows = pairs.where(F.col(f"z{a}") < end).withColumn("_k", F.explode(F.sequence(F.col(f"z{a}") + 1, end)))
-        cols = {c: F.col(c) for c in CELL}
-        for before in AXES[:i]:
-            limit = F.col(f"r_z{before}") if working is None else F.least(F.col(f"r_z{before}"), F.lit(working.get(before, MAX_ZOOM)))
-            finer = limit > F.col(f"z{before}")
-            cols[f"v{before}"] = F.when(finer, truncate(F.col(f"r_v{before}"), F.col(f"r_z{before}"), limit)).otherwise(F.col(f"v{before}"))
-            cols[f"z{before}"] = F.greatest(F.col(f"z{before}"), limit)
-        cols[f"z{a}"] = F.col("_k").cast("int")
-        cols[f"v{a}"] = truncate(F.col(f"r_v{a}"), F.col(f"r_z{a}"), F.col("_k")).bitwiseXOR(F.lit(1).cast("long"))
-        part = rows.select(*keep, *[cols[c].alias(c) for c in CELL])
-        out = part if out is None else out.unionByName(part)
-    return out
+def _one_vector(df: DataFrame) -> tuple | None:
+    """The flags and zooms that all cells of a table have, if they have the same."""
+    found = df.select("flags", *ZOOMS).distinct().limit(2).collect()
+    return tuple(found[0]) if len(found) == 1 else None
 
 
 def difference(a: DataFrame, b: DataFrame, by: Sequence[str] = (), working: dict[str, int] | None = None) -> DataFrame:
     """The normal form of what is in region a and not in region b.
 
-    Cells of a that nothing of b touches pass through. The others are cut by their own subtractors one after another,
-    all cells at once; how many rounds that takes is the most subtractors that one cell has.
+    Cells of one zoom vector on both sides need an anti-join only. Else cells of a that nothing of b touches pass through, and the others are halved, all at
+    once, on the first axis on which a subtractor of theirs is finer: halves that are free of subtractors are done, those inside of one
+    go, the rest are halved again. So it takes at most as many rounds as zooms differ by in all, however many subtractors a cell has.
+    Nothing is halved beyond the working zooms, if given; what subtractors touch there goes.
     """
+    if working is None and (vector := _one_vector(a)) is not None and vector == _one_vector(b):
+        keys = [*by, *CELL]
+        left = prefixed(b.select(*keys).distinct(), "r_")
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.equal_null(k, "r_" + k)
+        return normalize(a.select(*keys).distinct().join(left, same, "left_anti"), by)
     cells = cut(normalize(a, by).withColumn("_cell", F.monotonically_increasing_id()))
-    touching = overlap_join(cells, normalize(b, by), by=by).select("_cell", *["r_" + c for c in CELL])
-    touching = cut(touching.withColumn("_round", F.row_number().over(Window.partitionBy("_cell").orderBy(*["r_" + c for c in CELL]))))
-    left = cells
-    rounds = touching.agg(F.coalesce(F.max("_round"), F.lit(0))).first()[0]
-    for k in range(1, rounds + 1):
-        now = touching.where(F.col("_round") == k).drop("_round").withColumnRenamed("_cell", "_of")
-        paired = left.join(now, F.col("_cell") == F.col("_of"), "left").withColumn("_hit", F.coalesce(F.col("_of").isNotNull() & compatible("", "r_"), F.lit(False)))
-        keep = [*by, "_cell"]
-        left = cut(paired.where("not _hit").select(*keep, *CELL).unionByName(_pieces(paired.where("_hit"), keep, working)))
-    return normalize(left.drop("_cell"), by)
+    theirs = ["r_" + c for c in CELL]
+    pairs = cut(overlap_join(cells, normalize(b, by), by=by).select(*by, "_cell", *CELL, *theirs))
+    done = cells.join(pairs.select("_cell").distinct(), "_cell", "left_anti").select(*by, *CELL)
+    while not pairs.isEmpty():
+        # Bit i: a subtractor is finer on axis i. A cell that some subtractor holds has one that is finer on none.
+        finer = [(F.col(f"r_z{x}") > F.col(f"z{x}")) & (F.lit(True) if working is None else F.col(f"z{x}") < working.get(x, MAX_ZOOM)) for x in AXES]
+        bits = sum((F.when(t, 1 << i).otherwise(0) for i, t in enumerate(finer)), F.lit(0))
+        node = ["_cell", *CELL]
+        plan = pairs.groupBy(*node).agg(F.bit_or(bits).alias("_bits"), F.min(bits).alias("_least"))
+        plan = plan.where("_least > 0" if working is None else "_bits > 0")
+        if working is not None:  # held at full depth, and not only where the working grid ends
+            held = subsumes("r_", "")
+            plan = plan.join(pairs.where(held).select(*node).distinct(), node, "left_anti")
+        halves = pairs.join(plan, node).withColumn("_bit", F.explode(F.array(F.lit(0), F.lit(1))))
+        axis = F.when(F.col("_bits").bitwiseAND(1) > 0, 0).when(F.col("_bits").bitwiseAND(2) > 0, 1).when(F.col("_bits").bitwiseAND(4) > 0, 2).otherwise(3)
+        halves = halves.withColumn("_axis", axis)
+        deeper = {}
+        for i, x in enumerate(AXES):
+            on = F.col("_axis") == i
+            deeper[f"v{x}"] = F.when(on, shl(F.col(f"v{x}"), 1).bitwiseOR(F.col("_bit").cast("long"))).otherwise(F.col(f"v{x}"))
+            deeper[f"z{x}"] = F.when(on, F.col(f"z{x}") + 1).otherwise(F.col(f"z{x}")).cast("int")
+        halves = halves.withColumns(deeper).select(*by, *node, *theirs).withColumn("_hit", compatible("", "r_"))
+        halves = cut(halves)
+        free = halves.groupBy(*by, *node).agg(F.max(F.col("_hit").cast("int")).alias("_any")).where("_any = 0")
+        done = cut(done.unionByName(free.select(*by, *CELL)))
+        pairs = halves.where("_hit").drop("_hit")
+    return normalize(done, by)
 
 
 def symmetric_difference(a: DataFrame, b: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesseral.functions.cells import shr
+from tesseral.operators.lineage import cut
 
 
 def merge_intervals(df: DataFrame, by: Sequence[str], start: str = "start_s", end: str = "end_s") -> DataFrame:
@@ -24,13 +26,17 @@ def active_sets(df: DataFrame, by: Sequence[str], member: str, start: str = "sta
     """Rows of `by`, start, end, members (sorted), coverage: the elementary segments between a key's
     boundaries, with the set of members active there, if there are `least` or more.
 
-    Members' own intervals are merged first, so each boundary changes the set.
+    Members' own intervals are merged first, so each boundary changes the set. Segments meet the intervals of their key
+    within buckets of time only, as long as the mean interval, so a key with very many intervals is dealt over many groups, and
+    an interval is repeated twice on average.
     """
-    rows = merge_intervals(df, [*by, member], start, end)
+    rows = cut(merge_intervals(df, [*by, member], start, end))
+    width = max(1, math.ceil(rows.agg(F.avg(F.col(end) - F.col(start))).first()[0] or 1))
     edges = rows.select(*by, F.col(start).alias("_a")).union(rows.select(*by, end)).distinct()
     segments = edges.withColumn("_b", F.lead("_a").over(Window.partitionBy(*by).orderBy("_a"))).where("_b is not null")
     own = rows.select(*[F.col(c).alias("_k_" + c) for c in by], F.col(member).alias("_member"), F.col(start).alias("_s"), F.col(end).alias("_e"))
-    test = (F.col("_s") <= F.col("_a")) & (F.col("_b") <= F.col("_e"))
+    own = own.withColumn("_bucket", F.explode(F.sequence(F.expr(f"_s div {width}"), F.expr(f"(_e - 1) div {width}"))))
+    test = (F.expr(f"_a div {width}") == F.col("_bucket")) & (F.col("_s") <= F.col("_a")) & (F.col("_b") <= F.col("_e"))
     for c in by:
         test = test & F.equal_null(c, "_k_" + c)
     found = segments.join(own, test).groupBy(*by, F.col("_a").alias(start), F.col("_b").alias(end))
