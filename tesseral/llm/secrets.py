@@ -1,15 +1,14 @@
 """Secret scans by assignment-aware lexing.
 
-Besides three patterns of fixed form, a text is lexed as source or configuration: lines
-like `name = "literal"`, `name: literal`, `"name": "literal"` or `export NAME=other + "x"` become
-pairs of a name and an expression. Names bound to constants are propagated through later expressions, and
-each literal that ends up in a name is scored by how sensitive the name sounds and how random
+Besides three patterns of fixed form, a text is lexed as source or configuration: quotes of all kinds with their escapes, words,
+signs, brackets, tags and newlines are tokens, and those like `name = "literal"`, `name: literal`, `"name": ["literal", ...]`,
+`<name>literal</name>` or `export NAME=other + "x"` become pairs of a name and an expression. Names bound to constants are propagated
+through later expressions, and each literal that ends up in a name is scored by how sensitive the name sounds and how random
 the value looks. Literals that score enough are spans of the kind `literal`.
 """
 
 from __future__ import annotations
 
-import bisect
 import math
 import re
 from collections import Counter
@@ -31,13 +30,25 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 LEAST_ASSIGNED = 6
 
-#: A name and an assignment sign, before something that can be a value. The value may hold pairs of its own.
-_PAIR = re.compile(r"""(?<![\w.$-])["']?([A-Za-z_][\w.-]*+)["']?[ \t]*+(?::=|=>|[:=](?!=))[ \t]*+(?=["'\w+/$({-])""", re.A)
-#: Parts of an expression: a quoted literal, or a bare word.
-_PART = re.compile(r""""([^"\\\n]*+(?:\\.[^"\\\n]*+)*+)"|'([^'\\\n]*+(?:\\.[^'\\\n]*+)*+)'|([A-Za-z0-9/_$][A-Za-z0-9+/_.=$-]*+)""", re.A)
-_SKIP = re.compile(r"""[^\n;,"'A-Za-z0-9/_$]*+""")
-_JOIN = re.compile(r"[ \t()]*+(?:\+|\.\.?)[ \t()]*+")
-_NAME = re.compile(r"\$*+([A-Za-z_]\w*+)\Z", re.A)
+#: Tokens. A quote that isn't closed is a mark; so is one within a word, as in "it's". Signs of two marks that don't assign are told apart here.
+_TOKEN = re.compile(
+    r"""(?P<long>\"{3}(?:[^"\\]|\\.|"(?!""))*+"{3}|'{3}(?:[^'\\]|\\.|'(?!''))*+'{3})
+    |(?P<quoted>"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|(?<!\w)'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|`[^`\\]*+(?:\\.[^`\\]*+)*+`)
+    |(?P<tag><[A-Za-z_][\w.:-]*+>)
+    |(?P<not>::|[=!<>]=++|->)
+    |(?P<sign>:=|=>|[:=])
+    |(?P<word>[^\s"'`,;<>(){}\[\]=:+&|]++)
+    |(?P<line>\n)
+    |(?P<mark>\S)""",
+    re.A | re.S | re.X,
+)
+#: Marks that end a bare value; others don't, as base64 holds + and = and urls hold colons.
+_ENDS = frozenset("\"'`,;<>(){}[]&|")
+_NAME_MARKS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_.-")
+_NAME = re.compile(r"[$@%-]*+([A-Za-z_][\w.-]*+)\Z", re.A)
+_CLOSE = {"(": ")", "[": "]", "{": "}"}
+#: In pairs of pairs, as in name="password" value="...": the first holds the name of the second's value.
+_NAMERS, _NAMED = {"key", "name", "id"}, {"value", "content"}
 #: Values that begin like this, or are this, are placeholders; none needs more than the first _HEAD characters.
 _PLACEHOLDER = re.compile(r"[<${].*|true|false|null|none|changeme|example.*|your.*", re.I | re.S)
 _HEAD = 9
@@ -115,58 +126,194 @@ def _told(value: _Value, text: str) -> tuple[int, Counter, str]:
     return value.told
 
 
-def _part_at(text: str, at: int, end: int) -> re.Match | None:
-    """The first part of an expression: what is neither quote nor word is skipped, and so is a quote that isn't closed."""
-    while True:
-        at = _SKIP.match(text, at, end).end()
-        if at == end or text[at] in "\n;,":
+class _Lexed:
+    """The tokens of a span of text: kinds, starts and ends; the index of the token that closes each opening bracket; and for each token that of the
+    one after the bare value that would begin with it."""
+
+    def __init__(self, text: str, start: int, end: int):
+        self.text = text
+        self.kind, self.a, self.b = [], [], []
+        for m in _TOKEN.finditer(text, start, end):
+            self.kind.append(m.lastgroup)
+            self.a.append(m.start())
+            self.b.append(m.end())
+        self.end = end
+        self.close: dict[int, int] = {}
+        opened: list[int] = []
+        for i, kind in enumerate(self.kind):
+            if kind == "mark":
+                c = text[self.a[i]]
+                if c in _CLOSE:
+                    opened.append(i)
+                elif opened and c == _CLOSE[text[self.a[opened[-1]]]]:
+                    self.close[opened.pop()] = i
+        n = len(self.kind)
+        self.after = list(range(1, n + 1))
+        for i in range(n - 2, -1, -1):
+            k = i + 1
+            if self.a[k] == self.b[i] and (self.kind[k] in ("sign", "not") or self.kind[k] == "mark" and text[self.a[k]] not in _ENDS or self.kind[k] == "word" and not (k + 1 < n and self.kind[k + 1] == "sign" and _HINT.search(text, self.a[k], self.b[k]))):
+                self.after[i] = self.after[k]
+
+    def is_(self, i: int, kind: str, what: str = "") -> bool:
+        return i < len(self.kind) and self.kind[i] == kind and (not what or self.text[self.a[i]] in what)
+
+    def past_lines(self, i: int) -> int:
+        while self.is_(i, "line"):
+            i += 1
+        return i
+
+    def inner(self, i: int) -> tuple[int, int]:
+        """A quoted token without its quotes."""
+        n = 3 if self.kind[i] == "long" else 1
+        return self.a[i] + n, self.b[i] - n
+
+    def indent(self, i: int) -> int:
+        """How far from the start of its line a token stands."""
+        return self.a[i] - self.text.rfind("\n", 0, self.a[i]) - 1
+
+    def name_before(self, i: int) -> str | None:
+        """The name that the sign at i assigns to: a word, a quoted name, or one in brackets as in settings["name"]."""
+        if not i:
             return None
-        if (p := _PART.match(text, at, end)) is not None:
-            return p
-        at += 1
+        k = i - 1
+        if self.is_(k, "mark", "]") and k >= 2 and self.kind[k - 1] == "quoted" and self.is_(k - 2, "mark", "["):
+            k -= 1
+        if self.kind[k] not in ("quoted", "word"):
+            return None
+        a, b = self.inner(k) if self.kind[k] == "quoted" else (self.a[k], self.b[k])
+        at = b
+        while at > a and self.text[at - 1] in _NAME_MARKS:
+            at -= 1
+        return self.text[at:b].lstrip("0123456789.-") or None
 
 
 def literal_spans(text: str, threshold: float = 3.4) -> list[Span]:
     """Literals that reach a sensitive name, straight or through other names.
 
-    Expressions may join literals and names with +; a name stands for its latest constant
-    before it. A span is a literal without its quotes, where it is written. Pairs inside the value of
-    another are lexed like others; those inside a quoted literal end with it. Names, literals and constants have any length.
+    Expressions may join literals and names with + or by writing them side by side; a name stands for its latest constant
+    before it. What a list holds is judged piece by piece; calls give their quoted arguments that have a digit. A value may stand on the
+    next line. A span is a literal without its quotes, where it is written. Quoted literals are lexed inside, too; pairs
+    there end with them. Names, literals, lists and constants have any length.
     """
     if not _HINT.search(text):
         return []
     known: dict[str, _Value] = {}
     values: list[_Value] = []  # those of several parts come after their parts
-    quoted: list[tuple[int, int]] = []  # quoted literals that are values, outermost only, in order
-    for m in _PAIR.finditer(text):
-        name, at = m.group(1), m.end()
-        i = bisect.bisect_right(quoted, (m.start(1), len(text))) - 1
-        stop = quoted[i][1] if i >= 0 and at <= quoted[i][1] else len(text)
-        parts: list[_Value] = []
-        p = _part_at(text, at, stop)
-        while p is not None:
-            k = p.lastindex
-            a, b = p.span(k)
-            if k == 3 and (word := _NAME.match(text, a, b)) and word[1] in known:
-                parts.append(known[word[1]])
-            elif a < b:
-                if k < 3 and a >= (quoted[-1][1] if quoted else 0):
-                    quoted.append((a, b))
-                parts.append(_Value(a, b))
-                values.append(parts[-1])
-            plus = _JOIN.match(text, p.end(), stop)
-            p = plus and _PART.match(text, plus.end(), stop)
-        if not parts:
-            continue
-        if len(parts) == 1:
-            known[name] = parts[0]
-        else:
-            known[name] = _Value(parts=tuple(parts))
-            values.append(known[name])
+
+    def literal(a: int, b: int) -> _Value:
+        values.append(_Value(a, b))
+        return values[-1]
+
+    def judged(name: str, value: _Value) -> None:
         if told := name_score(name):
-            score = told + _random(*_told(known[name], text))
+            score = told + _random(*_told(value, text))
             if score >= threshold:
-                known[name].score = max(score, known[name].score)
+                value.score = max(score, value.score)
+
+    def part(lex: _Lexed, i: int, *, alone: bool = False) -> tuple[_Value | None, int]:
+        """The literal or constant at token i, and the token after it. Bare words are literals if they have a digit or are no names."""
+        if lex.is_(i, "word") and lex.b[i] - lex.a[i] <= 2 and (lex.is_(i + 1, "quoted") or lex.is_(i + 1, "long")) and lex.a[i + 1] == lex.b[i]:
+            i += 1  # a prefix as in f"..."
+        if lex.is_(i, "quoted") or lex.is_(i, "long"):
+            a, b = lex.inner(i)
+            return (literal(a, b) if a < b else None), i + 1
+        if not lex.is_(i, "word"):
+            return None, i
+        a, after = lex.a[i], lex.after[i]
+        b = lex.b[after - 1]
+        if (word := _NAME.match(text, a, lex.b[i])) and word[1] in known and (b == lex.b[i] or text[lex.b[i]] == "+"):
+            return known[word[1]], i + 1
+        while b > a and text[b - 1] in ".!?:":
+            b -= 1
+        if a == b or alone and not lex.is_(after, "line") and after < len(lex.kind):
+            return None, after
+        if b <= lex.b[i] and _NAME.match(text, a, b) and not any(map(str.isdigit, text[a:b])):
+            return None, after
+        return literal(a, b), after
+
+    def expression(lex: _Lexed, i: int) -> _Value | None:
+        """The joined parts from token i on."""
+        parts: list[_Value] = []
+        while True:
+            got, after = part(lex, i)
+            if after == i:
+                break
+            if got is not None:
+                parts.append(got)
+            i = after
+            k = lex.past_lines(i)
+            if lex.is_(k, "mark", "+"):
+                i = lex.past_lines(k + 1)
+            elif lex.is_(i, "word") and text[lex.a[i] : lex.b[i]] in (".", ".."):
+                i += 1
+            elif not lex.is_(i, "quoted"):
+                break
+        if len(parts) > 1:
+            values.append(_Value(parts=tuple(parts)))
+            return values[-1]
+        return parts[0] if parts else None
+
+    def assigned(lex: _Lexed, name: str, sign: int) -> None:
+        i = sign + 1
+        while lex.is_(i, "mark", "|>") and lex.is_(i + 1, "line"):  # block values
+            i += 1
+        if lex.is_(i, "line"):
+            k = lex.past_lines(i)
+            bare = lex.is_(k, "word")
+            if lex.is_(k + 1, "sign") or not (bare or lex.is_(k, "quoted") or lex.is_(k, "long")) or bare and lex.indent(k) <= lex.indent(sign - 1):
+                return
+            value = part(lex, k, alone=True)[0] if bare else expression(lex, k)
+        elif lex.is_(i, "mark", "([{"):
+            return inside(lex, name, i)
+        elif lex.is_(i, "word") and lex.is_(i + 1, "mark", "(") and lex.a[i + 1] == lex.b[i]:
+            return inside(lex, name, i + 1, digits=True)
+        else:
+            while lex.is_(i, "word") and lex.is_(i + 1, "sign", "=") and lex.a[i + 1] > lex.b[i]:
+                i += 2  # a type, or a chain of assignments
+            value = expression(lex, i)
+        if value is not None:
+            known[name] = value
+            judged(name, value)
+
+    def inside(lex: _Lexed, name: str, i: int, *, digits: bool = False) -> None:
+        """Each literal of the bracket that opens at i, but for those in brackets of their own."""
+        if not name_score(name):
+            return
+        end = lex.close.get(i, i)
+        i += 1
+        while i < end:
+            if i in lex.close:
+                i = lex.close[i] + 1
+            elif lex.is_(i, "quoted") or lex.is_(i, "long"):
+                value, after = part(lex, i)
+                if value is not None and not lex.is_(after, "sign") and not (digits and not any(map(str.isdigit, text[value.start : value.end]))):
+                    judged(name, value)
+                i = after
+            else:
+                i += 1
+
+    todo = [(0, len(text))]
+    while todo:
+        start, end = todo.pop()
+        lex = _Lexed(text, start, end)
+        namer: tuple[str, int] | None = None  # a name given as a value, and where
+        for i, kind in enumerate(lex.kind):
+            if kind in ("quoted", "long"):
+                a, b = lex.inner(i)
+                if _HINT.search(text, a, b):
+                    todo.append((a, b))
+            elif kind == "tag":
+                a, b = lex.b[i], text.find("<", lex.b[i], end)
+                if b > a and (held := text[a:b].strip()):
+                    a = text.index(held, a)
+                    judged(text[lex.a[i] + 1 : lex.b[i] - 1], literal(a, a + len(held)))
+            elif kind == "sign" and (name := lex.name_before(i)):
+                low = name.lower()
+                if low in _NAMERS and lex.is_(i + 1, "quoted"):
+                    namer = text[slice(*lex.inner(i + 1))], i
+                elif low in _NAMED and namer and i - namer[1] <= 4:
+                    name = namer[0]
+                assigned(lex, name, i)
     best: dict[tuple[int, int], float] = {}
     for v in reversed(values):
         for p in v.parts:

@@ -70,6 +70,36 @@ def test_names_literals_and_constants_of_any_length():
     assert found('k = "Zx81Qp09"\n' + 'k = k + "aB3"\n' * 20_000 + "secret = k") == ["Zx81Qp09"] + ["aB3"] * 20_000
 
 
+Z = "Zx81Qp09LmNnOo22"
+
+
+def test_forms_of_values():
+    assert found(f'client_secret = """{Z}"""') == [Z] and found(f"client_secret = '''{Z}\n{Z}'''") == [f"{Z}\n{Z}"]
+    assert found(f"clientSecret: `{Z}`") == [Z]
+    assert found(f'passwords = ["{Z}", "Ab3" + "x", "{Z}9"]') == [Z, f"{Z}9"]
+    assert found(f'secrets = {{"a": "{Z}", "b": ["{Z}7"]}}') == [Z]
+    assert found(f'private_key =\n    "{Z}"') == [Z] and found(f"access_key:\n  {Z}\nname:\n  {Z}\n") == [Z]
+    assert found(f"private_key: |\n  {Z}\n") == [Z]
+    assert found(f"<db><password>{Z}</password><user>{Z}</user></db>") == [Z]
+    assert found(f'<add key="AccessKey" value="{Z}" />') == [Z] and found(f'{{"name": "access_key", "value": "{Z}"}}') == [Z]
+    assert found("export DB_PASSWORD=Xk9!Qw7Zp2 next") == ["Xk9!Qw7Zp2"]
+    assert found('password = "ab,cdEFgh1234XyZ99"') == ["ab,cdEFgh1234XyZ99"]
+    assert found('client_x_token = "Xk9Qw7Zp2,Lm4Rt8Vb"') == ["Xk9Qw7Zp2,Lm4Rt8Vb"]
+    assert found(f"$config['access_key'] = '{Z}';") == [Z] and found(f"'access_key' => '{Z}'") == [Z]
+    assert found(f'access_key: str = "{Z}"') == [Z] and found(f'a = access_key = "{Z}"') == [Z]
+    assert found(f'signing_key = "{Z}" "{Z}8"') == [Z, f"{Z}8"] and found(f'signing_key = f"{Z}"') == [Z]
+    assert found(f'signing_key = "Zx81Qp09" +\n    "LmNnOo22"') == ["Zx81Qp09", "LmNnOo22"]
+    assert found(f'signing_key = decode("{Z}")') == [Z] and found('db_password = os.environ.get("DB_PASSWORD")') == []
+    assert found('pass_phrase = "say \\"Zx81Qp09LmNn\\" twice"; passphrase = "say \\"Zx81Qp09LmNn\\" twice"') == ['say \\"Zx81Qp09LmNn\\" twice']
+    assert found("signing_key = aGVsbG8rd29ybGQ+Pz9+fg==") == ["aGVsbG8rd29ybGQ+Pz9+fg=="]
+    assert found("It's her auth: don't == wait, isn't token? std::auth::Key->auth") == []
+
+
+def test_lexing_ends_and_is_linear():
+    for text in ("token=[" * 20_000, "'" * 30_001 + "token=", '"""' + "token='" * 10_000, "token:" * 20_000, "<token>" * 20_000, "token = " + "(" * 20_000, "token\n=\n" * 10_000, "token = 'a" * 10_000):
+        assert isinstance(secrets.literal_spans(text), list)
+
+
 def test_query_against_brute_force(spark):
     sf_dir = "/root/testdata/sf0.01"
     got = op4_secret_scan(spark, sf_dir).collect()
