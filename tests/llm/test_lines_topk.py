@@ -62,7 +62,7 @@ def test_top_k_against_brute_force(spark, scale, shard_rows):
     vectors = [(i, (rng.normal(size=6) * scale).astype(int).tolist()) for i in range(300)] + [(700 + i, [1] * 6) for i in range(30)] + [(900, [5, 5]), (901, [7, 1])]
     df = spark.createDataFrame(vectors, "vec_id long, v array<long>").selectExpr("vec_id", "size(v) as dim", "v")
     queries = [x for x in vectors if x[0] % 50 == 0]
-    got = topk.top_k(df, df.where("vec_id % 50 = 0"), 5, shard_rows=shard_rows, group_rows=4, leaf=16)
+    got = topk.top_k(df, df.where("vec_id % 50 = 0"), 5, shard_rows=shard_rows, leaf=16)
     assert Counter(map(tuple, got.collect())) == brute(vectors, queries, 5)
 
 
@@ -77,6 +77,16 @@ def test_vectors_that_take_no_part(spark):
     assert topk.top_k(q.limit(0), q, 5).count() == 0
 
 
+def test_repeated_queries_and_candidates(spark):
+    rng = np.random.default_rng(3)
+    vectors = [(i, rng.integers(-9, 9, 4).tolist()) for i in range(120)] + [(50, [9, 9, 9, 9])] * 6 + [(7, [8, 8, 8, 8])] * 3 + [(100, rng.integers(-9, 9, 4).tolist()) for _ in range(3)]
+    df = spark.createDataFrame([(*x, "s", 1) for x in vectors], "vec_id long, v array<long>, shard string, rank int").selectExpr("*", "size(v) as dim")
+    want = brute(vectors, [x for x in vectors if x[0] % 50 == 0], 5)
+    for shard_rows in (30, 1000):
+        got = topk.top_k(df, df.where("vec_id % 50 = 0"), 5, shard_rows=shard_rows, leaf=8)
+        assert Counter(map(tuple, got.collect())) == want
+
+
 def test_repeated_own_rows_take_no_places():
     points = np.array([[100.0]] * 4 + [[float(x)] for x in range(60)])
     ids = np.array([7] * 4 + list(range(100, 160)))
