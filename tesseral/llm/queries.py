@@ -24,7 +24,7 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sharded = sharding.shuffle_into_shards(_table(spark, sf_dir, "documents"), 24)
+    sharded = sharding.shuffle_into_shards(_table(spark, sf_dir, "documents"), 24, is_stored=True)
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
     return sharded.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

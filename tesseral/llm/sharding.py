@@ -18,31 +18,37 @@ from pyspark.sql import functions as F
 from tesseral.llm.common import pieces_of, stored
 
 
-def shuffle_into_shards(docs: DataFrame, shards: int, *, seed: int = 17, bucket_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shuffle_into_shards(docs: DataFrame, shards: int, *, seed: int = 17, bucket_bytes: int = 32 << 20, task_bytes: int = 64 << 20, text_col: str = "text", is_stored: bool = False) -> DataFrame:
     """docs with two more columns: shard (0 to shards - 1) and slot (its place there, gapless from 0).
 
-    Any columns are kept; shard and slot replace columns of those names. Null ids and null
-    texts are hashed like other values. Repeated rows are all kept, each with a place of its
-    own; rows alike in id and text are put in one bucket, whose sort can spill. No
+    Any columns are kept; shard and slot replace columns of those names. Records are scattered by their numbers in a stored table, so
+    nulls, ties, very long texts and rows repeated ever so often are dealt as evenly as any. `is_stored` says that docs are the plain rows of a table: else
+    they are written to one first, as numbers must be the same if a task is run again. No
     records give no rows; fewer records than shards leave the last shards empty.
-    The order depends on the seed and the rows alone.
+    The order depends on the seed and the table alone. One row a bucket, two numbers, is summed up in one task.
     """
     docs = docs.drop("shard", "slot")
+    if not is_stored:
+        docs = stored(docs, "records")
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("bytes"), F.count("*").alias("rows")).first()
-    buckets = pieces_of(total["bytes"] + 64 * total["rows"], bucket_bytes)
-    bucket = F.pmod(F.xxhash64(F.lit(seed), id_col, text_col), F.lit(buckets))
-    keyed = docs.withColumn("_bucket", bucket).withColumn("_mix", F.xxhash64(F.lit(seed + 1), id_col, text_col))
+    size = total["bytes"] + 64 * total["rows"]
+    buckets = pieces_of(size, bucket_bytes)
+    # Several buckets to a task, but no fewer tasks than any shuffle has.
+    tasks = max(pieces_of(size, task_bytes), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    numbered = docs.withColumn("_number", F.monotonically_increasing_id())
+    bucket = F.pmod(F.xxhash64(F.lit(seed), "_number"), F.lit(buckets))
+    keyed = numbered.withColumn("_bucket", bucket).withColumn("_mix", F.xxhash64(F.lit(seed + 1), "_number"))
 
     # One row a bucket: how many records lie in it and before it.
     sizes = keyed.groupBy("_bucket").agg(F.count("*").alias("_n"))
     sizes = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n"))
     sizes = stored(sizes, "buckets")
     # The permutations: as shuffle() draws numbers row by row, its rows are put in order first.
-    orders = sizes.repartition(min(buckets, 1 << 14), "_bucket").sortWithinPartitions("_bucket")
+    orders = sizes.repartition(tasks, "_bucket").sortWithinPartitions("_bucket")
     orders = orders.select("_bucket", "_before", F.shuffle(F.sequence(F.lit(0), (F.col("_n") - 1).cast("int")), seed).alias("_order"))
 
-    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy("_mix", id_col, text_col)) - 1
-    placed = keyed.withColumn("_rank", rank).join(orders.hint("merge"), "_bucket")
+    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy("_mix", "_number")) - 1
+    placed = keyed.repartition(tasks, "_bucket").withColumn("_rank", rank).join(orders.hint("merge"), "_bucket")
     place = F.col("_before") + F.element_at("_order", F.col("_rank") + 1)
     # The first `extra` shards hold one record more than the others.
     base, extra = divmod(total["rows"], shards)
@@ -52,6 +58,8 @@ def shuffle_into_shards(docs: DataFrame, shards: int, *, seed: int = 17, bucket_
     return placed.withColumn("_place", place).select(*docs.columns, shard.cast("int").alias("shard"), slot.cast("long").alias("slot"))
 
 
-def write_shards(sharded: DataFrame, path: str) -> None:
-    """Write each shard's records, in the order of their slots, under path/shard=N."""
-    sharded.repartition("shard").sortWithinPartitions("shard", "slot").drop("slot").write.partitionBy("shard").parquet(path)
+def write_shards(sharded: DataFrame, path: str, *, files: int | None = None) -> None:
+    """Write the records, in the order of their slots, under path/shard=N: `files` ranges in all (by default as many as shuffles have
+    partitions), so a large shard is several files whose names follow its slots, written by as many tasks."""
+    files = files or int(sharded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sharded.repartitionByRange(files, "shard", "slot").sortWithinPartitions("shard", "slot").drop("slot").write.partitionBy("shard").parquet(path)

@@ -36,6 +36,15 @@ def test_shuffle_odd_rows(odd, shards, bucket_bytes):
     check_shards(got, shards)
 
 
+def test_shuffle_deals_repeated_rows(spark):
+    """One record makes up nearly all rows: it is dealt over all buckets, and the files of a shard follow its slots."""
+    docs = spark.range(3000).selectExpr("cast(5 as long) as doc_id", "repeat('y', 40) as text").unionByName(spark.range(30).selectExpr("id as doc_id", "'z' as text"))
+    out = sharding.shuffle_into_shards(docs, 4, bucket_bytes=10_000)
+    got = out.collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter((r["doc_id"], r["text"]) for r in docs.collect())
+    check_shards(got, 4)
+
+
 def test_shuffle_looks_random(spark):
     docs = spark.range(4000).selectExpr("id as doc_id", "repeat('x', 20) as text")
     got = sharding.shuffle_into_shards(docs, 4, bucket_bytes=20_000).collect()
