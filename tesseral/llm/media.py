@@ -10,13 +10,14 @@ newly opened file, so one bad read costs one member and not the partition.
 
 from __future__ import annotations
 
+import contextlib
 import json
 import struct
 import time
 import uuid
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -95,6 +96,10 @@ def image_feature(samples: np.ndarray) -> str:
 
 
 def _open_fs(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder and the path there. Stores that only Hadoop's clients reach are refused with the reason."""
+    scheme = uri.split(":", 1)[0] if ":" in uri else "file"
+    if scheme not in ("file", "hdfs", "viewfs", "s3", "gs", "gcs"):
+        raise ValueError(f"archives can't be kept at {uri}: tasks open them with pyarrow, which has file, hdfs, viewfs, s3 and gs but not {scheme}; name such a folder in spark.checkpoint.dir or as `path`")
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
@@ -129,19 +134,26 @@ class PngArchiveWriter(DataSourceArrowWriter):
             out.close()
             done.append((name, files.get_file_info(f"{root}/{name}").size, members))
 
-        for batch in iterator:
-            for key, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if archive is None:
-                    name, members = f"{uuid.uuid4().hex}.zip", 0
-                    out = files.open_output_stream(f"{root}/{name}")
-                    archive = zipfile.ZipFile(out, "w", zipfile.ZIP_STORED)
-                archive.writestr(zipfile.ZipInfo(f"{members}/{'' if key is None else key}.png"), to_png(payload.as_py()))
-                members += 1
-                if out.tell() >= self.archive_bytes:
-                    close()
-                    out = archive = None
-        if archive is not None:
-            close()
+        try:
+            for batch in iterator:
+                for key, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    if archive is None:
+                        name, members = f"{uuid.uuid4().hex}.zip", 0
+                        out = files.open_output_stream(f"{root}/{name}")
+                        archive = zipfile.ZipFile(out, "w", zipfile.ZIP_STORED)
+                    archive.writestr(zipfile.ZipInfo(f"{members}/{'' if key is None else key}.png"), to_png(payload.as_py()))
+                    members += 1
+                    if out.tell() >= self.archive_bytes:
+                        close()
+                        out = archive = None
+            if archive is not None:
+                close()
+        except BaseException:
+            # The attempt's archives are in no manifest; only those of a lost executor stay behind.
+            for left in {x[0] for x in done} | ({name} if name else set()):
+                with contextlib.suppress(OSError):
+                    files.delete_file(f"{root}/{left}")
+            raise
         return _Written(done)
 
     def commit(self, messages: list[_Written | None]) -> None:
@@ -178,27 +190,35 @@ class PngArchiveReader(DataSourceReader):
                         found += [_Range(name, at, min(at + self.range_bytes, size)) for at in range(0, size, self.range_bytes)]
         return found or [_Range("", 0, 0)]
 
-    def fetch(self, files: fs.FileSystem, path: str, held: list[zipfile.ZipFile], member: zipfile.ZipInfo) -> bytes:
-        """One member, checked against its checksum; after a failed read the archive is opened anew."""
+    def tried(self, read: Callable[[], object], held: list[zipfile.ZipFile], what: str):  # noqa: ANN201
+        """read(), again after a failure, with the archive opened anew."""
         for k in range(self.tries):
             try:
-                if not held:
-                    held.append(zipfile.ZipFile(files.open_input_file(path)))
-                return held[0].read(member)
+                return read()
             except (OSError, zipfile.BadZipFile, zlib.error) as e:
                 held.clear()
                 if k + 1 == self.tries:
-                    raise OSError(f"{path}, member {member.filename} at offset {member.header_offset}: {e}") from e
+                    raise OSError(f"{what}: {e}") from e
                 time.sleep(self.wait_s * 2**k)
         raise AssertionError
 
+    def opened(self, files: fs.FileSystem, path: str, held: list[zipfile.ZipFile]) -> zipfile.ZipFile:
+        if not held:
+            held.append(zipfile.ZipFile(files.open_input_file(path)))
+        return held[0]
+
+    def fetch(self, files: fs.FileSystem, path: str, held: list[zipfile.ZipFile], member: zipfile.ZipInfo) -> bytes:
+        """One member, checked against its checksum."""
+        return self.tried(lambda: self.opened(files, path, held).read(member), held, f"{path}, member {member.filename} at offset {member.header_offset}")
+
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
         if not partition.archive:
             return
         files, root = _open_fs(self.path)
         path = f"{root}/{partition.archive}"
-        held = [zipfile.ZipFile(files.open_input_file(path))]
-        members = [x for x in held[0].infolist() if partition.start <= x.header_offset < partition.end]
+        held: list[zipfile.ZipFile] = []
+        listed = self.tried(lambda: self.opened(files, path, held).infolist(), held, f"{path}, its directory")
+        members = [x for x in listed if partition.start <= x.header_offset < partition.end]
         keys: list[int | None] = []
         media: list[bytes] = []
         size = 0
@@ -235,7 +255,7 @@ def store_payloads(docs: DataFrame, path: str, **options: str) -> None:
     """Write each document's padded payload as an image into the archive directory `path`.
 
     docs: doc_id, text; other columns are not read. Null and empty texts become one row of
-    255s; null ids come back as null; repeated rows are members of their own. No documents leave an empty directory.
+    255s; null ids come back as null; repeated rows are members of their own; very long texts are one member each. No documents leave an empty directory.
     """
     docs.sparkSession.dataSource.register(PngArchive)
     rows = docs.select("doc_id", padded_payload("text").alias("payload"))

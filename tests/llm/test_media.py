@@ -73,3 +73,25 @@ def test_members_are_retried_by_offset(tmp_path):
     Flaky.opened = -10
     with pytest.raises(OSError, match="offset"):
         reader.fetch(Flaky(), path, [], member)
+
+
+def test_opening_is_tried_again(spark, tmp_path, monkeypatch):
+    """A first opening that fails costs neither the partition nor a member."""
+    path = f"file://{tmp_path}/archives"
+    media.store_payloads(spark.createDataFrame([(i, f"text {i}") for i in range(5)], "doc_id long, text string").coalesce(1), path)
+    reader = media.PngArchiveReader({"path": path, "waits": "0"})
+    true, failures = media.zipfile.ZipFile, [OSError("gone"), media.zipfile.BadZipFile("cut")]
+
+    def opening(*args, **kwargs):
+        if failures:
+            raise failures.pop()
+        return true(*args, **kwargs)
+
+    monkeypatch.setattr(media.zipfile, "ZipFile", opening)
+    got = [i for part in reader.partitions() for batch in reader.read(part) for i in batch.column(0).to_pylist()]
+    assert sorted(got) == list(range(5)) and not failures
+
+
+def test_unreachable_stores_are_refused():
+    with pytest.raises(ValueError, match="abfss"):
+        media._open_fs("abfss://c@a.dfs.example/x")
