@@ -223,6 +223,11 @@ def to_iso(seconds: Column) -> Column:
     return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
+def to_iso_jst(seconds: Column) -> Column:
+    """The time nine hours ahead of UTC, as in 2025-05-22T00:00:00+09:00."""
+    return F.concat(F.date_format(F.timestamp_seconds(seconds + 32_400), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+09:00"))
+
+
 def key_bits(side: str = "") -> Column:
     """Bits of a cell's key: as bit_length, for cells whose axes are all active."""
     return bit_length(side)

@@ -293,3 +293,8 @@ def zoom_histogram(df: DataFrame, by: Sequence[str] = (), top: int | None = None
     counts = df.groupBy(*by, "flags", *ZOOMS).agg(F.count("*").alias("cells")).orderBy(F.col("cells").desc(), *by, "flags", *ZOOMS)
     return counts.limit(top) if top else counts
 
+
+
+def canonical_rank(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """df with rank: the place of each cell among those of its region, from 1, by axes, zooms and then values."""
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("flags", *ZOOMS, *VALUES)))

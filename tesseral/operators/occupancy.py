@@ -86,11 +86,11 @@ def directional_fill(shell: DataFrame, sides: Sequence[str] = ("west", "east", "
     return shell.unionByName(found)
 
 
-def flood_fill(shell: DataFrame, by: Sequence[str] = (), *, steps: int = 500) -> DataFrame:
+def flood_fill(shell: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """The shell and all empty voxels that can't be reached from outside through faces.
 
     The empty voxels of the bounding box, one wider on each side, are runs along x. Runs that touch the box's sides are
-    outside, and so is whatever touches these; each step marks the runs next to those marked last.
+    outside, and so is whatever touches these; each step marks the runs next to those marked last, until there are none.
     """
     shell = cut(shell.select(*by, *GRID).distinct())
     box = shell.groupBy(*by).agg(*[f(c).alias(n) for c in GRID for f, n in ((F.min, f"_{c}0"), (F.max, f"_{c}1"))])
@@ -103,7 +103,7 @@ def flood_fill(shell: DataFrame, by: Sequence[str] = (), *, steps: int = 500) ->
     runs = cut(joined.select(*by, "iy", "ih", "a", "b", border.alias("out")))
     outside = runs.where("out").drop("out")
     fresh, inside = outside, cut(runs.where("not out").drop("out"))
-    for _ in range(steps):
+    while True:
         steps4 = F.explode(F.array(*[F.struct(F.lit(y).cast("long").alias("y"), F.lit(h).cast("long").alias("h")) for y, h in ((1, 0), (-1, 0), (0, 1), (0, -1))]))
         reach = fresh.withColumn("_s", steps4).select(*[F.col(c).alias("_" + c) for c in by], (F.col("iy") + F.col("_s.y")).alias("_y"), (F.col("ih") + F.col("_s.h")).alias("_h"), F.col("a").alias("_a"), F.col("b").alias("_b"))
         test = (F.col("iy") == F.col("_y")) & (F.col("ih") == F.col("_h")) & (F.col("a") <= F.col("_b")) & (F.col("b") >= F.col("_a"))
@@ -114,7 +114,6 @@ def flood_fill(shell: DataFrame, by: Sequence[str] = (), *, steps: int = 500) ->
             filled = inside.withColumn("ix", F.explode(F.sequence("a", "b"))).select(*by, *GRID)
             return shell.unionByName(filled)
         inside = cut(inside.join(fresh, [*by, "iy", "ih", "a", "b"], "left_anti"))
-    raise RuntimeError(f"the flood did not end in {steps} steps")
 
 
 def boundary(solid: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -151,13 +150,15 @@ def max_inscribed(voxels: DataFrame, most: tuple[int, int, int], by: Sequence[st
     return full.crossJoin(F.broadcast(best)).where("atoms = _most").drop("_most")  # one row
 
 
-def set_sizes(raw: DataFrame, closed: DataFrame, solid: DataFrame) -> DataFrame:
-    """One row of diagnostics: how many voxels were scanned, added by closing and by filling, and what share is fill."""
-    named = raw.distinct().select(*GRID, F.lit(1).alias("r"), F.lit(0).alias("c"), F.lit(0).alias("s"))
-    named = named.unionByName(closed.distinct().select(*GRID, F.lit(0).alias("r"), F.lit(1).alias("c"), F.lit(0).alias("s")))
-    named = named.unionByName(solid.distinct().select(*GRID, F.lit(0).alias("r"), F.lit(0).alias("c"), F.lit(1).alias("s")))
-    one = named.groupBy(*GRID).agg(*[F.max(k).alias(k) for k in "rcs"])
-    counts = one.agg(F.sum("r").alias("raw"), F.count_if(F.expr("c = 1 and r = 0")).alias("closed_added"), F.count_if(F.expr("s = 1 and c = 0 and r = 0")).alias("fill_added"), F.sum("s").alias("solid"), F.count_if(F.expr("r = 1 and c = 0")).alias("raw_lost"))
+def set_sizes(raw: DataFrame, closed: DataFrame, solid: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row of diagnostics for each object: how many voxels were scanned, added by closing and by filling, and what share is fill."""
+    keys = [*by, *GRID]
+    named = None
+    for df, name in ((raw, "r"), (closed, "c"), (solid, "s")):
+        part = df.select(*keys, *[F.lit(int(k == name)).alias(k) for k in "rcs"])
+        named = part if named is None else named.unionByName(part)
+    one = named.groupBy(*keys).agg(*[F.max(k).alias(k) for k in "rcs"])
+    counts = one.groupBy(*by).agg(F.sum("r").alias("raw"), F.count_if(F.expr("c = 1 and r = 0")).alias("closed_added"), F.count_if(F.expr("s = 1 and c = 0 and r = 0")).alias("fill_added"), F.sum("s").alias("solid"), F.count_if(F.expr("r = 1 and c = 0")).alias("raw_lost"))
     return counts.withColumn("fill_share", F.coalesce(F.col("fill_added") / F.nullif(F.col("solid"), F.lit(0)), F.lit(0.0)))
 
 

@@ -65,7 +65,7 @@ def overlaps(a: str, b: str) -> str:
     return " and ".join(f"{a}.v{x} >> ({a}.z{x} - least({a}.z{x}, {b}.z{x})) = {b}.v{x} >> ({b}.z{x} - least({a}.z{x}, {b}.z{x}))" for x in "xy")
 
 
-def expanded(source: str, where: str = "true", zx: int = 6, zy: int = 5) -> str:
+def expanded(source: str, where: str = "true", zx: int = 9, zy: int = 8) -> str:
     return f"""(select distinct region_id, (vx << ({zx} - zx)) + i.i as vx, (vy << ({zy} - zy)) + j.j as vy from {source},
       lateral (select unnest(range(0, 1::bigint << ({zx} - zx)))) as i(i), lateral (select unnest(range(0, 1::bigint << ({zy} - zy)))) as j(j) where {where})"""
 
@@ -100,7 +100,7 @@ select point_id, round(-180e0 + vx * (360e0/1024), 8) as west, round(-180e0 + (v
 _L, _R = point_axes(20, 18, 16, 12), point_axes(14, 21, 20, 10)
 _PAIRS = _with("points", "l as (select point_id, point_id % 3 <> 0 as onx, true as ony, true as onf, true as ont, " + ", ".join(f"{v} as v{a}, {z} as z{a}" for a, (v, z) in _L.items()) + " from points)",
   "r as (select point_id, true as onx, true as ony, true as onf, point_id % 5 <> 0 as ont, " + ", ".join(f"{v} as v{a}, {z} as z{a}" for a, (v, z) in _R.items()) + " from points)",
-  "p as (select l.point_id, " + ", ".join(f"l.on{a} and r.on{a} as on{a}, least(l.z{a}, r.z{a}) as q{a}, l.v{a} >> (l.z{a} - least(l.z{a}, r.z{a})) as p{a}, r.v{a} >> (r.z{a} - least(l.z{a}, r.z{a})) as r{a}" for a in AX) + " from l join r on r.point_id = l.point_id + 1)")
+  "p as (select l.point_id, " + ", ".join(f"l.on{a} as l_on{a}, r.on{a} as r_on{a}, l.on{a} and r.on{a} as on{a}, least(l.z{a}, r.z{a}) as q{a}, l.v{a} >> (l.z{a} - least(l.z{a}, r.z{a})) as p{a}, r.v{a} >> (r.z{a} - least(l.z{a}, r.z{a})) as r{a}" for a in AX) + " from l join r on r.point_id = l.point_id + 1)")
 O["match_pairs"] = _PAIRS + "select point_id, " + " and ".join(f"(not on{a} or p{a} = r{a})" for a in AX) + " as overlap from p"
 O["common_prefixes"] = (_PAIRS.rstrip() + ",\nn as (select *, " + ", ".join(f"case when on{a} then q{a} - case when p{a} = r{a} then 0 else length(bin(xor(p{a}, r{a}))) end else 0 end as n{a}" for a in AX) + " from p)\n"
   + "select point_id, (" + " + ".join(f"case when n{a} > 0 then {w} else 0 end" for a, w in zip(AX, (8, 4, 2, 1), strict=True)) + ")::int as flags, "
@@ -123,7 +123,7 @@ O["refine_children"] = _with("cells") + "select region_id, side, (zx + 2)::int a
 O["coarsen_distinct"] = _with("cells") + "select distinct region_id, 2::int as zx, 2::int as zy, vx >> (zx - 2) as vx, vy >> (zy - 2) as vy from cells"
 O["expand_atoms"] = _with("cells") + f"select * from {expanded('cells')}"
 for _name, _op in (("atoms_union", "union"), ("atoms_intersection", "intersect"), ("atoms_difference", "except")):
-    O[_name] = _with("cells", SIDES) + f"select * from {expanded('a', 'vx % 3 <> 0')} {_op} select * from {expanded('b', 'vx % 3 <> 1')}"
+    O[_name] = _with("cells", SIDES) + f"select * from {expanded('a')} {_op} select * from {expanded('b')}"
 O["remove_subsumed"] = _with("cells", C) + f"select * from c where not exists (select 1 from c d where d.region_id = c.region_id and (d.zx <> c.zx or d.zy <> c.zy) and {covers('d', 'c')})"
 O["normalize_1d_uniform"] = _with("line", closed("n", "line", "region_id", "ix", 16, ("zx", "vx"))) + "select * from n"
 
@@ -134,12 +134,12 @@ def _three(source: str, key: str) -> str:
 
 O["normalize_3d_uniform"] = _with("grid", _three("grid", "region_id")) + "select region_id, zx, vx, zy, vy, zf, vf from nf"
 O["normalize_attributes"] = _with("grid", "m as (select ix, iy, ih, string_agg(region_id, '|' order by region_id) as attribute from grid group by ix, iy, ih)", _three("m", "attribute")) + "select attribute, zx, vx, zy, vy, zf, vf from nf"
-O["normalize_mixed"] = _with("cells") + f"select * from {expanded('cells', 'vx % 3 <> 0')}"
+O["normalize_mixed"] = _with("cells") + f"select * from {expanded('cells')}"
 _ab = "a as (select region_id, ix from line where side = 0), b as (select region_id, ix from line where side = 1)"
 for _name, _op in (("union_region", "union"), ("intersection_region", "intersect"), ("difference_1d", "except")):
     O[_name] = _with("line", _ab, f"s as (select * from a {_op} select * from b)", closed("n", "s", "region_id", "ix", 16, ("zx", "vx"))) + "select * from n"
-O["difference_2d"] = _with("cells", SIDES) + f"select * from {expanded('a', 'vx % 3 <> 0')} except select * from {expanded('b', 'zx >= 5 and zy >= 4 and vx % 3 <> 1')}"
-_part = "region_id <> 'P' or zx < 6"
+O["difference_2d"] = _with("cells", SIDES) + f"select * from {expanded('a')} except select * from {expanded('b')}"
+_part = "region_id <> 'P' or zx < 9"
 O["semantic_equal"] = _with("cells", f"p as (select * from {expanded('cells')})", f"q as (select * from {expanded('cells', _part)})") + """
 select region_id, (select count(*) from p x where x.region_id = r.region_id) = (select count(*) from q x where x.region_id = r.region_id) as equal from (select distinct region_id from p) r"""
 
@@ -155,7 +155,7 @@ O["neighbor_clamp"] = _moves("true", f"greatest(0, least(vx + dx, {_nx} - 1))",
 O["neighbor_membership"] = _with("cells", SIDES, "o as (select * from (values (0, 1, 0), (1, 0, -1)) t(offset_id, dx, dy))", "m as (select b.*, offset_id, b.vx + dx as mx, b.vy + dy as my from b, o)") + """
 select region_id, zx, zy, vx, vy, offset_id::int as offset_id, mx between 0 and (1::bigint << zx) - 1 and my between 0 and (1::bigint << zy) - 1 and exists (
   select 1 from a where a.region_id = m.region_id and a.zx <= m.zx and a.zy <= m.zy and a.vx = m.mx >> greatest(m.zx - a.zx, 0) and a.vy = m.my >> greatest(m.zy - a.zy, 0)) as member from m"""
-O["prefix_dilate_1d"] = _with("line", "s as (select distinct region_id, ix from line where ix % 5 <> 0)", closed("n", "s", "region_id", "ix", 16, ("zx", "vx")),
+O["prefix_dilate_1d"] = _with("line", "s as (select distinct region_id, ix from line)", closed("n", "s", "region_id", "ix", 16, ("zx", "vx")),
   "w as (select region_id, zx, vx + d as vx from n, (values (-1), (0), (1)) t(d) where vx + d between 0 and (1::bigint << zx) - 1)",
   "u as (select distinct region_id, (vx << (16 - zx)) + i as ix from w, lateral (select unnest(range(0, 1::bigint << (16 - zx)))) as g(i))", closed("m", "u", "region_id", "ix", 16, ("zx", "vx"))) + "select * from m"
 _steps = "d as (select * from (values (1, 0), (-1, 0), (0, 1), (0, -1)) t(dx, dy))"
@@ -281,32 +281,29 @@ select k as flight_id, phase, count(*) as samples, min(dep + e) as first_s, sum(
   round(sum(step / spd::double), 7) as speed_sum from g3 group by all"""
 O["zoom_histogram"] = _with("cells") + "select region_id, zx, zy, count(*) as cells from cells group by all"
 O["topk_zoom"] = _with("cells") + "select zx, zy, count(*) as cells from cells group by all order by cells desc, zx, zy limit 5"
-O["representation_totals"] = _with("samples", _RES, _OVER, """
-    g as (select *, case when lag(end_s) over w = start_s and lag(members) over w = members then 0 else 1 end as nw from seg window w as (partition by x21, y21, h12 order by start_s)),
-    h as (select *, sum(nw) over (partition by x21, y21, h12 order by start_s rows unbounded preceding) as isl from g),
-    a as (select x21, y21, h12, min(start_s) as start_s, max(end_s) as end_s from h group by x21, y21, h12, isl),
-    k as (select k::int as k, (start_s + (1::bigint << k::int) - 1) >> k::int as l, end_s >> k::int as r from a, range(0, 32) t(k)),
-    z as (select 32 - k as zt from k where l < r and l % 2 = 1 union all select 32 - k from k where l < r and r % 2 = 1),
-    t as (select 'seconds' as representation, sum(end_s - start_s)::bigint as records, sum(end_s - start_s)::bigint * (73 + 32) as key_bits from a
-      union all select 'intervals', count(*), count(*) * (73 + 64) from a union all select 'dyadic', count(*), sum(24 + 54 + zt)::bigint from z)""") + "select *, key_bits + records * 20 as total_bits from t"
 O["flight_summary"] = _with("samples", _RES) + "select flight_id, (select count(*) from (select distinct x21, y21, h12 from res r where r.flight_id = s.flight_id)) as atoms, count(*) as intervals, sum(end_s - start_s)::bigint as seconds, min(start_s) as start_s, max(end_s) as end_s from res s group by flight_id"
-O["max_inscribed"] = _with("grid", """n as (select region_id, dx::int as dx, dy::int as dy, dh::int as dh, ix >> dx::int as bx, iy >> dy::int as by, ih >> dh::int as bh, count(*) as atoms
-    from grid, range(0, 4) a(dx), range(0, 4) b(dy), range(0, 3) c(dh) group by all having count(*) = 1::bigint << (dx + dy + dh)::int)""") + "select * from n where atoms = (select max(atoms) from n m where m.region_id = n.region_id)"
 _u = point_axes(20, 20, 16)
 O["min_enclosing"] = (_with("points", "g as (select user_id % 50 as \"user\", " + ", ".join(f"min({v}) as p{a}, max({v}) as r{a}, {z} as q{a}" for a, (v, z) in _u.items()) + " from points group by 1)",
   "n as (select *, " + ", ".join(f"q{a} - case when p{a} = r{a} then 0 else length(bin(xor(p{a}, r{a}))) end as n{a}" for a in "xyf") + " from g)")
   + "select \"user\", (" + " + ".join(f"case when n{a} > 0 then {w} else 0 end" for a, w in zip("xyf", (8, 4, 2), strict=True)) + ")::int as flags, "
   + ", ".join(f"n{a}::int as z{a}, case when n{a} > 0 then p{a} >> (q{a} - n{a}) else 0 end::bigint as v{a}" for a in "xyf") + ", 0::int as zt, 0::bigint as vt from n")
-O["enclosing_cover"] = (_with("grid", "g as (select region_id, ix >> 4 as fx, iy >> 4 as fy, ih >> 1 as ff, count(*) as cells, " + ", ".join(f"min(i{c}) as p{a}, max(i{c}) as r{a}, {z} as q{a}" for a, c, z in (("x", "x", 5), ("y", "y", 5), ("f", "h", 2))) + " from grid where (ix*7 + iy*3 + ih) % 5 < 2 group by all)",
+O["enclosing_cover"] = (_with("shell", "g as (select region_id, ix >> 4 as fx, iy >> 4 as fy, ih >> 4 as ff, count(*) as cells, " + ", ".join(f"min(i{c}) as p{a}, max(i{c}) as r{a}, {z} as q{a}" for a, c, z in (("x", "x", 5), ("y", "y", 5), ("f", "h", 5))) + " from sh group by all)",
   "n as (select *, " + ", ".join(f"q{a} - case when p{a} = r{a} then 0 else length(bin(xor(p{a}, r{a}))) end as n{a}" for a in "xyf") + " from g)")
   + "select region_id, " + ", ".join(f"n{a}::int as z{a}, p{a} >> (q{a} - n{a}) as v{a}" for a in "xyf") + ", cells from n")
-_sh = "sh as (select * from grid where (ix*5 + iy*3 + ih) % 7 < 2)"
-_box = "box as (select r.region_id, x.ix, y.iy, h.ih from (select distinct region_id from grid) r, range(-3, 36) x(ix), range(-3, 36) y(iy), range(-3, 8) h(ih))"
-O["directional_fill"] = _with("grid", _sh, _box) + """select * from sh union select b.* from box b where exists (select 1 from sh w where w.region_id = b.region_id and w.iy = b.iy and w.ih = b.ih and w.ix < b.ix)
-  and exists (select 1 from sh w where w.region_id = b.region_id and w.iy = b.iy and w.ih = b.ih and w.ix > b.ix) and exists (select 1 from sh w where w.region_id = b.region_id and w.ix = b.ix and w.iy = b.iy and w.ih > b.ih)"""
+_box = "box as (select r.region_id, x.ix, y.iy, h.ih from (select distinct region_id from sh) r, range(0, 34) x(ix), range(0, 34) y(iy), range(0, 34) h(ih))"
+
+def _filled(source: str) -> str:
+    """A shell and the empty voxels with shell to the west, to the east and above."""
+    return f"""select * from {source} union select b.* from box b join (select region_id, iy, ih, min(ix) as lo, max(ix) as hi from {source} group by 1, 2, 3) r on r.region_id = b.region_id and r.iy = b.iy and r.ih = b.ih and b.ix > r.lo and b.ix < r.hi
+  join (select region_id, ix, iy, max(ih) as top from {source} group by 1, 2, 3) u on u.region_id = b.region_id and u.ix = b.ix and u.iy = b.iy and u.top > b.ih"""
+
+
+O["directional_fill"] = _with("shell", _box) + _filled("sh")
+O["max_inscribed"] = _with("shell", _box, f"so as ({_filled('sh')})", """n as (select region_id, dx::int as dx, dy::int as dy, dh::int as dh, ix >> dx::int as bx, iy >> dy::int as by, ih >> dh::int as bh, count(*) as atoms
+    from so, range(0, 5) a(dx), range(0, 5) b(dy), range(0, 5) c(dh) group by all having count(*) = 1::bigint << (dx + dy + dh)::int)""") + "select * from n where atoms = (select max(atoms) from n m where m.region_id = n.region_id)"
 _cube = "cu as (select a as dx, b as dy, c as dh from range(-1, 2) p(a), range(-1, 2) q(b), range(-1, 2) r(c))"
 _close = "di as (select distinct region_id, ix + dx as ix, iy + dy as iy, ih + dh as ih from sh, cu), cl as (select region_id, ix + dx as ix, iy + dy as iy, ih + dh as ih from di, cu group by 1, 2, 3, 4 having count(*) = 27)"
-O["closing"] = _with("grid", _sh, _cube, _close) + "select region_id, ix, iy, ih from cl"
+O["closing"] = _with("shell", _cube, _close) + "select region_id, ix, iy, ih from cl"
 _face = "fa as (select * from (values (1,0,0),(-1,0,0),(0,1,0),(0,-1,0),(0,0,1),(0,0,-1)) t(dx, dy, dh))"
 
 
@@ -315,18 +312,13 @@ def _edge(solid: str) -> str:
 
 
 O["boundary_voxels"] = _with("grid", _face) + _edge("grid")
-O["exposed_origin"] = _with("grid", _sh, _cube, _close, _box, _face, """so as (select * from cl union select b.* from box b where exists (select 1 from cl w where w.region_id = b.region_id and w.iy = b.iy and w.ih = b.ih and w.ix < b.ix)
-  and exists (select 1 from cl w where w.region_id = b.region_id and w.iy = b.iy and w.ih = b.ih and w.ix > b.ix) and exists (select 1 from cl w where w.region_id = b.region_id and w.ix = b.ix and w.iy = b.iy and w.ih > b.ih))""", f"ed as ({_edge('so')})") + """
+O["exposed_origin"] = _with("shell", _cube, _close, _box, _face, f"so as ({_filled('cl')})", f"ed as ({_edge('so')})") + """
 select e.region_id, case when s.ix is not null then 'raw' when c.ix is not null then 'closed' else 'fill' end as origin, count(*) as voxels from ed e
-  left join sh s using (region_id, ix, iy, ih) left join cl c using (region_id, ix, iy, ih) group by all"""
-O["expansion_check"] = _with("grid", "n as (select *, 1 as inside from grid where ix % 11 <> 3 and iy % 7 <> 2)", "f as (select *, 1 as wanted from grid where iy % 7 <> 1)") + """
-select region_id, count(*) filter (where inside is null) as missing, count(*) filter (where wanted is null) as extra from n full join f using (region_id, ix, iy, ih) group by region_id"""
-O["index_update"] = _with("cells", SIDES) + "(select * from a union select * from b where zx <= 4) except select * from b where vy % 2 = 0"
-O["voxel_set_sizes"] = _with("grid", _sh, _cube, _close, "c1 as (select ix, iy, ih from cl where region_id = 'A')", "r1 as (select ix, iy, ih from sh where region_id = 'A')",
-  "b1 as (select x.ix, y.iy, h.ih from range(-3, 36) x(ix), range(-3, 36) y(iy), range(-3, 8) h(ih))", """s1 as (select * from c1 union select b.* from b1 b where exists (select 1 from c1 w where w.iy = b.iy and w.ih = b.ih and w.ix < b.ix)
-  and exists (select 1 from c1 w where w.iy = b.iy and w.ih = b.ih and w.ix > b.ix) and exists (select 1 from c1 w where w.ix = b.ix and w.iy = b.iy and w.ih > b.ih))""") + """
-select (select count(*) from r1) as raw, (select count(*) from (select * from c1 except select * from r1)) as closed_added, (select count(*) from (select * from s1 except select * from c1)) as fill_added,
-  (select count(*) from s1) as solid, (select count(*) from (select * from r1 except select * from c1)) as raw_lost, round(coalesce((select count(*) from (select * from s1 except select * from c1)) / nullif((select count(*) from s1), 0), 0), 9) as fill_share"""
+  left join sh s using (region_id, ix, iy, ih) left join cl c using (region_id, ix, iy, ih) group by all"""
+O["expansion_check"] = _with("line", _ab) + "select region_id, count(*) filter (where not i) as missing, count(*) filter (where not o) as extra from (select region_id, ix, bool_or(s = 0) as i, bool_or(s = 1) as o from (select *, 0 as s from a union all select *, 1 from b) group by all) group by 1"
+O["index_update"] = _with("cells", SIDES) + "(select * from a union select * from b) except select region_id, 5, vx >> (zx - 5), 5, vy >> (zy - 5) from b"
+O["voxel_set_sizes"] = _with("shell", _cube, _close, _box, f"so as ({_filled('cl')})", "al as (select region_id, ix, iy, ih, max(r) as r, max(c) as c, max(s) as s from (select *, 1 as r, 0 as c, 0 as s from sh union all select region_id, ix, iy, ih, 0, 1, 0 from cl union all select *, 0, 0, 1 from so) group by 1, 2, 3, 4)",
+  "n as (select region_id, sum(r)::bigint as raw, count(*) filter (where c = 1 and r = 0) as closed_added, count(*) filter (where s = 1 and c = 0 and r = 0) as fill_added, sum(s)::bigint as solid, count(*) filter (where r = 1 and c = 0) as raw_lost from al group by 1)") + "select *, round(fill_added / solid, 9) as fill_share from n"
 O["voxel_downsample"] = _with("points", "p as (select lon * 100 as e, lat * 100 as n, alt as u from points)") + "select round(avg(e), 6) as e, round(avg(n), 6) as n, round(avg(u), 6) as u from p where u >= 5 and e <= 13998e0 group by floor(e / 2e0), floor(n / 2e0), floor(u / 2e0)"
 O["thinned_routes"] = _with("samples", "s as (select flight_id, epoch_s, max(lat) as lat, max(lon) as lon from samples group by 1, 2)",
   "k as (select *, row_number() over w - 1 as k, lead(epoch_s) over w is null as fin from s window w as (partition by flight_id order by epoch_s))",
@@ -340,6 +332,73 @@ def _site(z: int) -> str:
 
 
 O["site_cells"] = "with s as (select n_nationkey as site_id, 37.3e0 + n_nationkey / 50e0 as lat, 139.6e0 + n_nationkey / 40e0 as lon, agl_m, 150e0 + n_nationkey + agl_m as h from nation, (values (30e0), (50e0), (100e0)) t(agl_m))\n" + " union all ".join(map(_site, (20, 24, 28)))
-O["index_candidates"] = _with("grid", "c as (select distinct ix >> 1 as x, iy >> 1 as y, ih >> 1 as f, (ix + iy) % 2 as k from grid where region_id = 'A')") + " union all ".join(
-    f"select {n}::int as axes, count(*) as pairs from (select distinct {cols} from c where k = 0) a join (select distinct {cols} from c where k = 1) b using ({cols})" for n, cols in ((1, "x"), (2, "x, y"), (3, "x, y, f"))
+O["index_candidates"] = _with("cells", SIDES) + " union all ".join(
+    f"select a.region_id, {n}::int as axes, count(*) as pairs from (select distinct region_id, {cols} from a) a join (select distinct region_id, {cols} from b) b on a.region_id = b.region_id and " + " and ".join(f"a.v{x} >> (a.z{x} - least(a.z{x}, b.z{x})) = b.v{x} >> (b.z{x} - least(a.z{x}, b.z{x}))" for x in axes) + " group by 1"
+    for n, cols, axes in ((1, "zx, vx", "x"), (2, "zx, vx, zy, vy", "xy"))
 )
+O["symmetric_difference_1d"] = _with("line", _ab, "s as ((select * from a except select * from b) union all (select * from b except select * from a))", closed("n", "s", "region_id", "ix", 16, ("zx", "vx"))) + "select * from n"
+O["flood_fill"] = _with("shell", _cube, _close, _box, _face, "em as (select b.* from box b left join cl c using (region_id, ix, iy, ih) where c.region_id is null)").replace("with ", "with recursive ", 1).rstrip() + """,
+  fl as (select region_id, ix, iy, ih from em where ix = 0 and iy = 0 and ih = 0 union select e.region_id, e.ix, e.iy, e.ih from fl join fa on true join em e on e.region_id = fl.region_id and e.ix = fl.ix + dx and e.iy = fl.iy + dy and e.ih = fl.ih + dh)
+select region_id, ix, iy, ih from cl union (select * from em except select * from fl)"""
+O["same_domain"] = _PAIRS + "select point_id, " + " and ".join(f"l_on{a} = r_on{a}" for a in AX) + " as same from p"
+O["castle_bounds"] = _with("points") + f"select point_id, round(-16383e0 + {f_linear('alt', 14)} * (32767e0 / 16384) - 12.5e0, 6) as low_u, round(-16383e0 + ({f_linear('alt', 14)} + 1) * (32767e0 / 16384) - 12.5e0, 6) as high_u from points"
+O["height_origins"] = "select z::int as zoom, round(-16383e0 + round_even(16383e0 / (32767e0 / (1 << z::int)), 0) * (32767e0 / (1 << z::int)), 6) as origin_m from range(4, 20) t(z)"
+_W = "(1 - 6.69437999014e-3 * pow(sin(radians(37.5e0)), 2))"
+_RN, _RE = f"(6378137e0 * (1 - 6.69437999014e-3) / pow({_W}, 1.5e0))", f"(6378137e0 / sqrt({_W}) * cos(radians(37.5e0)))"
+_CLOUD = "cloud as (select point_id, region_id, (lon - 139.95e0) * 88000 as e, (lat - 37.5e0) * 111000 as n, alt as u from points)"
+_DEG = f"deg as (select *, 37.5e0 + degrees(n / {_RN}) as la, 139.95e0 + degrees(e / ({_RE} * (1 - tan(radians(37.5e0)) * n / {_RN}))) as lo from cloud)"
+
+
+def _metres(lat: str, lon: str) -> tuple[str, str]:
+    n = f"(radians({lat} - 37.5e0) * {_RN})"
+    return f"(radians({lon} - 139.95e0) * {_RE} * (1 - tan(radians(37.5e0)) * {n} / {_RN}))", n
+
+
+O["cloud_quantize"] = _with("points", _CLOUD, _DEG) + f"select distinct {x_tile('lo', 24)} as ix, {y_tile('la', 24)} as iy, {f_linear('(u + 220e0)', 14)} as ih from deg"
+O["cloud_wgs84"] = _with("points", _CLOUD, _DEG) + f"select point_id, round(la, 9) as lat, round(lo, 9) as lon, round({_metres('la', 'lo')[0]}, 5) as e, round({_metres('la', 'lo')[1]}, 5) as n from deg"
+_c, _s = "cos(atan2(3e0, 4e0))", "sin(atan2(3e0, 4e0))"
+O["cloud_rigid"] = _with("points", _CLOUD) + f"select point_id, round(1.5e0 * (e * {_c} - n * {_s}) + 10, 5) as e, round(1.5e0 * (e * {_s} + n * {_c}) - 20, 5) as n, round(1.5e0 * u + 5, 5) as u from cloud"
+O["voxel_centres"] = _with("points", _CLOUD) + "select distinct (floor((e + 6000) / 2.5e0) + 0.5e0) * 2.5e0 - 6000 as e, (floor((n + 7000) / 2.5e0) + 0.5e0) * 2.5e0 - 7000 as n, (floor((u + 100) / 2.5e0) + 0.5e0) * 2.5e0 - 100 as u from cloud"
+_LATS = {k: f"degrees(atan(sinh(pi() * (1e0 - 2e0 * (iy + {k}) / 524288))))" for k in (0, 1)}
+_LONS = {k: f"(-180e0 + (ix + {k}) * (360e0 / 1048576))" for k in (0, 1)}
+_CORNERS = [_metres(a, b) for a in _LATS.values() for b in _LONS.values()]
+_BOXES = "tl as (select *, " + f"{x_tile('lon', 20)} as ix, {y_tile('lat', 19)} as iy, {f_linear('alt', 14)} as ih from points), bx as (select point_id, region_id, " + ", ".join(f"{fn}({', '.join(c[i] for c in _CORNERS)}) as {n}" for fn, i, n in (("least", 0, "low_e"), ("greatest", 0, "high_e"), ("least", 1, "low_n"), ("greatest", 1, "high_n"))) + ", -16383e0 + ih * (32767e0 / 16384) - 3e0 as low_u, -16383e0 + (ih + 1) * (32767e0 / 16384) - 3e0 as high_u from tl)"
+O["local_boxes"] = _with("points", _BOXES) + "select point_id, " + ", ".join(f"round({c}, 4) as {c}" for c in ("low_e", "high_e", "low_n", "high_n", "low_u", "high_u")) + " from bx"
+O["largest_boxes"] = _with("points", _BOXES) + "select region_id, round(max((high_e - low_e) * (high_n - low_n) * (high_u - low_u)), 2) as volume from bx group by 1"
+O["prefix_durations"] = _with("intervals", "k as (select event_id, start_s, end_s, k::int as k, (start_s + (1::bigint << k::int) - 1) >> k::int as l, end_s >> k::int as r from intervals, range(0, 31) t(k) where end_s > start_s)",
+  "z as (select event_id, k from k where l < r and l % 2 = 1 union all select event_id, k from k where l < r and r % 2 = 1)") + "select event_id, (select end_s - start_s from intervals i where i.event_id = z.event_id) as seconds, count(*) as prefixes from z group by event_id"
+O["departures"] = f"select t as departure_s, strftime(to_timestamp(t) at time zone 'UTC', '%Y-%m-%dT%H:%M:%SZ') as utc, strftime(to_timestamp(t) at time zone 'Asia/Tokyo', '%Y-%m-%dT%H:%M:%S+09:00') as jst from range({START_S}, {END_S + 1}, 180) r(t)"
+O["route_pairs"] = "with h as (select s_suppkey as flight_id, (s_suppkey * 48271 + 11) % 2147483647 as h, (select count(*) from nation) as n from supplier) select flight_id, h % n as origin, (h % n + (h * 48271 + 11) % 2147483647 % (n - 1) + 1) % n as destination from h"
+O["coverage_lookup"] = _with("samples", _RES, _OVER, f"qa as (select distinct {x_tile('lon', 21)} as x21, {y_tile('lat', 21)} as y21, {f_tile('amsl_m', 12)} as h12, epoch_s from samples)") + """
+select qa.*, coalesce(max(coverage), 1) as coverage from qa left join (select * from seg where coverage >= 2) s on s.x21 = qa.x21 and s.y21 = qa.y21 and s.h12 = qa.h12 and s.start_s <= qa.epoch_s and qa.epoch_s < s.end_s group by all"""
+O["status_counts"] = _with("samples", _RES, f"""o as (select flight_id, epoch_s, max(phase) as phase, max(lat) as lat, max(lon) as lon, max(amsl_m) as amsl_m from samples group by 1, 2),
+  now as (select flight_id, arg_max(struct_pack(epoch_s, phase, lat, lon, amsl_m), epoch_s) filter (where epoch_s <= {START_S + 3600}) as s from o group by 1 having max(epoch_s) >= {START_S + 3600}),
+  n2 as (select flight_id, s.epoch_s as e, s.phase as phase, {x_tile("s.lon", 21)} as x, {y_tile("s.lat", 21)} as y, {f_tile("s.amsl_m", 12)} as h from now where s is not null),
+  n3 as (select phase, case when phase = 'cruise' then exists (select 1 from res r where r.flight_id = n2.flight_id and r.x21 = x and r.y21 = y and r.h12 = h and r.start_s <= e and e < r.end_s) end as inside from n2)""") + """
+select count(*) filter (where phase <> 'landed') as flying, count(inside) as monitored, count(*) filter (where inside) as inside, count(*) filter (where not inside) as outside from n3"""
+_SLICE = O["timeslice_coverage"].rpartition("\nselect x21")
+O["timeslice_composed"] = _SLICE[0] + ",\nsl as (select x21" + _SLICE[2] + "),\n" + closed("cx", "sl", "agl_bottom_m, agl_top_m, flights, y21", "x21", 21, ("zx", "vx")) + ",\n" + closed("cy", "cx", "agl_bottom_m, agl_top_m, flights, zx, vx", "y21", 21, ("zy", "vy")) + "\nselect * from cy"
+_ATTR = """
+    g as (select *, case when lag(end_s) over w = start_s and lag(members) over w = members then 0 else 1 end as nw from seg window w as (partition by x21, y21, h12 order by start_s)),
+    h as (select *, sum(nw) over (partition by x21, y21, h12 order by start_s rows unbounded preceding) as isl from g),
+    sg as (select x21, y21, h12, members as attribute, any_value(coverage) as cardinality, min(start_s) as start_s, max(end_s) as end_s from h group by x21, y21, h12, isl, members),
+    k as (select x21, y21, h12, attribute, cardinality, k::int as k, (start_s + (1::bigint << k::int) - 1) >> k::int as l, end_s >> k::int as r from sg, range(0, 31) t(k)),
+    dy as (select x21, y21, h12, attribute, cardinality, 32 - k as zt, l as vt from k where l < r and l % 2 = 1 union select x21, y21, h12, attribute, cardinality, 32 - k, r - 1 from k where l < r and r % 2 = 1)"""
+# Covers in time are the largest there are, so merging in space makes no new pairs in time.
+_KEY = "attribute, cardinality, zt, vt"
+_NORMAL = (_ATTR, closed("n1", "dy", f"{_KEY}, y21, h12", "x21", 21, ("zx", "vx")), closed("n2", "n1", f"{_KEY}, zx, vx, h12", "y21", 21, ("zy", "vy")), closed("n3", "n2", f"{_KEY}, zx, vx, zy, vy", "h12", 12, ("zf", "vf")))
+O["compression_normalized"] = _with("samples", _RES, _OVER, *_NORMAL) + "select attribute, zx, zy, zf, zt::int as zt, vx, vy, vf, vt from n3"
+O["compression_zooms"] = _with("samples", _RES, _OVER, *_NORMAL) + """select cardinality::int as cardinality, zx, zy, zf, zt::int as zt, count(*) as cells, (24 + zx + zy + zf + zt)::int as bits_per_record, 1::bigint << (32 - zt)::int as time_block_s,
+  (21 - zx)::int as x_coarsened_bits, (21 - zy)::int as y_coarsened_bits, (12 - zf)::int as f_coarsened_bits, zx <> zy as anisotropic_xy from n3 group by all"""
+O["compression_cardinality"] = _with("samples", _RES, _OVER, *_NORMAL) + """select c::int as cardinality, (select count(*) from sg where cardinality = c) as segments, (select count(*) from dy where cardinality = c) as dyadic, (select count(*) from n3 where cardinality = c) as normalized
+  from (select distinct cardinality as c from sg)"""
+O["coarsening"] = _with("samples", _RES, _OVER, *_NORMAL) + """select count(*) filter (where zx < 21) as x_coarsened, count(*) filter (where zy < 21) as y_coarsened, count(*) filter (where zf < 12) as f_coarsened,
+  count(*) filter (where zx < 21 or zy < 21 or zf < 12) as spatially_merged, count(*) filter (where zx <> zy) as anisotropic from n3"""
+O["attribute_examples"] = _with("samples", _RES, _OVER, *_NORMAL, "fa as (select distinct cardinality, attribute from n3 order by cardinality, attribute limit 3)", "ra as (select *, row_number() over (partition by attribute order by zx, zy, zf, zt, vx, vy, vf, vt) as example from n3 semi join fa using (cardinality, attribute))") + "select cardinality::int as cardinality, attribute, example::int as example, zx, zy, zf, zt::int as zt, vx, vy, vf, vt from ra where example <= 3"
+O["representation_totals"] = _with("samples", _RES, _OVER, *_NORMAL, """
+    t as (select 'seconds' as representation, sum(end_s - start_s)::bigint as records, sum(end_s - start_s)::bigint * (73 + 32) as key_bits from sg
+      union all select 'intervals', count(*), count(*) * (73 + 64) from sg union all select 'dyadic', count(*), sum(24 + 54 + zt)::bigint from dy union all select 'normalized', count(*), sum(24 + zx + zy + zf + zt)::bigint from n3)""") + "select *, key_bits + records * 20 as total_bits from t"
+O["cell_json"] = _with("grid") + """select distinct 'bitmap' as kind, 5::int as zx, ix as vx, 5::int as zy, iy as vy, 2::int as zf, ih as vf, round(-180e0 + ix * (360e0 / 32), 6) as west,
+  round(degrees(atan(sinh(pi() * (1e0 - 2e0 * iy / 32)))), 6) as north, round(-16383e0 + (ih << 30) / 4294967295e0 * 32767e0, 6) as bottom from grid"""
+O["canonical_order"] = _with("cells") + "select region_id, side, zx, zy, vx, vy, row_number() over (partition by region_id, side order by zx, zy, vx, vy)::int as rank from cells"
+O["generated_regions"] = "select * from (values ('antichain_1d', 4096::bigint, 4096::bigint), ('antichain_4d', 1024, 1024), ('merge_heavy_1d', 4096, 2), ('anisotropic_2d', 4096, 4), ('all_cells_2d', 900, 4)) t(name, cells, normal)"

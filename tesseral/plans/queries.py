@@ -173,12 +173,12 @@ def coarsen_distinct(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def expand_atoms(spark: SparkSession, sf: str) -> DataFrame:
-    return algebra.atoms(fixtures.cells(spark, sf), {"x": 6, "y": 5}, ["region_id"]).select("region_id", "vx", "vy")
+    return algebra.atoms(fixtures.cells(spark, sf), {"x": 9, "y": 8}, ["region_id"]).select("region_id", "vx", "vy")
 
 
 def _atom_sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     a, b = _sides(spark, sf)
-    return tuple(algebra.atoms(x.where(f"pmod(vx, 3) != {k}"), {"x": 6, "y": 5}, ["region_id"]).select("region_id", "vx", "vy") for k, x in ((0, a), (1, b)))
+    return tuple(algebra.atoms(x, {"x": 9, "y": 8}, ["region_id"]).select("region_id", "vx", "vy") for x in (a, b))
 
 
 @query
@@ -222,8 +222,8 @@ def normalize_attributes(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def normalize_mixed(spark: SparkSession, sf: str) -> DataFrame:
     """Atoms of the normal form of mixed-zoom regions, which must be those of the regions."""
-    normal = algebra.normalize(fixtures.cells(spark, sf).where("vx % 3 != 0").drop("side"), ["region_id"])
-    return algebra.atoms(normal, {"x": 6, "y": 5}, ["region_id"]).select("region_id", "vx", "vy")
+    normal = algebra.normalize(fixtures.cells(spark, sf).drop("side"), ["region_id"])
+    return algebra.atoms(normal, {"x": 9, "y": 8}, ["region_id"]).select("region_id", "vx", "vy")
 
 
 def _line_sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -250,15 +250,15 @@ def difference_1d(spark: SparkSession, sf: str) -> DataFrame:
 def difference_2d(spark: SparkSession, sf: str) -> DataFrame:
     """Atoms of the difference of mixed-zoom regions."""
     a, b = _sides(spark, sf)
-    found = algebra.difference(a.where("vx % 3 != 0"), b.where("zx >= 5 and zy >= 4 and vx % 3 != 1"), ["region_id"])
-    return algebra.atoms(found, {"x": 6, "y": 5}, ["region_id"]).select("region_id", "vx", "vy")
+    found = algebra.difference(a, b, ["region_id"])
+    return algebra.atoms(found, {"x": 9, "y": 8}, ["region_id"]).select("region_id", "vx", "vy")
 
 
 @query
 def semantic_equal(spark: SparkSession, sf: str) -> DataFrame:
     c = fixtures.cells(spark, sf).drop("side")
-    some = c.where("region_id != 'P' or zx < 6")
-    return algebra.semantic_equal(c, some, {"x": 6, "y": 5}, ["region_id"])
+    some = c.where("region_id != 'P' or zx < 9")
+    return algebra.semantic_equal(c, some, {"x": 9, "y": 8}, ["region_id"])
 
 
 def _moved(spark: SparkSession, sf: str, boundary: str) -> DataFrame:
@@ -290,7 +290,7 @@ def neighbor_membership(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def prefix_dilate_1d(spark: SparkSession, sf: str) -> DataFrame:
-    return neighbors.dilate(fixtures.line(spark, sf).where("vx % 5 != 0"), [{"x": 1}, {"x": -1}], by=["region_id"]).select("region_id", "zx", "vx")
+    return neighbors.dilate(fixtures.line(spark, sf), [{"x": 1}, {"x": -1}], by=["region_id"]).select("region_id", "zx", "vx")
 
 
 GRID_STEPS = [{"x": 1}, {"x": -1}, {"y": 1}, {"y": -1}]
@@ -415,9 +415,9 @@ def timeslice_coverage(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def timeslice_composed(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows only: a time slice merged in x and y where band and flights are equal."""
     bands = spark.range(40).selectExpr("id as flight_id", "cast(20 + id % 2 * 30 as double) as agl_bottom_m", "cast(40 + id % 2 * 30 as double) as agl_top_m")
-    return airspace.composed_slice(airspace.time_slice(_reserved(spark, sf), bands, START_S + 3600))
+    composed = airspace.composed_slice(airspace.time_slice(_reserved(spark, sf), bands, START_S + 3600))
+    return composed.select("agl_bottom_m", "agl_top_m", F.array_join(F.transform("flights", lambda x: x.cast("string")), "|").alias("flights"), "zx", "vx", "zy", "vy")
 
 
 def flights(spark: SparkSession, sf: str) -> DataFrame:
@@ -466,25 +466,22 @@ def _compressed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Dat
 
 @query
 def representation_totals(spark: SparkSession, sf: str) -> DataFrame:
-    segments, cells, _ = _compressed(spark, sf)
-    return compression.representation_totals(segments, cells, cells.limit(0), (21, 21, 12), 20).where("representation != 'normalized'")
+    return compression.representation_totals(*_compressed(spark, sf), (21, 21, 12), 20)
 
 
 @query
 def compression_normalized(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows only: the normal form of the reservation table by attribute."""
+    """The normal form of the reservation table by attribute."""
     return _compressed(spark, sf)[2].select("attribute", *ZOOMS, *VALUES)
 
 
 @query
 def compression_zooms(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows only: its zoom vectors."""
     return compression.zoom_distribution(_compressed(spark, sf)[2], (21, 21, 12))
 
 
 @query
 def compression_cardinality(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows only: attribute sizes in three representations."""
     return compression.cardinalities(*_compressed(spark, sf))
 
 
@@ -495,7 +492,7 @@ def flight_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def max_inscribed(spark: SparkSession, sf: str) -> DataFrame:
-    return occupancy.max_inscribed(fixtures.grid(spark, sf), (3, 3, 2), ["region_id"])
+    return occupancy.max_inscribed(occupancy.directional_fill(fixtures.shell(spark, sf), by=["region_id"]), (4, 4, 4), ["region_id"])
 
 
 @query
@@ -506,27 +503,22 @@ def min_enclosing(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def enclosing_cover(spark: SparkSession, sf: str) -> DataFrame:
-    return algebra.enclosing_cover(fixtures.grid_cells(spark, sf).where("pmod(vx * 7 + vy * 3 + vf, 5) < 2"), ["region_id"]).select("region_id", "zx", "vx", "zy", "vy", "zf", "vf", "cells")
-
-
-def _shell(spark: SparkSession, sf: str) -> DataFrame:
-    return fixtures.grid(spark, sf).where("pmod(ix * 5 + iy * 3 + ih, 7) < 2")
+    return algebra.enclosing_cover(fixtures.shell_cells(spark, sf), ["region_id"]).select("region_id", "zx", "vx", "zy", "vy", "zf", "vf", "cells")
 
 
 @query
 def directional_fill(spark: SparkSession, sf: str) -> DataFrame:
-    return occupancy.directional_fill(_shell(spark, sf), by=["region_id"])
+    return occupancy.directional_fill(fixtures.shell(spark, sf), by=["region_id"])
 
 
 @query
 def flood_fill(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows only: enclosed holes need reachability."""
-    return occupancy.flood_fill(fixtures.grid(spark, sf).where("pmod(ix * 5 + iy * 3 + ih, 7) < 5"), ["region_id"])
+    return occupancy.flood_fill(occupancy.close(fixtures.shell(spark, sf), 1, ["region_id"]), ["region_id"])
 
 
 @query
 def closing(spark: SparkSession, sf: str) -> DataFrame:
-    return occupancy.close(_shell(spark, sf), 1, ["region_id"])
+    return occupancy.close(fixtures.shell(spark, sf), 1, ["region_id"])
 
 
 @query
@@ -536,48 +528,42 @@ def boundary_voxels(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def exposed_origin(spark: SparkSession, sf: str) -> DataFrame:
-    raw = _shell(spark, sf)
+    raw = fixtures.shell(spark, sf)
     closed = occupancy.close(raw, 1, ["region_id"])
     solid = occupancy.directional_fill(closed, by=["region_id"])
     return occupancy.classify_exposed(raw, closed, solid, ["region_id"]).groupBy("region_id", "origin").agg(F.count("*").alias("voxels"))
 
 
-@query
-def cloud_quantize(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows only: events as points in metres around an anchor, as tiles."""
-    p = fixtures.points(spark, sf).selectExpr("(lon - 139.95) * 88000 as e", "(lat - 37.5) * 111000 as n", "alt as u")
-    return occupancy.quantize(p, 37.5, 139.95, 220.0, 24, 14)
-
-
 @query
 def cell_json(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows only: JSON records of cells."""
+    """JSON records of cells, read back."""
     from tesseral.sources.tables import cell_records
 
-    return cell_records(fixtures.grid_cells(spark, sf), "bitmap")
+    back = cell_records(fixtures.grid_cells(spark, sf).drop("region_id").distinct(), "bitmap")
+    schema = "kind string, zx int, vx long, zy int, vy long, zf int, vf long, west double, north double, bottom double"
+    back = back.select(F.from_json("value", schema).alias("r")).select("r.*")
+    return back.select("kind", "zx", "vx", "zy", "vy", "zf", "vf", *[F.round(c, 6).alias(c) for c in ("west", "north", "bottom")])
 
 
 @query
 def expansion_check(spark: SparkSession, sf: str) -> DataFrame:
-    """A normal form against its cells, of which every eleventh column is held back."""
-    cells = fixtures.grid_cells(spark, sf)
-    normal = algebra.normalize(cells.where("vx % 11 != 3 and vy % 7 != 2"), ["region_id"])
-    return algebra.expansion_check(normal, cells.where("vy % 7 != 1"), {"x": 5, "y": 5, "f": 2}, ["region_id"])
+    """The normal form of the cells of one side against those of the other."""
+    a, b = _line_sides(spark, sf)
+    return algebra.expansion_check(algebra.normalize(a, ["region_id"]), b, {"x": 16}, ["region_id"])
 
 
 @query
 def index_update(spark: SparkSession, sf: str) -> DataFrame:
     a, b = _sides(spark, sf)
-    index = a.select("region_id", *CELL)
-    grown = algebra.add_cells(index, b.where("zx <= 4"))
-    return algebra.discard_cells(grown, b.where("vy % 2 = 0").select("region_id", *CELL)).select("region_id", *XY)
+    grown = algebra.add_cells(a.select("region_id", *CELL), b)
+    return algebra.discard_cells(grown, algebra.coarsen(b, {"x": 5, "y": 5}, ["region_id"])).select("region_id", *XY)
 
 
 @query
 def voxel_set_sizes(spark: SparkSession, sf: str) -> DataFrame:
-    raw = _shell(spark, sf).where("region_id = 'A'").drop("region_id")
-    closed = occupancy.close(raw, 1)
-    sizes = occupancy.set_sizes(raw, closed, occupancy.directional_fill(closed))
+    raw = fixtures.shell(spark, sf)
+    closed = occupancy.close(raw, 1, ["region_id"])
+    sizes = occupancy.set_sizes(raw, closed, occupancy.directional_fill(closed, by=["region_id"]), ["region_id"])
     return sizes.withColumn("fill_share", F.round("fill_share", 9))
 
 
@@ -604,19 +590,170 @@ def site_cells(spark: SparkSession, sf: str) -> DataFrame:
 def normalize_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Rows only: what each pass over mixed-zoom regions did."""
     stats: list[dict[str, int]] = []
-    algebra.normalize_mixed(fixtures.cells(spark, sf).where("vx % 3 != 0"), ["region_id"], stats=stats)
+    algebra.normalize_mixed(fixtures.cells(spark, sf), ["region_id"], stats=stats)
     rows = [(i, r["cells"], r["kept"], sum(v for k, v in r.items() if k.startswith("merged_"))) for i, r in enumerate(stats)]
     return spark.createDataFrame(rows, "pass int, cells long, kept long, merges long")
 
 
 @query
 def index_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    """How many of all pairs are compatible, by the number of axes in use."""
-    c = fixtures.grid_cells(spark, sf).where("region_id = 'A'").drop("region_id")
+    """How many of all pairs of the two sides of a region are compatible, by the number of axes in use."""
+    a, b = _sides(spark, sf)
+    out = None
+    for axes in ("x", "xy"):
+        side = [s.select("region_id", F.lit(sum({"x": 8, "y": 4}[x] for x in axes)).alias("flags"), *[F.col(k) if k[1] in axes else F.lit(0).cast("int" if k[0] == "z" else "long").alias(k) for k in CELL[1:]]).distinct() for s in (a, b)]
+        row = joins.overlap_join(*side, by=["region_id"]).groupBy("region_id").agg(F.count("*").alias("pairs")).select("region_id", F.lit(len(axes)).alias("axes"), "pairs")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query
+def symmetric_difference_1d(spark: SparkSession, sf: str) -> DataFrame:
+    return algebra.symmetric_difference(*_line_sides(spark, sf), ["region_id"]).select("region_id", "zx", "vx")
+
+
+@query
+def difference_working(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows only: a difference that is cut no finer than the working grid; what a subtractor touches there goes."""
+    a, b = _sides(spark, sf)
+    found = algebra.difference(a, b, ["region_id"], {"x": 7, "y": 6})
+    return algebra.atoms(found, {"x": 9, "y": 8}, ["region_id"]).select("region_id", "vx", "vy")
+
+
+@query
+def same_domain(spark: SparkSession, sf: str) -> DataFrame:
+    from tesseral.functions.cells import same_domain as same
+
+    return _pairs(spark, sf).select("point_id", same("", "r_").alias("same"))
+
+
+@query
+def castle_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    low, high = codec.f_bounds_linear(codec.f_tile_linear(F.col("alt"), 14), 14, 12.5)
+    return fixtures.points(spark, sf).select("point_id", F.round(low, 6).alias("low_u"), F.round(high, 6).alias("high_u"))
+
+
+@query
+def height_origins(spark: SparkSession, sf: str) -> DataFrame:
+    """The layer edge nearest to altitude 0 by zoom."""
+    rows = [(z, geo.resolve_height_origin(None, None, codec.F_LOW, codec.F_HIGH, z)) for z in range(4, 20)]
+    return spark.createDataFrame(rows, "zoom int, origin double").select("zoom", F.round("origin", 6).alias("origin_m"))
+
+
+_ANCHOR = (37.5, 139.95)
+
+
+def _cloud(spark: SparkSession, sf: str) -> DataFrame:
+    """Points in metres east, north and up of the anchor."""
+    return fixtures.points(spark, sf).selectExpr("point_id", "region_id", "(lon - 139.95) * 88000 as e", "(lat - 37.5) * 111000 as n", "alt as u")
+
+
+@query
+def cloud_quantize(spark: SparkSession, sf: str) -> DataFrame:
+    return occupancy.quantize(_cloud(spark, sf), *_ANCHOR, 220.0, 24, 14)
+
+
+@query
+def cloud_wgs84(spark: SparkSession, sf: str) -> DataFrame:
+    """Points to degrees, and back to metres."""
+    lat, lon = geo.enu_to_wgs84(F.col("e"), F.col("n"), *_ANCHOR)
+    there = _cloud(spark, sf).withColumns({"lat": lat, "lon": lon})
+    e, n = geo.wgs84_to_enu(F.col("lat"), F.col("lon"), *_ANCHOR)
+    return there.select("point_id", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"), F.round(e, 5).alias("e"), F.round(n, 5).alias("n"))
+
+
+@query
+def cloud_rigid(spark: SparkSession, sf: str) -> DataFrame:
+    e, n, u = geo.rigid(F.col("e"), F.col("n"), F.col("u"), scale=1.5, yaw_deg=geo.north_alignment_deg(3.0, 4.0), shift=(10.0, -20.0, 5.0))
+    return _cloud(spark, sf).select("point_id", F.round(e, 5).alias("e"), F.round(n, 5).alias("n"), F.round(u, 5).alias("u"))
+
+
+@query
+def voxel_centres(spark: SparkSession, sf: str) -> DataFrame:
+    """The middles of the distinct voxels of points on a grid of 2.5 m."""
+    origin = (-6000.0, -7000.0, -100.0)
+    return occupancy.voxel_centers(occupancy.voxelize(_cloud(spark, sf), 2.5, origin), 2.5, origin)
+
+
+def _boxes(spark: SparkSession, sf: str) -> DataFrame:
+    p = fixtures.points(spark, sf)
+    rows = p.selectExpr("region_id", "point_id", "20 as zx", "19 as zy", "14 as zf").join(p.select("point_id", codec.x_tile(F.col("lon"), 20).alias("ix"), codec.y_tile(F.col("lat"), 19).alias("iy"), codec.f_tile_linear(F.col("alt"), 14).alias("ih")), "point_id")
+    from tesseral.functions.cells import as_cells
+
+    cells = as_cells(rows, x=("zx", "ix"), y=("zy", "iy"), f=("zf", "ih"))
+    return occupancy.local_bounds(cells, *_ANCHOR, 3.0)
+
+
+@query
+def local_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    return _boxes(spark, sf).select("point_id", *[F.round(c, 4).alias(c) for c in ("low_e", "high_e", "low_n", "high_n", "low_u", "high_u")])
+
+
+@query
+def largest_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    best = occupancy.largest_by_volume(_boxes(spark, sf), ["region_id"])
+    return best.select("region_id", F.round("volume", 2).alias("volume"))
+
+
+@query
+def prefix_durations(spark: SparkSession, sf: str) -> DataFrame:
+    """The prefixes of an interval's cover last as long as it does."""
+    cover = intervals.dyadic_cover(fixtures.intervals(spark, sf).select("event_id", "start_s", "end_s"))
+    return cover.groupBy("event_id").agg(F.count("*").alias("prefixes"), F.sum(codec.duration_s(F.col("zt"))).alias("seconds"))
+
+
+@query
+def departures(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame([(t,) for t in airspace.departure_slots(START_S, END_S)], "departure_s long").select("departure_s", codec.to_iso(F.col("departure_s")).alias("utc"), codec.to_iso_jst(F.col("departure_s")).alias("jst"))
+
+
+@query
+def route_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """An origin for every supplier, and a destination that is another nation."""
+    from tesseral.sources import generators
+
+    sites = spark.read.parquet(f"{sf}/nation.parquet").count()
+    return generators.route_pairs(spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_suppkey").alias("flight_id")), sites)
+
+
+@query
+def coverage_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """How many flights hold the cell of each sample at its time."""
+    at = airspace.query_atom(F.col("lon"), F.col("lat"), F.col("amsl_m"))
+    atoms = fixtures.flight_samples(spark, sf).select(*[c.alias(k) for k, c in at.items()], "epoch_s").distinct()
+    return airspace.coverage_at(atoms, airspace.overlaps(_reserved(spark, sf))).select("x21", "y21", "h12", "epoch_s", F.col("coverage").cast("long").alias("coverage"))
+
+
+@query
+def status_counts(spark: SparkSession, sf: str) -> DataFrame:
+    samples = fixtures.flight_samples(spark, sf).groupBy("flight_id", "epoch_s").agg(F.max("phase").alias("phase"), F.max("lat").alias("lat"), F.max("lon").alias("lon"), F.max("amsl_m").alias("amsl_m"))
+    return airspace.status_at(airspace.conformance(samples, _reserved(spark, sf)), START_S + 3600)
+
+
+@query
+def coarsening(spark: SparkSession, sf: str) -> DataFrame:
+    return compression.coarsening_counts(_compressed(spark, sf)[2], (21, 21, 12))
+
+
+@query
+def attribute_examples(spark: SparkSession, sf: str) -> DataFrame:
+    found = compression.example_prefixes(_compressed(spark, sf)[2])
+    return found.select("cardinality", "attribute", "example", *ZOOMS, *VALUES)
+
+
+@query
+def canonical_order(spark: SparkSession, sf: str) -> DataFrame:
+    return algebra.canonical_rank(fixtures.cells(spark, sf), ["region_id", "side"]).select("region_id", "side", *XY, "rank")
+
+
+@query
+def generated_regions(spark: SparkSession, sf: str) -> DataFrame:
+    """How many cells the benchmark's regions have before and after normalising."""
+    from tesseral.sources import generators
+
+    made = {"antichain_1d": generators.antichain_1d(spark, 4096), "antichain_4d": generators.antichain_4d(spark, 1024), "merge_heavy_1d": generators.merge_heavy_1d(spark, 4096), "anisotropic_2d": generators.anisotropic_merge_2d(spark, 4096), "all_cells_2d": generators.all_cells(spark, 4, "xy")}
     out = None
-    for axes in ("x", "xy", "xyf"):
-        side = [algebra.coarsen(c.where(f"pmod(vx + vy, 2) = {k}"), {a: z for a, z in zip("xyf", (4, 4, 1), strict=True)}).select(*CELL) for k in (0, 1)]
-        side = [s.select(F.lit(sum({"x": 8, "y": 4, "f": 2}[a] for a in axes)).alias("flags"), *[F.col(k) if k[1] in axes else F.lit(0).cast("int" if k[0] == "z" else "long").alias(k) for k in CELL[1:]]).distinct() for s in side]
-        row = joins.overlap_count(*side).select(F.lit(len(axes)).alias("axes"), "pairs")
+    for name, cells in made.items():
+        row = cells.agg(F.count("*").alias("cells")).crossJoin(algebra.normalize(cells).agg(F.count("*").alias("normal"))).select(F.lit(name).alias("name"), "cells", "normal")  # one row each
         out = row if out is None else out.unionByName(row)
     return out

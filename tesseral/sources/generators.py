@@ -59,3 +59,28 @@ def refinement_costs(spark: SparkSession, axes: int = 4, depth: int = 16) -> Dat
     """For differences of d bits on each of so many axes: cells of a full grid and pieces of selective refinement."""
     rows = spark.range(1, axes + 1).select(F.col("id").alias("axes")).withColumn("bits", F.explode(F.sequence(F.lit(1), F.lit(depth))))
     return rows.select("axes", "bits", F.pow(F.lit(2.0), F.col("axes") * F.col("bits")).alias("grid_cells"), (F.col("axes") * F.col("bits") * 2).alias("pieces"))
+
+
+def route_pairs(flights: DataFrame, sites: int) -> DataFrame:
+    """flights (flight_id) with origin and destination, two different numbers below `sites`, spread by a congruential generator."""
+    if sites < 2:
+        raise ValueError("a route needs two sites")
+    h = F.pmod(F.col("flight_id") * 48_271 + 11, F.lit(2_147_483_647))
+    far = F.pmod(F.pmod(h * 48_271 + 11, F.lit(2_147_483_647)), F.lit(sites - 1)) + 1
+    return flights.withColumn("origin", F.pmod(h, F.lit(sites))).withColumn("destination", F.pmod(F.col("origin") + far, F.lit(sites)))
+
+
+def region_pairs(spark: SparkSession, regions: int, cells: int, zoom: int = 5, seed: int = 1) -> DataFrame:
+    """Rows region_id, side (0 or 1) and random cells on x and y of zooms 1 to `zoom`: in every third region those of side 1 lie
+    within cells of side 0, in every third they are finer on x than on y, and in the others they are independent."""
+    pick = lambda k, most: F.pmod(F.xxhash64(F.lit(seed * 32 + k), "id", "side"), most)
+    rows = spark.range(regions * cells).withColumn("side", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("region_id", F.col("id") % regions)
+    kind = F.col("region_id") % 3
+    outer = [F.pmod(F.xxhash64(F.lit(seed * 32 + k), "id"), F.lit(zoom)) + 1 for k in (0, 1)]
+    nested, thin = kind == 0, (kind == 1) & (F.col("side") == 1)
+    zx = F.when(nested, outer[0] + F.col("side")).when(thin, F.lit(zoom)).otherwise(pick(2, F.lit(zoom)) + 1)
+    zy = F.when(nested, outer[1] + F.col("side")).when(thin, F.lit(1)).otherwise(pick(3, F.lit(zoom)) + 1)
+    power = lambda z: F.call_function("shiftleft", F.lit(1).cast("long"), z.cast("int"))
+    at = lambda k, z, o: F.when(nested, F.pmod(F.xxhash64(F.lit(seed * 32 + k), "id"), power(o)) * (F.col("side") + 1) + F.when(F.col("side") == 1, pick(k + 8, F.lit(2))).otherwise(0)).otherwise(pick(k + 16, power(z)))
+    made = {"flags": F.lit(12).cast("int"), "zx": zx.cast("int"), "zy": zy.cast("int"), "vx": at(4, zx, outer[0]), "vy": at(5, zy, outer[1])}
+    return rows.select("region_id", "side", *[made.get(c, F.lit(0)).cast("int" if c[0] != "v" else "long").alias(c) for c in CELL]).distinct()
