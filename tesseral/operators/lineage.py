@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df checkpointed in the folder that spark.checkpoint.dir names; where none is named, in a temporary one."""
+    """df checkpointed in the folder that spark.checkpoint.dir names; where none is named, in a temporary one in local mode, while a
+    cluster fails."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not path and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(path or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
