@@ -59,3 +59,22 @@ def test_run_is_the_stages(spark, sf_dir):
     got = corpus_pipeline.run(spark, sf_dir)
     assert got.columns[:7] == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert got.count() > 0
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls in every column, empty, blank and very long texts, repeated rows, clashing extra columns, and no rows at all."""
+    from tests.llm.conftest import ROWS
+
+    rows = [(i, text, "en" if k % 2 else None, source, None if k % 3 else 7, "x", k, True) for k, (i, text, source) in enumerate(ROWS)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, size string, copies int, kept boolean")
+    for docs in (odd, odd.limit(0)):
+        own = Counter((r["doc_id"], r["size"]) for r in docs.collect())
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, "")
+            assert out.columns == docs.columns, name
+            got = Counter((r["doc_id"], r["size"]) for r in out.collect())
+            assert set(got) <= set(own), name
+            assert name != "line dedup" or got == own
+            assert name != "mixing" or all(n <= 2 * own[x] for x, n in got.items())
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+        assert Counter(r["doc_id"] for r in packed if r["piece"] == 0) == Counter(r["doc_id"] for r in docs.collect())
