@@ -27,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Rows in an Arrow batch of whole documents. A batch lies in memory in the JVM and in the Python worker at once.
-TEXTS_PER_BATCH = 1_000
+TEXTS_PER_BATCH = 250
 
 
 def small_batches(spark: SparkSession) -> SparkSession:

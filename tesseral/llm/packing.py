@@ -168,31 +168,40 @@ def _packed(ids: list[int]) -> bytes:
 
 
 class _Words(dict):
-    def __init__(self, encode: Callable[[str], bytes]):
+    """What encode(word) gave for the words met lately. Once `most` are held they become the older ones, which are looked up
+    before a word is encoded again, and go when the next lot is full."""
+
+    def __init__(self, encode: Callable[[str], bytes], most: int):
         super().__init__({"": b""})
-        self.encode = encode
+        self.encode, self.most, self.older = encode, most, {}
 
     def __missing__(self, word: str) -> bytes:
-        self[word] = got = self.encode(word)
+        got = self.older.get(word)
+        self[word] = got = self.encode(word) if got is None else got
         return got
 
+    def turn(self) -> None:
+        if len(self) > self.most:
+            self.older = dict(self)
+            self.clear()
+            self[""] = b""
+
 
 class WordEncoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes, without special tokens added.
 
     If the tokenizer lower-cases, drops white space and splits words by a pattern, the ids of a text are
     those of its words in turn. Words repeat, so each is encoded once and remembered, and so are the
-    parts into which the pattern splits words; a memory is emptied when `most` words, or twice as many parts, are in it.
+    parts into which the pattern splits words; a memory holds up to `most` words, or half as many parts, met of late and as many older ones.
     Words of Latin letters go straight to the model; any others, and
     whole texts under any other tokenizer, go through all of the tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 120_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.most = most
         with open(path, encoding="utf-8") as f:
             form = json.load(f)
         normal = [x["type"] for x in (form["normalizer"] or {}).get("normalizers", [])]
@@ -205,7 +214,7 @@ class WordEncoder:
             #: What the byte-level step makes of Latin letters beyond ASCII.
             self.latin = {i: byte_level.pre_tokenize_str(chr(i))[0][0] for i in range(0xA1, 0x250)}
             self.model = self.tokenizer.model
-        self.words, self.parts = _Words(self.word), _Words(self.part)
+        self.words, self.parts = _Words(self.word, most), _Words(self.part, most // 2)
 
     def part(self, part: str) -> bytes:
         return _packed([t.id for t in self.model.tokenize(part if part.isascii() else part.translate(self.latin))])
@@ -224,10 +233,8 @@ class WordEncoder:
     def __call__(self, text: str) -> bytes:
         if not self.by_word:
             return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        for known, most in ((self.words, self.most), (self.parts, 2 * self.most)):
-            if len(known) > most:
-                known.clear()
-                known[""] = b""
+        self.words.turn()
+        self.parts.turn()
         words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         return b"".join(map(self.words.__getitem__, words))
 
@@ -263,7 +270,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, capacity: int, *, with_ids:
                     rows.append((doc, k, at // 4, n, zlib.crc32(part), task, made[n], part)[: len(out)])
                     made[n] += 1
                     held += len(part) * with_ids
-                if held > 1 << 22:
+                if held > 1 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), out.types, strict=True)], schema=out)
                     rows, held = [], 0
             if rows:

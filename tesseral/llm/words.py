@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 #: The most frequent function words of four languages (fixed values).
 FUNCTION_WORDS = {
@@ -60,13 +62,17 @@ def kept(name, make):  # noqa: ANN001, ANN201
     """What make() made when this worker was first asked for `name`. Workers serve one operator after another, so
     asking for another name lets go of what was kept."""
     if name not in _kept:
-        _kept.clear()
+        let_go()
         _kept[name] = make()
     return _kept[name]
 
 
 def let_go() -> None:
+    """Keep nothing, and give freed memory back to the system: allocators would hold it for as long as the worker lives."""
     _kept.clear()
+    pa.default_memory_pool().release_unused()
+    if hasattr(_c := ctypes.CDLL(None), "malloc_trim"):
+        _c.malloc_trim(0)
 
 
 _NO_LANGUAGE = (0.0,) * len(LANGUAGES)
