@@ -221,6 +221,7 @@ def compared(pairs: DataFrame, docs: DataFrame, distinct: DataFrame, threshold:
     texts = _texts_of(pairs, docs, distinct)
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         last, known = None, None
         for batch in batches:
             out = []

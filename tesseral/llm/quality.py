@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tesseral.llm.common import bounded, stored, text_or_empty
-from tesseral.llm.words import FUNCTION, WordTable, kept, plain, word_hash
+from tesseral.llm.words import FUNCTION, WordTable, kept, let_go, plain, word_hash
 
 BITS = 18
 SPACE = 1 << BITS
@@ -230,6 +230,8 @@ def _train(sample: DataFrame, labellers: LabelModel) -> Scorer:
         got = sorted(((r["pattern"], r["features"], r["values"]) for b in batches for r in b.to_pylist()))
         rows = [(np.frombuffer(f, np.int32), np.frombuffer(v, np.float32)) for _, f, v in got]
         scorer = fit_scorer(rows, labellers.posterior(np.array([p for p, _, _ in got], np.int64)) if got else np.zeros(0))
+        del got, rows
+        let_go()  # the sample took far more memory than the scoring to come
         yield pa.RecordBatch.from_arrays([pa.array([scorer.weights.tobytes()], pa.binary()), pa.array([scorer.bias], pa.float64())], names=["weights", "bias"])
 
     made = sample.select("pattern", "features", "values").repartition(1).mapInArrow(fit, "weights binary, bias double").first()
