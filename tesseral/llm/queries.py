@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesseral.llm import lines, media, minhash, mixing, packing, quality, secrets, sharding, topk, toxicity
+from tesseral.llm import divergence, language, lines, media, merkle, minhash, mixing, packing, quality, secrets, sharding, topk, toxicity
 from tesseral.llm.common import small_batches
+from tesseral.llm.sql import OP12, OP13
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,7 +84,31 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (toxicity.fold("doc_id") == 0).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_order_minhash, op3_media_columns, op4_secret_scan, op5_line_dedup, op6_exact_top_k, op7_two_pass_shuffle, op8_entropy_mixing, op9_quality_classifier, op10_toxicity)}
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language.train_language(docs)
+    told = language.predict_language(docs, model)
+    return told.select("doc_id", (language.fold("doc_id") == language.HELD_OUT).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(_table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    changed = [F.replace("text", F.lit("\n"), F.lit("")) if f == "text" else F.col(f) for f in fields]
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    tested = F.when(even, merkle.leaf(changed)).otherwise(merkle.leaf([F.col(f) for f in fields]))
+    made = merkle.manifest(docs, fields, group="source", order="doc_id", carry={"tested": tested})
+    made = made.withColumn("_folded", merkle.folded(F.col("tested"), F.col("path")))
+    digests = [merkle.hex_text(F.col(c)).alias(c) for c in ("leaf", "subroot", "root")]
+    proof = merkle.proof_digest(F.col("path")).alias("proof_sha256")
+    return made.select("doc_id", *digests, proof, merkle.hex_text(F.col("_folded")).alias("folded_root"), (F.col("_folded") == F.col("root")).alias("verified"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_order_minhash, op3_media_columns, op4_secret_scan, op5_line_dedup, op6_exact_top_k, op7_two_pass_shuffle, op8_entropy_mixing, op9_quality_classifier, op10_toxicity, op11_language_id, op12_source_divergence, op13_merkle_manifest)}
 
 _OP5 = """
 with cut as (
@@ -124,4 +149,4 @@ with q as (
 select query_id, rank::int as rank, vec_id, score from ranked where rank <= 5
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_line_dedup": _OP5, "op6_exact_top_k": _OP6}
+ORACLE_SQL: dict[str, str] = {"op5_line_dedup": _OP5, "op6_exact_top_k": _OP6, "op12_source_divergence": OP12, "op13_merkle_manifest": OP13}
