@@ -1,6 +1,6 @@
 """Language of a text by averaged embeddings of hashed subwords and a linear softmax, trained by gradient descent in numpy.
 
-A word is its letters in lower case; its features are the hashes of the word and of its pieces of one to four letters, ends marked. A
+A word is its letters in lower case; its features are the hashes of its pieces of one to five letters, ends counted as letters. A
 text's embedding is the average over the features of all its words. Predictions have a probability, calibrated by a temperature on a
 fold of their own, and one below the threshold found there is marked as rejected.
 
@@ -10,29 +10,29 @@ The rows it learns from are a bounded sample of those with a language; every tex
 from __future__ import annotations
 
 import pickle
-import uuid
-from collections import Counter
+import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesseral.llm.common import stored, text_or_empty
-from tesseral.llm.words import WordTable, kept, word_hash
 
-HASH_BITS = 16
+HASH_BITS = 15
 SIZE = 16
+#: Lengths of pieces; ends of words count as letters.
+LENGTHS = (1, 2, 3, 4, 5)
 #: Rows of this fold are never learnt from; those of CHECKED calibrate.
 HELD_OUT, CHECKED = 2, 3
 UNKNOWN = "und"
-#: Characters of a text that are cut into words at once. Longer words than this many characters are looked at each time they occur.
-CHUNK, LONG_WORD = 1 << 20, 60
-_LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
-_SPACE = regex.compile(r"\s")
+#: About so many characters of a text are looked at together.
+CHUNK = 1 << 15
+_SPACE = re.compile(r"\s")
 
 
 def fold(doc_id: Column | str) -> Column:
@@ -41,26 +41,56 @@ def fold(doc_id: Column | str) -> Column:
     return F.pmod(F.crc32(F.coalesce(text, F.lit("")).cast("binary")), F.lit(4))
 
 
-def words_of(text: str) -> Iterator[list[str]]:
-    """A text's words, as blanks part them, in lists of about CHUNK characters."""
+@cache
+def _kinds() -> np.ndarray:
+    """1 for each code point that is a letter or a mark, else 0."""
+    return np.fromiter((unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)), np.uint8, 0x110000)
+
+
+def chunks_of(text: str) -> Iterator[str]:
+    """A text in pieces of about CHUNK characters that end at blanks."""
     at = 0
     while at < len(text):
         cut = _SPACE.search(text, at + CHUNK)
         end = cut.start() if cut else len(text)
-        yield text[at:end].split()
+        yield text[at:end]
         at = end
 
 
-def subwords(word: str) -> list[int]:
-    """The features of a word between blanks: for each run of letters, the run and its pieces."""
-    found = []
-    for run in _LETTERS.findall(word.lower()):
-        marked = f"<{run}>"
-        found.append(word_hash(marked, HASH_BITS))
-        for k in range(1, 5):
-            ends = marked if k > 1 else run
-            found.extend(word_hash(f"{k}{ends[i : i + k]}", HASH_BITS) for i in range(len(ends) - k + 1))
-    return found
+def has_letter(text: str | None) -> bool:
+    return any(map(str.isalpha, text or ""))
+
+
+def subwords(text: str) -> np.ndarray:
+    """The features of a piece of text: hashes of the pieces of its words, which are runs of letters and marks in lower case."""
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    letters = np.zeros(len(points) + 2, np.uint32)
+    letters[1:-1] = points * _kinds()[points]
+    # One zero between words.
+    some = letters != 0
+    letters = letters[some | np.concatenate([[True], some[:-1]])]
+    some = letters != 0
+    found, inside = [], np.ones(len(letters), bool)
+    mixed = np.zeros(len(letters), np.uint32)
+    for k in LENGTHS:
+        n = len(letters) - k + 1
+        if n <= 0:
+            break
+        mixed = mixed[:n] * np.uint32(0x01000193) + letters[k - 1 :] + np.uint32(1)
+        if k > 2:
+            inside = inside[:n] & some[k - 2 : k - 2 + n]
+        good = mixed[some] if k == 1 else mixed[inside[:n]]
+        good = (good ^ (good >> np.uint32(15))) * np.uint32(0x85EBCA6B) + np.uint32(k * 0x9E3779B1 & 0xFFFFFFFF)
+        found.append((good ^ (good >> np.uint32(13))) * np.uint32(0xC2B2AE35) >> np.uint32(32 - HASH_BITS))
+    return np.concatenate(found).astype(np.int32) if found else np.zeros(0, np.int32)
+
+
+def counts_of(text: str) -> np.ndarray:
+    """How often a text has each feature."""
+    times = np.zeros(1 << HASH_BITS, np.int64)
+    for chunk in chunks_of(text):
+        times += np.bincount(subwords(chunk), minlength=1 << HASH_BITS)
+    return times
 
 
 @dataclass
@@ -74,14 +104,14 @@ class LanguageModel:
     #: What calibration saw: rows, right ones, right ones among those not rejected, rejected ones.
     checked: dict[str, float] = field(default_factory=dict)
 
-    def describe(self, word: str) -> np.ndarray:
-        """How many features a word has, and the sum of what they add to each language's logit."""
-        found = subwords(word)
-        return np.concatenate([[len(found)], self.embeddings[found].sum(axis=0) @ self.out]) if found else np.zeros(len(self.languages) + 1)
-
-    def probabilities(self, sums: np.ndarray) -> np.ndarray:
-        """Of each language, from the sum of its words' rows."""
-        z = (sums[1:] / max(sums[0], 1) + self.bias) / self.temperature
+    def probabilities(self, text: str) -> np.ndarray | None:
+        """Of each language; None if the text has no word."""
+        times = counts_of(text)
+        n = times.sum()
+        if not n:
+            return None
+        total = times.astype(np.float32) @ self.embeddings
+        z = (total / n @ self.out + self.bias) / self.temperature
         e = np.exp(z - z.max())
         return e / e.sum()
 
@@ -137,7 +167,7 @@ def calibrate(model: LanguageModel, rows: list[tuple[np.ndarray, np.ndarray, int
 
 
 #: Learning rates and epochs among which the fold that calibrates chooses.
-SETTINGS = ((4, 0.5), (8, 0.5), (8, 1.5))
+SETTINGS = ((2, 0.5), (2, 1.5))
 
 
 def fit_and_calibrate(rows: list[dict], accuracy: float) -> LanguageModel:
@@ -156,15 +186,11 @@ def fit_and_calibrate(rows: list[dict], accuracy: float) -> LanguageModel:
     return best
 
 
-def _counted(words: list[str]) -> tuple[bytes, bytes] | None:
-    times = Counter()
-    for word, n in Counter(words).items():
-        for f in subwords(word):
-            times[f] += n
-    if not times:
-        return None
-    at = np.fromiter(times, np.int32, len(times))
-    return at.tobytes(), np.fromiter(times.values(), np.float32, len(times)).tobytes()
+def _counted(text: str) -> tuple[bytes, bytes] | None:
+    """A text's features and how often it has each."""
+    times = counts_of(text)
+    at = np.flatnonzero(times).astype(np.int32)
+    return (at.tobytes(), times[at].astype(np.float32).tobytes()) if len(at) else None
 
 
 def training_rows(docs: DataFrame, most: int, parts: int) -> DataFrame:
@@ -182,22 +208,19 @@ def training_rows(docs: DataFrame, most: int, parts: int) -> DataFrame:
         for batch in batches:
             out = []
             for rank, of, lang, text in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
-                rng = np.random.default_rng(rank & 0xFFFFFFFF)
-                lists = list(words_of(text.as_py()))
-                whole = [w for words in lists for w in words]
+                rng, whole = np.random.default_rng(rank & 0xFFFFFFFF), text.as_py()
                 pieces = [whole]
-                for _ in range(parts if len(whole) > 8 else 0):
-                    n = int(rng.integers(1, 9))
-                    at = int(rng.integers(0, len(whole) - n))
-                    pieces.append(whole[at : at + n])
-                out += [(rank, i, of, lang, *got) for i, words in enumerate(pieces) if (got := _counted(words))]
+                for _ in range(parts if len(whole) > 100 else 0):
+                    at, n = int(rng.integers(0, len(whole) - 60)), int(rng.integers(8, 60))
+                    pieces.append(whole[at : at + n].partition(" ")[2].rpartition(" ")[0])
+                out += [(rank, i, of, lang, *got) for i, piece in enumerate(pieces) if (got := _counted(piece))]
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=["rank", "part", "fold", "lang", "features", "times"])
 
     return stored(picked.mapInArrow(read, "rank long, part int, fold int, lang string, features binary, times binary"), "sample").dropDuplicates(["rank", "part"])
 
 
-def train_language(docs: DataFrame, *, sample: int = 8_000, parts: int = 3, sample_bytes: int = 48 << 20, accuracy: float = 0.99) -> LanguageModel:
+def train_language(docs: DataFrame, *, sample: int = 6_000, parts: int = 2, sample_bytes: int = 48 << 20, accuracy: float = 0.99) -> LanguageModel:
     """A model from about `sample` documents with a language, fitted in one task; the held-out fold is never read.
 
     docs: doc_id, text, lang. Rows whose language or id is null are left out, texts without letters too; repeated rows count once.
@@ -227,29 +250,16 @@ def predict_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
     texts are read whole, piece by piece.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    stamp = f"language-{uuid.uuid4().hex}"
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: LanguageModel = shared.value
-        width = len(model.languages) + 1
-        known: WordTable = kept(stamp, lambda: WordTable(model.describe, width, np.float32, 60_000))
         for batch in batches:
             told = []
-            for text in batch.column(1):
-                sums = np.zeros(width)
-                for words in words_of(text.as_py()):
-                    long = [w for w in words if len(w) > LONG_WORD]
-                    if long:
-                        words = [w for w in words if len(w) <= LONG_WORD]
-                        sums += sum(map(model.describe, long))
-                    at = known.rows(words)
-                    sums += known.table[at].sum(axis=0, dtype=np.float64)
-                if sums[0] == 0 or not model.languages:
-                    told.append((UNKNOWN, 0.0, True))
-                else:
-                    p = model.probabilities(sums)
-                    best = int(p.argmax())
-                    told.append((model.languages[best], float(p[best]), bool(p[best] < model.threshold)))
+            for scalar in batch.column(1):
+                text = scalar.as_py()
+                p = model.probabilities(text) if model.languages and has_letter(text) else None
+                best = None if p is None else int(p.argmax())
+                told.append((UNKNOWN, 0.0, True) if p is None else (model.languages[best], float(p[best]), bool(p[best] < model.threshold)))
             kinds = (pa.string(), pa.float64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([t[i] for t in told], k) for i, k in enumerate(kinds)]], names=["doc_id", "lang_pred", "score", "rejected"])
 
