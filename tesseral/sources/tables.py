@@ -75,14 +75,16 @@ def cell_records(df: DataFrame, kind: str) -> DataFrame:
     return rows.select(F.to_json(F.struct(F.lit(kind).alias("kind"), *[F.col(c) for a in active for c in (f"z{a}", f"v{a}")], "west", "east", "south", "north", "bottom", "top")).alias("value"))
 
 
-def box_mesh_lines(df: DataFrame) -> DataFrame:
-    """The OBJ lines of boxes (box, low_e, high_e, low_n, high_n, low_u, high_u): rows box, line_no, value.
+def box_mesh_lines(df: DataFrame, *, named: bool = False) -> DataFrame:
+    """The OBJ lines of boxes (box, low_e, high_e, low_n, high_n, low_u, high_u): rows box, line_no, value; with `named`, each begins as an
+    object of its own, called by its box.
 
     Faces count vertices backward from their own box, so files of different tasks can be put together in any order.
     """
     corners = [(e, n, u) for u in ("low_u", "high_u") for n in ("low_n", "high_n") for e in ("low_e", "high_e")]
     faces = [(1, 3, 4), (1, 4, 2), (5, 6, 8), (5, 8, 7), (1, 2, 6), (1, 6, 5), (3, 7, 8), (3, 8, 4), (1, 5, 7), (1, 7, 3), (2, 4, 8), (2, 8, 6)]
     lines = [F.concat_ws(" ", F.lit("v"), *c) for c in corners] + [F.lit("f " + " ".join(str(i - 9) for i in f)) for f in faces]
+    lines = [F.concat(F.lit("o "), F.col("box").cast("string")), *lines] if named else lines
     return df.select("box", F.posexplode(F.array(*lines)).alias("line_no", "value"))
 
 
