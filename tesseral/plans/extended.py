@@ -129,25 +129,26 @@ ORACLE_SQL["mesh_triangles"] = (
     + ", ".join(f"{_corner(n, e)} as {n}{c}" for n in "abc" for c, e in zip("xyz", "enu", strict=True)) + " from boxes, t"
 )
 
-_SIDES = ["region_id", "side"]
+#: Both sides of a region together: within one, no two cells are siblings.
+_REGION = ["region_id"]
 
 
 @query
 def normalize_regions(spark: SparkSession, sf: str) -> DataFrame:
     """The normal form, cell by cell, of regions of mixed zooms, each brought to it by a task."""
-    return regions.normalize_regions(fixtures.cells(spark, sf), _SIDES).select(*_SIDES, "zx", "zy", "vx", "vy")
+    return regions.normalize_regions(fixtures.cells(spark, sf), _REGION).select(*_REGION, "zx", "zy", "vx", "vy")
 
 
 @query
 def normalize_counters(spark: SparkSession, sf: str) -> DataFrame:
     """What bringing each region to its normal form took."""
-    return regions.normalize_counters(fixtures.cells(spark, sf), _SIDES)
+    return regions.normalize_counters(fixtures.cells(spark, sf), _REGION)
 
 
 @query
 def merge_one_pair(spark: SparkSession, sf: str) -> DataFrame:
     """Each region after one merge of two siblings."""
-    return regions.merge_one_pair(fixtures.cells(spark, sf), _SIDES).select(*_SIDES, "zx", "zy", "vx", "vy")
+    return regions.merge_one_pair(fixtures.cells(spark, sf).drop("side").distinct(), _REGION).select(*_REGION, "zx", "zy", "vx", "vy")
 
 
 #: More passes than the fixture's regions, of zooms up to 9 and 8, can take in practice; too few would end in other rows.
@@ -156,16 +157,16 @@ _PASSES = 24
 
 def _passes(last: int) -> str:
     """CTEs c0 to c{last}, the cells before each pass, k{i}, those that nothing subsumes, and m{i}, the parents merged."""
-    key, cell = "region_id, side", "zx, vx, zy, vy"
+    key, cell = "region_id", "zx, vx, zy, vy"
     steps = [oracles.CTE["cells"], f"c0 as materialized (select distinct {key}, zx, vx, zy, vy from cells)"]
     for i in range(last):
         steps.append(
             f"k{i} as materialized (select c.* from c{i} c anti join (select c.* from c{i} c join (select distinct {key}, zx, zy from c{i}) v "
-            f"on v.region_id = c.region_id and v.side = c.side and v.zx <= c.zx and v.zy <= c.zy and (v.zx < c.zx or v.zy < c.zy) join c{i} d on d.region_id = c.region_id and d.side = c.side "
+            f"on v.region_id = c.region_id and v.zx <= c.zx and v.zy <= c.zy and (v.zx < c.zx or v.zy < c.zy) join c{i} d on d.region_id = c.region_id "
             f"and d.zx = v.zx and d.zy = v.zy and d.vx = c.vx >> (c.zx - v.zx) and d.vy = c.vy >> (c.zy - v.zy)) g using ({key}, {cell}))"
         )
         steps.append(f"x{i} as materialized (select {key}, 'x' as axis, zx - 1 as zx, vx >> 1 as vx, zy, vy from k{i} where zx > 1 group by {key}, zx, vx >> 1, zy, vy having count(*) = 2)")
-        steps.append(f"y{i} as materialized (select {key}, 'y' as axis, zx, vx, zy - 1 as zy, vy >> 1 as vy from k{i} where zy > 1 and (region_id, side) not in (select (region_id, side) from x{i}) group by {key}, zx, vx, zy, vy >> 1 having count(*) = 2)")
+        steps.append(f"y{i} as materialized (select {key}, 'y' as axis, zx, vx, zy - 1 as zy, vy >> 1 as vy from k{i} where zy > 1 and region_id not in (select region_id from x{i}) group by {key}, zx, vx, zy, vy >> 1 having count(*) = 2)")
         steps.append(f"m{i} as materialized (select * from x{i} union all select * from y{i})")
         steps.append(
             f"c{i + 1} as materialized (select {key}, {cell} from m{i} union select {key}, {cell} from k{i} k anti join (select {key}, zx + (axis = 'x')::int as zx, vx * (1 + (axis = 'x')::int) + case when axis = 'x' then b else 0 end as vx, "
@@ -174,16 +175,16 @@ def _passes(last: int) -> str:
     return "with " + ",\n".join(steps)
 
 
-ORACLE_SQL["normalize_regions"] = _passes(_PASSES) + f"\nselect region_id, side, zx, zy, vx, vy from c{_PASSES}"
-_count = lambda t: f"(select count(*) from {t} t where t.region_id = r.region_id and t.side = r.side)"
+ORACLE_SQL["normalize_regions"] = _passes(_PASSES) + f"\nselect region_id, zx, zy, vx, vy from c{_PASSES}"
+_tally = " union all ".join(f"select region_id, '{t}' as kind, {i} as pass, count(*) as n from {t}{i} group by 1" for i in range(_PASSES) for t in "ckm")
 ORACLE_SQL["normalize_counters"] = (
-    _passes(_PASSES) + f"\nselect region_id, side, {_count('c0')} as cells, {_count(f'c{_PASSES}')} as normal, "
-    + " + ".join(f"least({_count(f'm{i}')}, 1)" for i in range(_PASSES)) + " as passes, " + " + ".join(f"{_count(f'c{i}')} - {_count(f'k{i}')}" for i in range(_PASSES)) + " as dropped, "
-    + " + ".join(_count(f"m{i}") for i in range(_PASSES)) + " as merged from (select distinct region_id, side from c0) r"
+    _passes(_PASSES) + f", tally as ({_tally} union all select region_id, 'n', 0, count(*) from c{_PASSES} group by 1)\n"
+    "select region_id, sum(n) filter (where kind = 'c' and pass = 0)::bigint as cells, sum(n) filter (where kind = 'n')::bigint as normal, count(*) filter (where kind = 'm') as passes, "
+    "(sum(n) filter (where kind = 'c') - sum(n) filter (where kind = 'k'))::bigint as dropped, coalesce(sum(n) filter (where kind = 'm'), 0)::bigint as merged from tally group by 1"
 )
 ORACLE_SQL["merge_one_pair"] = f"""with {oracles.CTE["cells"]}, pairs as (
-  select region_id, side, 1 as axis, zx, zy, vx >> 1 as px, vy as py from cells where zx > 1 group by region_id, side, zx, zy, vx >> 1, vy having count(*) = 2
-  union all select region_id, side, 2, zx, zy, vx, vy >> 1 from cells where zy > 1 group by region_id, side, zx, zy, vx, vy >> 1 having count(*) = 2),
-  one as (select * from (select *, row_number() over (partition by region_id, side order by axis, zx, zy, px, py) as n from pairs) where n = 1)
-select region_id, side, zx, zy, vx, vy from cells c anti join (select region_id, side, zx, zy, case when axis = 1 then px * 2 + b else px end as vx, case when axis = 2 then py * 2 + b else py end as vy from one, (values (0), (1)) t(b)) g using (region_id, side, zx, zy, vx, vy)
-union select region_id, side, case when axis = 1 then zx - 1 else zx end, case when axis = 2 then zy - 1 else zy end, px, py from one"""
+  select region_id, 1 as axis, zx, zy, vx >> 1 as px, vy as py from (select distinct region_id, zx, vx, zy, vy from cells) where zx > 1 group by region_id, zx, zy, vx >> 1, vy having count(*) = 2
+  union all select region_id, 2, zx, zy, vx, vy >> 1 from (select distinct region_id, zx, vx, zy, vy from cells) where zy > 1 group by region_id, zx, zy, vx, vy >> 1 having count(*) = 2),
+  one as (select * from (select *, row_number() over (partition by region_id order by axis, zx, zy, px, py) as n from pairs) where n = 1)
+select region_id, zx, zy, vx, vy from (select distinct region_id, zx, vx, zy, vy from cells) c anti join (select region_id, zx, zy, case when axis = 1 then px * 2 + b else px end as vx, case when axis = 2 then py * 2 + b else py end as vy from one, (values (0), (1)) t(b)) g using (region_id, zx, zy, vx, vy)
+union select region_id, case when axis = 1 then zx - 1 else zx end, case when axis = 2 then zy - 1 else zy end, px, py from one"""
