@@ -14,10 +14,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesseral.functions.cells import AXES, CELL, VALUES, ZOOMS, meet, truncate
+from tesseral.functions.cells import AXES, CELL, VALUES, ZOOMS, compatible, meet, truncate
 
 #: Up to so many zoom vectors are broadcast.
 BROADCAST_VECTORS = 10_000
+#: Above so many zoom vectors of a side, an overlap join rounds zooms down to steps of one of these sizes.
+STEP_VECTORS = 20
+STEPS = (1, 2, 3, 4, 6, 8, 16, 32)
 
 
 def prefixed(df: DataFrame, prefix: str) -> DataFrame:
@@ -73,22 +76,44 @@ def covered(containers: DataFrame, cells: DataFrame, *, by: Sequence[str] = (),
     return cells.join(h, _all([F.equal_null("_h_" + k, k) for k in keys]), how)
 
 
-def overlap_join(left: DataFrame, right: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
+def _step_zoom(zoom: Column, step: int) -> Column:
+    """The greatest of the zooms 1, 1 + step, 1 + 2 * step, ... that is no finer; 0 for an absent axis."""
+    return F.when(zoom > 0, zoom - (zoom - 1) % step).otherwise(0).cast("int")
+
+
+def _zoom_step(sides: Sequence[DataFrame], most: int) -> int:
+    """The least step of zooms at which both sides have at most `most` zoom vectors; the coarsest step, if none does."""
+    steps = list(STEPS)
+    for df in sides:
+        vectors = df.select("flags", *ZOOMS).distinct()
+        counts = vectors.agg(*[F.countDistinct("flags", *[_step_zoom(F.col(z), s) for z in ZOOMS]).alias(str(s)) for s in steps]).first()
+        steps = [s for s in steps if counts[str(s)] <= most] or steps[-1:]
+    return steps[0]
+
+
+def overlap_join(left: DataFrame, right: DataFrame, *, by: Sequence[str] = (), most: int = STEP_VECTORS) -> DataFrame:
     """Pairs of compatible cells, the right one's columns prefixed with r_; each pair once.
 
-    For each two zoom vectors of the sides, both cells are truncated to the coarser zoom of each axis.
+    For each two zoom vectors of the sides, both cells are truncated to the coarser zoom of each axis and joined on that. A row is repeated for
+    each vector of the other side, so where there are more than `most`, zooms are first rounded down to steps: cells then meet by
+    somewhat shorter prefixes, in one place still, and those that are not compatible after all are left out.
     """
-    lv, rv = _vectors(left, "_l_"), _vectors(right, "_v_")
-    r = prefixed(right, "r_")
-    a = left.join(rv, F.col("flags") == F.col("_v_flags"))
+    step = _zoom_step((left, right), most)
+    rounded = {f"_q_{z}": _step_zoom(F.col(z), step) for z in ZOOMS}
+    vectors = lambda df, p: _vectors(df.select("flags", *[_step_zoom(F.col(z), step).alias(z) for z in ZOOMS]), p)
+    lv, rv = vectors(left, "_l_"), vectors(right, "_v_")
+    r = prefixed(right.withColumns(rounded), "r_")
+    a = left.withColumns(rounded).join(rv, F.col("flags") == F.col("_v_flags"))
     b = r.join(lv, F.col("r_flags") == F.col("_l_flags"))
     for x in AXES:
-        a = a.withColumn(f"_a_{x}", truncate(F.col(f"v{x}"), F.col(f"z{x}"), F.least(f"z{x}", f"_v_z{x}")))
-        b = b.withColumn(f"_b_{x}", truncate(F.col(f"r_v{x}"), F.col(f"r_z{x}"), F.least(f"r_z{x}", f"_l_z{x}")))
+        a = a.withColumn(f"_a_{x}", truncate(F.col(f"v{x}"), F.col(f"z{x}"), F.least(f"_q_z{x}", f"_v_z{x}")))
+        b = b.withColumn(f"_b_{x}", truncate(F.col(f"r_v{x}"), F.col(f"r_z{x}"), F.least(f"r__q_z{x}", f"_l_z{x}")))
     same = [F.col("flags") == F.col("r_flags"), *[F.equal_null(c, "r_" + c) for c in by]]
     for x in AXES:
-        same += [F.col(f"z{x}") == F.col(f"_l_z{x}"), F.col(f"_v_z{x}") == F.col(f"r_z{x}"), F.col(f"_a_{x}") == F.col(f"_b_{x}")]
-    return a.join(b, _all(same)).select(*left.columns, *r.columns)
+        same += [F.col(f"_q_z{x}") == F.col(f"_l_z{x}"), F.col(f"_v_z{x}") == F.col(f"r__q_z{x}"), F.col(f"_a_{x}") == F.col(f"_b_{x}")]
+    pairs = a.join(b, _all(same))
+    pairs = pairs.where(compatible("", "r_")) if step > 1 else pairs
+    return pairs.select(*left.columns, *["r_" + c for c in right.columns])
 
 
 def overlap_count(left: DataFrame, right: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
@@ -122,6 +147,26 @@ def bucketed_interval_join(points: DataFrame, intervals: DataFrame, on: Sequence
     return p.join(i, test).drop("_bucket", "_p_bucket")
 
 
+def dyadic_interval_join(points: DataFrame, intervals: DataFrame, on: Sequence[str], time: str, start: str = "start_s", end: str = "end_s", how: str = "inner") -> DataFrame:
+    """interval_join by equal keys alone: an interval is its dyadic cover, and an instant is looked up by its ancestors.
+
+    Times are whole numbers below 2 ** 32. An interval has at most 62 covering prefixes and an instant one ancestor for each zoom that occurs in them,
+    so a key with very many instants and intervals is dealt out by time, and no condition is left to be tried on pairs.
+    """
+    from tesseral.operators.intervals import dyadic_cover
+
+    cover = dyadic_cover(prefixed(intervals, "i_").withColumn("_id", F.struct(*["i_" + c for c in intervals.columns])).where(F.col("i_" + end) > F.col("i_" + start)), "i_" + start, "i_" + end, zoom=32, out=("_z", "_v"))
+    zooms = cover.select("_z").distinct()  # 32 rows at most
+    asked = points.join(F.broadcast(zooms.withColumnRenamed("_z", "_p_z"))).withColumn("_p_v", F.call_function("shiftright", F.col(time).cast("long"), (F.lit(32) - F.col("_p_z")).cast("int")))
+    test = _all([*[F.equal_null(c, "i_" + c) for c in on], F.col("_p_z") == F.col("_z"), F.col("_p_v") == F.col("_v")])
+    found = asked.join(cover, test).select(*points.columns, *["i_" + c for c in intervals.columns])
+    if how == "inner":
+        return found
+    same = _all([F.equal_null(F.col("p." + c), F.col("f." + c)) for c in points.columns])
+    rest = points.alias("p").join(found.select(*points.columns).distinct().alias("f"), same, "left_anti")
+    return found.unionByName(rest, allowMissingColumns=True)
+
+
 def asof_join(queries: DataFrame, samples: DataFrame, on: Sequence[str], time: str, sample_time: str, *, within: bool = True) -> DataFrame:
     """queries with the latest sample (columns prefixed with s_) of their key that is not later; nulls if there is none.
 
