@@ -18,7 +18,7 @@ def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
@@ -26,13 +26,16 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[app]
 
 
-#: Rows in an Arrow batch of whole documents. A batch lies in memory in the JVM and in the Python worker at once.
+#: Rows and bytes in an Arrow batch of whole documents, or one document, if it is longer. A batch lies in memory in the JVM and in the
+#: Python worker at once.
 TEXTS_PER_BATCH = 250
+BYTES_PER_BATCH = 4 << 20
 
 
 def small_batches(spark: SparkSession) -> SparkSession:
-    """The session, set to send documents to Python workers in batches of TEXTS_PER_BATCH."""
+    """The session, set to send documents to Python workers in batches of TEXTS_PER_BATCH and BYTES_PER_BATCH."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXTS_PER_BATCH))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES_PER_BATCH))
     return spark
 
 
@@ -52,9 +55,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def bounded(sample: DataFrame, size: Column, most: int) -> DataFrame:
-    """The first rows of a small table, in the order of its column rank, whose sizes sum up to no more than `most`."""
-    upto = F.sum(size).over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
-    return sample.withColumn("_upto", upto).where(F.col("_upto") <= most).drop("_upto")
+    """Rows of a small table, told apart by the column rank, whose sizes sum up to no more than `most`: in the order of rank, rows of more
+    than a 64th of `most` behind all others. A row that is larger than `most` is passed over; of the others the first is always there."""
+    sizes = sample.select("rank", size.cast("long").alias("_size")).where(F.col("_size") <= most)
+    upto = F.sum("_size").over(Window.orderBy(F.col("_size") > most // 64, "rank").rowsBetween(Window.unboundedPreceding, 0))
+    # Two numbers a row go through the window, and the ranks, of a sample bounded by its number of rows, to all tasks.
+    fitting = sizes.withColumn("_upto", upto).where(F.col("_upto") <= most).select("rank")
+    return sample.join(F.broadcast(fitting), "rank", "left_semi")
 
 
 def salt(n: int, *cols: Column | str) -> Column:

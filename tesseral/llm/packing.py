@@ -30,8 +30,8 @@ from tesseral.llm.common import stored, text_or_empty
 from tesseral.llm.words import kept
 
 
-#: Up to so many counts by length and task are broadcast; beyond that they are joined by a shuffle.
-BROADCAST_COUNTS = 1_000_000
+#: Up to so many bytes of counts by length and task, at 40 a row, are broadcast; beyond that they are joined by a shuffle.
+BROADCAST_BYTES = 20 << 20
 
 
 class Run(NamedTuple):
@@ -192,12 +192,12 @@ class WordEncoder:
 
     If the tokenizer lower-cases, drops white space and splits words by a pattern, the ids of a text are
     those of its words in turn. Words repeat, so each is encoded once and remembered, and so are the
-    parts into which the pattern splits words; a memory holds up to `most` words, or half as many parts, met of late and as many older ones.
+    parts into which the pattern splits words; a memory holds up to `most` words, or parts, met of late and as many older ones.
     Words of Latin letters go straight to the model; any others, and
     whole texts under any other tokenizer, go through all of the tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 120_000):
+    def __init__(self, path: str, most: int = 20_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -214,7 +214,7 @@ class WordEncoder:
             #: What the byte-level step makes of Latin letters beyond ASCII.
             self.latin = {i: byte_level.pre_tokenize_str(chr(i))[0][0] for i in range(0xA1, 0x250)}
             self.model = self.tokenizer.model
-        self.words, self.parts = _Words(self.word, most), _Words(self.part, most // 2)
+        self.words, self.parts = _Words(self.word, most), _Words(self.part, most)
 
     def part(self, part: str) -> bytes:
         return _packed([t.id for t in self.model.tokenize(part if part.isascii() else part.translate(self.latin))])
@@ -293,7 +293,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, *, wit
     before = stored(before.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")), "before")
     counts = {r["length"]: r["n"] for r in before.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     side = before.select("length", "part", "before")
-    if before.count() <= BROADCAST_COUNTS:
+    if 40 * before.count() <= BROADCAST_BYTES:
         side = F.broadcast(side)
     ranked = pieces.join(side, ["length", "part"]).withColumn("rank", F.col("place") + F.col("before"))
     runs = spark.createDataFrame(

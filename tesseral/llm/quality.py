@@ -205,9 +205,9 @@ def _patterns(docs: DataFrame) -> dict[int, int]:
     return {r["pattern"]: r["n"] for r in counted.groupBy("pattern").agg(F.sum("n").alias("n")).collect()}
 
 
-def _sample(docs: DataFrame, rows: int, most: int) -> DataFrame:
+def _sample(docs: DataFrame, rows: int, most: int, most_bytes: int) -> DataFrame:
     """Rows pattern, features, values (as bytes) of about `most` different documents, picked by a hash of id and text; repeated rows
-    count once. If they have more than SAMPLE_BYTES, as many as fit, in the order of another hash."""
+    count once. If they have more than `most_bytes`, as many as fit: see bounded()."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,44 +220,45 @@ def _sample(docs: DataFrame, rows: int, most: int) -> DataFrame:
     ranked = picked.select(F.xxhash64(F.lit(43), "doc_id", "text").alias("rank"), "text").dropDuplicates(["rank"])
     read_ = stored(ranked.mapInArrow(read, "rank long, pattern long, features binary, values binary").where(F.length("features") > 0), "sample")
     # About `most` rows, whatever the corpus.
-    return bounded(read_, F.length("features") + F.length("values"), SAMPLE_BYTES)
+    return bounded(read_, F.length("features") + F.length("values"), most_bytes)
 
 
-def _train(sample: DataFrame, labellers: LabelModel) -> Scorer:
-    """The scorer, fitted in one task: the sample is bounded."""
+def _train(sample: DataFrame, labellers: LabelModel) -> Scorer | None:
+    """The scorer, fitted in one task: the sample is bounded. None if there is nothing to learn from."""
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = sorted(((r["pattern"], r["features"], r["values"]) for b in batches for r in b.to_pylist()))
         rows = [(np.frombuffer(f, np.int32), np.frombuffer(v, np.float32)) for _, f, v in got]
         scorer = fit_scorer(rows, labellers.posterior(np.array([p for p, _, _ in got], np.int64)) if got else np.zeros(0))
+        n = len(rows)
         del got, rows
         let_go()  # the sample took far more memory than the scoring to come
-        yield pa.RecordBatch.from_arrays([pa.array([scorer.weights.tobytes()], pa.binary()), pa.array([scorer.bias], pa.float64())], names=["weights", "bias"])
+        yield pa.RecordBatch.from_arrays([pa.array([scorer.weights.tobytes()], pa.binary()), pa.array([scorer.bias], pa.float64()), pa.array([n], pa.int64())], names=["weights", "bias", "rows"])
 
-    made = sample.select("pattern", "features", "values").repartition(1).mapInArrow(fit, "weights binary, bias double").first()
-    return Scorer(np.frombuffer(made["weights"], np.float32), made["bias"]) if made else fit_scorer([], np.zeros(0))
+    made = sample.select("pattern", "features", "values").repartition(1).mapInArrow(fit, "weights binary, bias double, rows long").first()
+    return Scorer(np.frombuffer(made["weights"], np.float32), made["bias"]) if made and made["rows"] else None
 
 
-def classify_quality(docs: DataFrame, *, sample: int = 4_000) -> DataFrame:
+def classify_quality(docs: DataFrame, *, sample: int = 4_000, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """docs with quality (0 to 1, higher is better), posterior (of the labellers' votes) and kept (quality >= 0.5).
 
     docs: doc_id, text and any others, all kept; columns named like the three new ones are replaced. Null
     and blank texts score 0 and aren't kept; equal texts score alike, so repeated rows do. Labellers' accuracies
-    come from all documents; the scorer learns on about `sample` of them and at most SAMPLE_BYTES of their features. Very long texts are read whole.
+    come from all documents; the scorer learns on about `sample` of them and at most `sample_bytes` of their features, and if none fits, the posterior is the quality. Very long texts are read whole.
     No documents give no rows.
     """
     docs = docs.drop("quality", "posterior", "kept")
     counts = _patterns(docs)
     labellers = fit_labellers(counts)
-    scorer = _train(_sample(docs, sum(counts.values()), sample), labellers)
+    scorer = _train(_sample(docs, sum(counts.values()), sample, sample_bytes), labellers)
     shared = docs.sparkSession.sparkContext.broadcast((labellers, scorer))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labellers, scorer = shared.value
         for batch in batches:
             got = [read_text(t.as_py() or "") for t in batch.column(text_at)]
-            quality = [scorer.score(r) for r in got]
             posterior = labellers.posterior(np.array([pattern_of(r.votes) for r in got], np.int64))
+            quality = [scorer.score(r) if scorer else float(p) * (len(r.features) > 0) for r, p in zip(got, posterior, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(quality, pa.float64()), pa.array(posterior, pa.float64())], names=[*batch.schema.names, "quality", "posterior"])
 
     text_at = docs.columns.index("text")

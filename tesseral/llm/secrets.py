@@ -52,6 +52,10 @@ _NAMERS, _NAMED = {"key", "name", "id"}, {"value", "content"}
 #: Values that begin like this, or are this, are placeholders; none needs more than the first _HEAD characters.
 _PLACEHOLDER = re.compile(r"[<${].*|true|false|null|none|changeme|example.*|your.*", re.I | re.S)
 _HEAD = 9
+#: Words after which a name and its value stand side by side; words before a value that tell how it is used; operators before a sign.
+_SETTERS = frozenset(("#define", "set", "setx"))
+_SCHEMES = frozenset(("bearer", "basic", "token"))
+_OPERATORS = frozenset("+|&?")
 #: Words in names, and how much each says that the value is secret.
 SENSITIVE = {"password": 3.0, "passwd": 3.0, "pwd": 2.5, "passphrase": 3.0, "secret": 3.0, "token": 2.5, "apikey": 3.0, "api_key": 3.0, "credential": 2.5, "credentials": 2.5, "private_key": 3.0, "access_key": 3.0, "auth": 1.5, "bearer": 2.0, "signing_key": 2.5, "client_secret": 3.0, "connection_string": 2.0}
 _SENSITIVE = re.compile("|".join(sorted(SENSITIVE, key=len, reverse=True)))
@@ -153,6 +157,13 @@ class _Lexed:
             k = i + 1
             if self.a[k] == self.b[i] and (self.kind[k] in ("sign", "not") or self.kind[k] == "mark" and text[self.a[k]] not in _ENDS or self.kind[k] == "word" and not (k + 1 < n and self.kind[k + 1] == "sign" and _HINT.search(text, self.a[k], self.b[k]))):
                 self.after[i] = self.after[k]
+        #: Where the value begins behind the types and names of a chain of assignments that starts at a token.
+        self.value_at = list(range(n + 2))
+        for i in range(n - 3, -1, -1):
+            if self.kind[i] == "word" and self.kind[i + 1] == "sign" and text[self.a[i + 1]] == "=" and self.a[i + 1] > self.b[i]:
+                self.value_at[i] = self.value_at[i + 2]
+        #: The values that begin at tokens, as read before: all names of a chain have the same.
+        self.values: dict[int, _Value | None] = {}
 
     def is_(self, i: int, kind: str, what: str = "") -> bool:
         return i < len(self.kind) and self.kind[i] == kind and (not what or self.text[self.a[i]] in what)
@@ -176,6 +187,8 @@ class _Lexed:
         if not i:
             return None
         k = i - 1
+        while k and self.b[k] == self.a[k + 1] and (self.kind[k] == "mark" and self.text[self.a[k]] in _OPERATORS or self.kind[k] == "word" and self.text[self.a[k] : self.b[k]] == "??"):
+            k -= 1  # as in += or ??=
         if self.is_(k, "mark", "]") and k >= 2 and self.kind[k - 1] == "quoted" and self.is_(k - 2, "mark", "["):
             k -= 1
         if self.kind[k] not in ("quoted", "word"):
@@ -255,8 +268,10 @@ def literal_spans(text: str, threshold: float = 3.4) -> list[Span]:
 
     def assigned(lex: _Lexed, name: str, sign: int) -> None:
         i = sign + 1
-        while lex.is_(i, "mark", "|>") and lex.is_(i + 1, "line"):  # block values
-            i += 1
+        if lex.is_(i, "mark", "|>"):  # block values, perhaps with a sign for how they end
+            chomped = lex.is_(i + 1, "mark", "+") or lex.is_(i + 1, "word") and text[lex.a[i + 1] : lex.b[i + 1]] == "-"
+            if lex.is_(i + 1 + chomped, "line"):
+                i += 1 + chomped
         if lex.is_(i, "line"):
             k = lex.past_lines(i)
             bare = lex.is_(k, "word")
@@ -268,9 +283,12 @@ def literal_spans(text: str, threshold: float = 3.4) -> list[Span]:
         elif lex.is_(i, "word") and lex.is_(i + 1, "mark", "(") and lex.a[i + 1] == lex.b[i]:
             return inside(lex, name, i + 1, digits=True)
         else:
-            while lex.is_(i, "word") and lex.is_(i + 1, "sign", "=") and lex.a[i + 1] > lex.b[i]:
-                i += 2  # a type, or a chain of assignments
-            value = expression(lex, i)
+            i = lex.value_at[i]
+            if lex.is_(i, "word") and lex.is_(i + 1, "word") and text[lex.a[i] : lex.b[i]].lower() in _SCHEMES:  # Authorization: Bearer ...
+                name, i = text[lex.a[i] : lex.b[i]], i + 1
+            if i not in lex.values:
+                lex.values[i] = expression(lex, i)
+            value = lex.values[i]
         if value is not None:
             known[name] = value
             judged(name, value)
@@ -307,6 +325,16 @@ def literal_spans(text: str, threshold: float = 3.4) -> list[Span]:
                 if b > a and (held := text[a:b].strip()):
                     a = text.index(held, a)
                     judged(text[lex.a[i] + 1 : lex.b[i] - 1], literal(a, a + len(held)))
+            elif kind == "mark" and text[lex.a[i]] == "(" and lex.is_(i + 1, "quoted") and lex.is_(i + 2, "mark", ",") and lex.is_(i + 3, "quoted"):
+                if name_score(text[slice(*lex.inner(i + 1))]) and (value := part(lex, i + 3)[0]) is not None:  # as in set("api_secret", "...")
+                    judged(text[slice(*lex.inner(i + 1))], value)
+            elif kind == "word" and lex.is_(i + 1, "word") and text[lex.a[i] : lex.b[i]].lower() in _SETTERS and _NAME.match(text, lex.a[i + 1], lex.b[i + 1]):
+                value = None if lex.is_(i + 2, "sign") else part(lex, i + 2)[0]
+                if value is not None:
+                    judged(text[lex.a[i + 1] : lex.b[i + 1]], value)
+            elif (kind == "not" and text[lex.a[i] : lex.b[i]] == "->" or kind == "word" and text[lex.a[i] : lex.b[i]] == "??") and lex.is_(i + 1, "quoted") and (name := lex.name_before(i)):
+                if (value := part(lex, i + 1)[0]) is not None:
+                    judged(name, value)
             elif kind == "sign" and (name := lex.name_before(i)):
                 low = name.lower()
                 if low in _NAMERS and lex.is_(i + 1, "quoted"):
@@ -327,7 +355,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     """Rows doc_id, spans: array of (kind, start, end, score), by start and then kind as in KINDS.
 
     docs: doc_id, text; other columns are not read. Null and empty texts have no spans; repeated rows
-    give repeated rows; texts of any length are scanned whole.
+    give repeated rows; texts of any length are scanned whole; no documents give no rows.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,7 +25,7 @@ def shuffle_into_shards(docs: DataFrame, shards: int, *, seed: int = 17, bucket_
     nulls, ties, very long texts and rows repeated ever so often are dealt as evenly as any. `is_stored` says that docs are the plain rows of a table: else
     they are written to one first, as numbers must be the same if a task is run again. No
     records give no rows; fewer records than shards leave the last shards empty.
-    The order depends on the seed and the table alone. One row a bucket, two numbers, is summed up in one task.
+    The order depends on the seed, the table and how its files are split for reading: written once, it is kept. One row a bucket, two numbers, is summed up in one task.
     """
     docs = docs.drop("shard", "slot")
     if not is_stored:

@@ -95,3 +95,22 @@ def test_languages():
     texts = {"en": "The house of the man and it is that", "de": "Der Mann und die Frau mit dem Kind", "fr": "Le chat est dans les rues et pour", "es": "El perro y los gatos con una para", "other": "Zyx wvu"}
     for language, text in texts.items():
         assert toxicity.language_of(np.array([language_row(plain(w)) for w in text.split()]).sum(axis=0)) == language
+
+
+def test_sample_limits_pass_over_what_does_not_fit(spark):
+    from pyspark.sql import functions as F
+
+    from tesseral.llm.common import bounded
+
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate([700, 90, 1, 2, 80, 3, 60])], "rank long, size int")
+    kept = lambda most: sorted(r["size"] for r in bounded(rows, F.col("size"), most).collect())
+    assert kept(100) == [1, 2, 90] and kept(10_000) == [1, 2, 3, 60, 80, 90, 700]
+    assert kept(640) == [1, 2, 3, 60, 80, 90] and kept(0) == [] and kept(2) == [1]
+
+
+def test_quality_without_a_sample_goes_by_the_labellers(spark):
+    prose = "The mayor of the town said on Monday that it would open a new library for all of its readers, which is near the old bridge. "
+    docs = spark.createDataFrame([(i, prose * 2 if i % 2 else "BUY!! NOW!! CHEAP!! " * 10) for i in range(60)] + [(99, "")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in quality.classify_quality(docs, sample_bytes=10).collect()}
+    assert all(got[i]["kept"] == bool(i % 2) for i in range(60)) and got[99]["quality"] == 0
+    assert all(got[i]["quality"] == got[i]["posterior"] for i in range(60))

@@ -1,7 +1,11 @@
 import hashlib
 import re
+import time
+
+import pytest
 
 from tesseral.llm import secrets
+from tesseral.llm.secrets import literal_spans
 from tesseral.llm.queries import op4_secret_scan
 
 FORMS = {
@@ -122,3 +126,54 @@ def test_odd_rows(odd, none):
     assert {s["kind"] for s in got[11]} >= {"assign", "access"}
     assert secrets.scan_secrets(odd).count() == odd.count()
     assert secrets.scan_secrets(none).count() == 0
+
+
+V = "Zx81Qp09LmNnOo22"
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        f"Authorization: Bearer {V}",
+        f'#define API_SECRET "{V}"',
+        f"set password {V}",
+        f"signing_key: >-\n  {V}",
+        f"signing_key: |+\n  {V}",
+        f"password += '{V}'",
+        f"password ||= '{V}'",
+        f'token = env.get() or x\nprocess.env.PASSWORD ?? "{V}"',
+        f'pwd -> "{V}"',
+        f'config.set("api_secret", "{V}")',
+        f"password = a = b = '{V}'",
+    ],
+)
+def test_more_forms(text):
+    at = text.index(V)
+    assert (at, at + len(V)) in {(s.start, s.end) for s in literal_spans(text)}
+
+
+def test_forms_that_are_none():
+    for text in ("set password rules for the office", "the token bearer said no", 'config.set("colour", "Zx81Qp09LmNnOo22")', "x -> 'short'", "#define WIDTH 12"):
+        assert not literal_spans(text), text
+
+
+@pytest.mark.parametrize(
+    "make",
+    [
+        lambda n: "token = " + "a = " * n + "'Zx81Qp09LmNnOo22'",
+        lambda n: "token = " + "a = " * n + " + ".join(["b"] * n),
+        lambda n: "token = " + "\"x1\" + " * n + "'Zx81Qp09LmNnOo22'",
+        lambda n: "token = [" * n + "'Zx81Qp09LmNnOo22'",
+        lambda n: "token:\n" * n,
+        lambda n: "password" + " + + " * n + "= 'x1'",
+    ],
+)
+def test_time_follows_the_text(make):
+    def took(n):
+        text = make(n)
+        began = time.process_time()
+        literal_spans(text)
+        return time.process_time() - began
+
+    took(100)
+    assert took(24_000) < 12 * took(4_000) + 0.5
