@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesseral.operators import regions
+from tesseral.operators import regions, scans
 from tesseral.plans import fixtures, oracles, queries, scenario
 from tesseral.plans.fixtures import END_S, START_S
 from tesseral.sources import obj, tables
@@ -188,3 +188,32 @@ ORACLE_SQL["merge_one_pair"] = f"""with {oracles.CTE["cells"]}, pairs as (
   one as (select * from (select *, row_number() over (partition by region_id order by axis, zx, zy, px, py) as n from pairs) where n = 1)
 select region_id, zx, zy, vx, vy from (select distinct region_id, zx, vx, zy, vy from cells) c anti join (select region_id, zx, zy, case when axis = 1 then px * 2 + b else px end as vx, case when axis = 2 then py * 2 + b else py end as vy from one, (values (0), (1)) t(b)) g using (region_id, zx, zy, vx, vy)
 union select region_id, case when axis = 1 then zx - 1 else zx end, case when axis = 2 then zy - 1 else zy end, px, py from one"""
+
+
+@query
+def merge_intervals_in_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """The intervals of each key, joined, by ranges of key and time."""
+    return scans.merged_intervals(fixtures.intervals(spark, sf), ["key"])
+
+
+@query
+def canonical_order_in_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """The canonical place of each cell in its region, by ranges of region and cell."""
+    order = ["flags", "zx", "zy", "zf", "zt", "vx", "vy", "vf", "vt"]
+    return scans.ranked(fixtures.cells(spark, sf), ["region_id", "side"], order).select("region_id", "side", "zx", "zy", "vx", "vy", "rank")
+
+
+@query
+def asof_in_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """The latest sample before each instant asked for, by ranges of flight and time; the last one holds on after a flight's end."""
+    samples = fixtures.flight_samples(spark, sf).groupBy("flight_id", "epoch_s").agg(F.max("amsl_m").alias("amsl_m"))
+    asked = samples.select((F.col("flight_id") % 41).alias("flight_id"), (F.col("epoch_s") * 7 % 8000 + START_S - 400).alias("epoch_s")).distinct()
+    found = scans.asof(asked, samples, ["flight_id"], "epoch_s", "epoch_s")
+    return found.select("flight_id", "epoch_s", F.coalesce("s_epoch_s", F.lit(-1)).alias("s_epoch_s"), F.coalesce("s_amsl_m", F.lit(-1.0)).alias("s_amsl_m"))
+
+
+ORACLE_SQL["merge_intervals_in_ranges"] = oracles.O["merge_intervals"]
+ORACLE_SQL["canonical_order_in_ranges"] = oracles.O["canonical_order"]
+ORACLE_SQL["asof_in_ranges"] = f"""with {oracles.CTE["samples"]}, s as (select flight_id, epoch_s, max(amsl_m) as amsl_m from samples group by 1, 2),
+  q as (select distinct flight_id % 41 as flight_id, epoch_s * 7 % 8000 + {START_S - 400} as epoch_s from s)
+select q.flight_id, q.epoch_s, coalesce(s.epoch_s, -1) as s_epoch_s, coalesce(s.amsl_m, -1e0) as s_amsl_m from q asof left join s on q.flight_id = s.flight_id and q.epoch_s >= s.epoch_s"""
