@@ -90,3 +90,9 @@ def resolve_height_origin(given: float | None, stored: float | None, low: float,
         if value is not None:
             return float(value)
     return height_boundary_near_zero(low, high, zoom)
+
+
+def height_origin(given: Column, stored: Column, low: float, high: float, zoom: Column) -> Column:
+    """resolve_height_origin as a column; nulls are altitudes that aren't given or stored."""
+    step = F.lit(high - low) / F.pow(F.lit(2.0), zoom)
+    return F.coalesce(given.cast("double"), stored.cast("double"), F.lit(low) + F.rint(F.lit(-low) / step) * step)

@@ -342,7 +342,8 @@ O["flood_fill"] = _with("shell", _cube, _close, _box, _face, "em as (select b.*
 select region_id, ix, iy, ih from cl union (select * from em except select * from fl)"""
 O["same_domain"] = _PAIRS + "select point_id, " + " and ".join(f"l_on{a} = r_on{a}" for a in AX) + " as same from p"
 O["castle_bounds"] = _with("points") + f"select point_id, round(-16383e0 + {f_linear('alt', 14)} * (32767e0 / 16384) - 12.5e0, 6) as low_u, round(-16383e0 + ({f_linear('alt', 14)} + 1) * (32767e0 / 16384) - 12.5e0, 6) as high_u from points"
-O["height_origins"] = "select z::int as zoom, round(-16383e0 + round_even(16383e0 / (32767e0 / (1 << z::int)), 0) * (32767e0 / (1 << z::int)), 6) as origin_m from range(4, 20) t(z)"
+O["height_origins"] = """select s_suppkey as site, (4 + s_suppkey % 16)::int as zoom, round(coalesce(case when s_suppkey % 5 = 0 then s_acctbal end, case when s_suppkey % 3 = 0 then s_suppkey * 0.5e0 end,
+  -16383e0 + round_even(16383e0 / (32767e0 / (1 << (4 + s_suppkey % 16)::int)), 0) * (32767e0 / (1 << (4 + s_suppkey % 16)::int))), 6) as origin_m from supplier"""
 _W = "(1 - 6.69437999014e-3 * pow(sin(radians(37.5e0)), 2))"
 _RN, _RE = f"(6378137e0 * (1 - 6.69437999014e-3) / pow({_W}, 1.5e0))", f"(6378137e0 / sqrt({_W}) * cos(radians(37.5e0)))"
 _CLOUD = "cloud as (select point_id, region_id, (lon - 139.95e0) * 88000 as e, (lat - 37.5e0) * 111000 as n, alt as u from points)"
@@ -367,7 +368,8 @@ O["local_boxes"] = _with("points", _BOXES) + "select point_id, " + ", ".join(f"r
 O["largest_boxes"] = _with("points", _BOXES) + "select region_id, round(max((high_e - low_e) * (high_n - low_n) * (high_u - low_u)), 2) as volume from bx group by 1"
 O["prefix_durations"] = _with("intervals", "k as (select event_id, start_s, end_s, k::int as k, (start_s + (1::bigint << k::int) - 1) >> k::int as l, end_s >> k::int as r from intervals, range(0, 31) t(k) where end_s > start_s)",
   "z as (select event_id, k from k where l < r and l % 2 = 1 union all select event_id, k from k where l < r and r % 2 = 1)") + "select event_id, (select end_s - start_s from intervals i where i.event_id = z.event_id) as seconds, count(*) as prefixes from z group by event_id"
-O["departures"] = f"select t as departure_s, strftime(to_timestamp(t) at time zone 'UTC', '%Y-%m-%dT%H:%M:%SZ') as utc, strftime(to_timestamp(t) at time zone 'Asia/Tokyo', '%Y-%m-%dT%H:%M:%S+09:00') as jst from range({START_S}, {END_S + 1}, 180) r(t)"
+O["departures"] = f"""with h as (select s_suppkey as flight_id, {START_S} + (row_number() over (order by s_suppkey) - 1) * 180 as t, row_number() over (order by ((s_suppkey * 48271 + 11) % 2147483647 * 48271 + 11) % 2147483647, s_suppkey) as turn from supplier)
+select flight_id, t as departure_s, strftime(to_timestamp(t) at time zone 'UTC', '%Y-%m-%dT%H:%M:%SZ') as utc, strftime(to_timestamp(t) at time zone 'Asia/Tokyo', '%Y-%m-%dT%H:%M:%S+09:00') as jst, ([5e0, 8e0, 10e0])[turn % 3 + 1] as cruise_speed_mps from h"""
 O["route_pairs"] = "with h as (select s_suppkey as flight_id, (s_suppkey * 48271 + 11) % 2147483647 as h, (select count(*) from nation) as n from supplier) select flight_id, h % n as origin, (h % n + (h * 48271 + 11) % 2147483647 % (n - 1) + 1) % n as destination from h"
 O["coverage_lookup"] = _with("samples", _RES, _OVER, f"qa as (select distinct {x_tile('lon', 21)} as x21, {y_tile('lat', 21)} as y21, {f_tile('amsl_m', 12)} as h12, epoch_s from samples)") + """
 select qa.*, coalesce(max(coverage), 1) as coverage from qa left join (select * from seg where coverage >= 2) s on s.x21 = qa.x21 and s.y21 = qa.y21 and s.h12 = qa.h12 and s.start_s <= qa.epoch_s and qa.epoch_s < s.end_s group by all"""
@@ -401,4 +403,6 @@ O["representation_totals"] = _with("samples", _RES, _OVER, *_NORMAL, """
 O["cell_json"] = _with("grid") + """select distinct 'bitmap' as kind, 5::int as zx, ix as vx, 5::int as zy, iy as vy, 2::int as zf, ih as vf, round(-180e0 + ix * (360e0 / 32), 6) as west,
   round(degrees(atan(sinh(pi() * (1e0 - 2e0 * iy / 32)))), 6) as north, round(-16383e0 + (ih << 30) / 4294967295e0 * 32767e0, 6) as bottom from grid"""
 O["canonical_order"] = _with("cells") + "select region_id, side, zx, zy, vx, vy, row_number() over (partition by region_id, side order by zx, zy, vx, vy)::int as rank from cells"
-O["generated_regions"] = "select * from (values ('antichain_1d', 4096::bigint, 4096::bigint), ('antichain_4d', 1024, 1024), ('merge_heavy_1d', 4096, 2), ('anisotropic_2d', 4096, 4), ('all_cells_2d', 900, 4)) t(name, cells, normal)"
+O["generated_regions"] = """with g as (select c_nationkey as region, count(*) as n from customer group by 1)
+select region, 'antichain_1d' as shape, n as cells, n as normal from g union all select region, 'antichain_4d', n, n from g union all select region, 'merge_heavy_1d', n, bit_count(n)::bigint from g
+union all select region, 'anisotropic_2d', n // 2 * 2, 2 * bit_count(n // 2)::bigint from g where n >= 2"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesseral.functions import codec, geo
@@ -635,9 +635,9 @@ def castle_bounds(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def height_origins(spark: SparkSession, sf: str) -> DataFrame:
-    """The layer edge nearest to altitude 0 by zoom."""
-    rows = [(z, geo.resolve_height_origin(None, None, codec.F_LOW, codec.F_HIGH, z)) for z in range(4, 20)]
-    return spark.createDataFrame(rows, "zoom int, origin double").select("zoom", F.round("origin", 6).alias("origin_m"))
+    """The altitude of each site's local zero: given, stored with its data, or the layer edge nearest to altitude 0."""
+    sites = spark.read.parquet(f"{sf}/supplier.parquet").selectExpr("s_suppkey as site", "cast(4 + s_suppkey % 16 as int) as zoom", "case when s_suppkey % 5 = 0 then s_acctbal end as given", "case when s_suppkey % 3 = 0 then s_suppkey * 0.5D end as stored")
+    return sites.select("site", "zoom", F.round(geo.height_origin(F.col("given"), F.col("stored"), codec.F_LOW, codec.F_HIGH, F.col("zoom")), 6).alias("origin_m"))
 
 
 _ANCHOR = (37.5, 139.95)
@@ -704,7 +704,10 @@ def prefix_durations(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def departures(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame([(t,) for t in airspace.departure_slots(START_S, END_S)], "departure_s long").select("departure_s", codec.to_iso(F.col("departure_s")).alias("utc"), codec.to_iso_jst(F.col("departure_s")).alias("jst"))
+    """A slot and a cruise speed for every supplier's flight."""
+    flights = spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_suppkey").alias("flight_id"))
+    made = airspace.scheduled(flights, START_S)
+    return made.select("flight_id", "departure_s", codec.to_iso(F.col("departure_s")).alias("utc"), codec.to_iso_jst(F.col("departure_s")).alias("jst"), "cruise_speed_mps")
 
 
 @query
@@ -748,12 +751,11 @@ def canonical_order(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def generated_regions(spark: SparkSession, sf: str) -> DataFrame:
-    """How many cells the benchmark's regions have before and after normalising."""
+    """The benchmark's shapes with a cell for each customer of a nation: how many cells they have before and after normalising."""
+    from tesseral.operators.regions import normalize_counters
+    from tesseral.operators.scans import ranked
     from tesseral.sources import generators
 
-    made = {"antichain_1d": generators.antichain_1d(spark, 4096), "antichain_4d": generators.antichain_4d(spark, 1024), "merge_heavy_1d": generators.merge_heavy_1d(spark, 4096), "anisotropic_2d": generators.anisotropic_merge_2d(spark, 4096), "all_cells_2d": generators.all_cells(spark, 4, "xy")}
-    out = None
-    for name, cells in made.items():
-        row = cells.agg(F.count("*").alias("cells")).crossJoin(algebra.normalize(cells).agg(F.count("*").alias("normal"))).select(F.lit(name).alias("name"), "cells", "normal")  # one row each
-        out = row if out is None else out.unionByName(row)
-    return out
+    customers = ranked(spark.read.parquet(f"{sf}/customer.parquet").select("c_nationkey", "c_custkey"), ["c_nationkey"], ["c_custkey"])
+    made = generators.shapes(customers.select(F.col("c_nationkey").alias("region"), (F.col("rank") - 1).cast("long").alias("i"), F.count("*").over(Window.partitionBy("c_nationkey")).alias("n")))
+    return normalize_counters(made, ["region", "shape"]).select("region", "shape", "cells", "normal")

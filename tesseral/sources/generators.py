@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 from tesseral.functions.cells import AXES, BIT, CELL
 
 
-def _cells(df: DataFrame, **axes: tuple[int | Column, Column]) -> DataFrame:
+def _columns(**axes: tuple[int | Column, Column]) -> list[Column]:
     out = {"flags": F.lit(sum(BIT[a] for a in axes)).cast("int")}
     for a in AXES:
         z, v = axes.get(a, (0, F.lit(0)))
         out[f"z{a}"] = (F.lit(z) if isinstance(z, int) else z).cast("int")
         out[f"v{a}"] = v.cast("long")
-    return df.select(*[out[c].alias(c) for c in CELL])
+    return [out[c].alias(c) for c in CELL]
+
+
+def _cells(df: DataFrame, **axes: tuple[int | Column, Column]) -> DataFrame:
+    return df.select(*_columns(**axes))
 
 
 def antichain_1d(spark: SparkSession, n: int, zoom: int = 24) -> DataFrame:
@@ -84,3 +88,18 @@ def region_pairs(spark: SparkSession, regions: int, cells: int, zoom: int = 5, s
     at = lambda k, z, o: F.when(nested, F.pmod(F.xxhash64(F.lit(seed * 32 + k), "id"), power(o)) * (F.col("side") + 1) + F.when(F.col("side") == 1, pick(k + 8, F.lit(2))).otherwise(0)).otherwise(pick(k + 16, power(z)))
     made = {"flags": F.lit(12).cast("int"), "zx": zx.cast("int"), "zy": zy.cast("int"), "vx": at(4, zx, outer[0]), "vy": at(5, zy, outer[1])}
     return rows.select("region_id", "side", *[made.get(c, F.lit(0)).cast("int" if c[0] != "v" else "long").alias(c) for c in CELL]).distinct()
+
+
+def shapes(rows: DataFrame, zoom: int = 24) -> DataFrame:
+    """Rows region, shape and cells: for a region of n rows (region, i from 0, n) an antichain on one axis and on four, a run, and a block two rows high."""
+    i, half = F.col("i"), F.floor(F.col("n") / 2).cast("long")
+    block = F.when(i < half * 2, F.col("i") % F.greatest(half, F.lit(1)))
+    made = {
+        "antichain_1d": (rows, {"x": (zoom, i * 2)}), "antichain_4d": (rows, {a: (zoom, i * 2) for a in AXES}), "merge_heavy_1d": (rows, {"x": (zoom, i)}),
+        "anisotropic_2d": (rows.where(i < half * 2), {"x": (zoom, block), "y": (1, F.floor(i / F.greatest(half, F.lit(1))))}),
+    }
+    out = None
+    for name, (df, axes) in made.items():
+        part = df.select("region", F.lit(name).alias("shape"), *_columns(**axes))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -80,3 +80,15 @@ def test_overlaps_by_steps(spark, most):
     got = joins.overlap_join(a, b, by=["region"], most=most)
     assert got.columns == [*key, *["r_" + c for c in key]]
     assert rows_of(got) == rows_of(joins.overlap_join(a, b, by=["region"], most=10**6)) != []
+
+
+def test_scheduled_flights(spark):
+    from collections import Counter
+
+    from tesseral.plans import airspace
+
+    rows = airspace.scheduled(spark.range(0, 700, 7).withColumnRenamed("id", "flight_id"), 1000, 60).orderBy("flight_id").collect()
+    assert [r["departure_s"] for r in rows] == [1000 + 60 * i for i in range(100)]
+    speeds = [r["cruise_speed_mps"] for r in rows]
+    assert sorted(Counter(speeds).values()) == [33, 33, 34] and speeds != sorted(speeds)
+    assert airspace.scheduled(spark.range(0).withColumnRenamed("id", "flight_id"), 0).count() == 0
