@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tesseral.functions import codec, geo
 from tesseral.functions.cells import shr
+from tesseral.operators.graph import components
 from tesseral.operators.lineage import cut
 
 GRID = ("ix", "iy", "ih")
@@ -89,31 +90,34 @@ def directional_fill(shell: DataFrame, sides: Sequence[str] = ("west", "east", "
 def flood_fill(shell: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """The shell and all empty voxels that can't be reached from outside through faces.
 
-    The empty voxels of the bounding box, one wider on each side, are runs along x. Runs that touch the box's sides are
-    outside, and so is whatever touches these; each step marks the runs next to those marked last, until there are none.
+    Only the gaps between neighbours of a row along x can be inside; they are the nodes of a graph, however far apart the shell's voxels are. A gap is
+    open if a row beside it has no shell, or none before or behind the gap's ends. Two gaps of rows side by side are linked if they
+    overlap, and then one of them holds the other's first voxel: for each gap the last one of each row beside it that
+    begins no later is looked at, in one scan of the rows. Components with an open gap are outside.
     """
     shell = cut(shell.select(*by, *GRID).distinct())
-    box = shell.groupBy(*by).agg(*[f(c).alias(n) for c in GRID for f, n in ((F.min, f"_{c}0"), (F.max, f"_{c}1"))])
-    rows = box.withColumn("iy", F.explode(F.sequence(F.col("_iy0") - 1, F.col("_iy1") + 1))).withColumn("ih", F.explode(F.sequence(F.col("_ih0") - 1, F.col("_ih1") + 1)))
-    marks = rows.select(*by, "iy", "ih", (F.col("_ix0") - 2).alias("ix")).unionByName(rows.select(*by, "iy", "ih", (F.col("_ix1") + 2).alias("ix"))).unionByName(shell)
-    order = Window.partitionBy(*by, "iy", "ih").orderBy("ix")
-    runs = marks.withColumn("_next", F.lead("ix").over(order)).where("_next > ix + 1").select(*by, "iy", "ih", (F.col("ix") + 1).alias("a"), (F.col("_next") - 1).alias("b"))
-    joined = runs.join(box, list(by)) if by else runs.crossJoin(F.broadcast(box))  # without `by` the box is one row
-    border = (F.col("a") < F.col("_ix0")) | (F.col("b") > F.col("_ix1")) | (F.col("iy") < F.col("_iy0")) | (F.col("iy") > F.col("_iy1")) | (F.col("ih") < F.col("_ih0")) | (F.col("ih") > F.col("_ih1"))
-    runs = cut(joined.select(*by, "iy", "ih", "a", "b", border.alias("out")))
-    outside = runs.where("out").drop("out")
-    fresh, inside = outside, cut(runs.where("not out").drop("out"))
-    while True:
-        steps4 = F.explode(F.array(*[F.struct(F.lit(y).cast("long").alias("y"), F.lit(h).cast("long").alias("h")) for y, h in ((1, 0), (-1, 0), (0, 1), (0, -1))]))
-        reach = fresh.withColumn("_s", steps4).select(*[F.col(c).alias("_" + c) for c in by], (F.col("iy") + F.col("_s.y")).alias("_y"), (F.col("ih") + F.col("_s.h")).alias("_h"), F.col("a").alias("_a"), F.col("b").alias("_b"))
-        test = (F.col("iy") == F.col("_y")) & (F.col("ih") == F.col("_h")) & (F.col("a") <= F.col("_b")) & (F.col("b") >= F.col("_a"))
-        for c in by:
-            test = test & F.equal_null(c, "_" + c)
-        fresh = cut(inside.join(reach, test, "left_semi"))
-        if fresh.isEmpty():
-            filled = inside.withColumn("ix", F.explode(F.sequence("a", "b"))).select(*by, *GRID)
-            return shell.unionByName(filled)
-        inside = cut(inside.join(fresh, [*by, "iy", "ih", "a", "b"], "left_anti"))
+    row = [*by, "iy", "ih"]
+    gaps = shell.withColumn("_next", F.lead("ix").over(Window.partitionBy(*row).orderBy("ix"))).where("_next > ix + 1")
+    gaps = cut(gaps.select(*row, (F.col("ix") + 1).alias("a"), (F.col("_next") - 1).alias("b")).withColumn("node", F.monotonically_increasing_id()))
+    ends = shell.groupBy(*row).agg(F.min("ix").alias("first"), F.max("ix").alias("last"))
+    around = F.explode(F.array(*[F.struct(F.lit(y).cast("long").alias("y"), F.lit(h).cast("long").alias("h")) for y, h in ((1, 0), (-1, 0), (0, 1), (0, -1))]))
+    asked = gaps.withColumn("_d", around).withColumns({"iy": F.col("iy") + F.col("_d.y"), "ih": F.col("ih") + F.col("_d.h")}).drop("_d")
+    same = None
+    for c in row:
+        test = F.equal_null(F.col("q." + c), F.col("e." + c))
+        same = test if same is None else same & test
+    beside = asked.alias("q").join(ends.alias("e"), same, "left")
+    opened = beside.where("e.first is null or q.a < e.first or q.b > e.last").select("q.node").distinct()
+    both = gaps.select(*row, "a", F.lit(0).alias("_kind"), F.struct("b", "node").alias("_gap"), F.lit(None).cast("long").alias("_from"))
+    both = both.unionByName(asked.select(*row, "a", F.lit(1).alias("_kind"), F.lit(None).cast("struct<b:bigint,node:bigint>").alias("_gap"), F.col("node").alias("_from")))
+    upto = Window.partitionBy(*row).orderBy("a", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    links = both.withColumn("_held", F.last("_gap", ignorenulls=True).over(upto)).where("_kind = 1 and _held.b >= a")
+    links = links.select(F.col("_from").alias("u"), F.col("_held.node").alias("v"))
+    alone = gaps.select(F.col("node").alias("u"), F.col("node").alias("v"))
+    rooted = cut(components(links.unionByName(alone)).withColumnRenamed("node", "_node").join(gaps, F.col("_node") == F.col("node")).drop("_node"))
+    outside = rooted.join(opened, "node").select("root").distinct()
+    filled = rooted.join(outside, "root", "left_anti").withColumn("ix", F.explode(F.sequence("a", "b"))).select(*by, *GRID)
+    return shell.unionByName(filled)
 
 
 def boundary(solid: DataFrame, by: Sequence[str] = ()) -> DataFrame:
