@@ -140,18 +140,29 @@ def classify_exposed(raw: DataFrame, closed: DataFrame, solid: DataFrame, by: Se
 
 
 def max_inscribed(voxels: DataFrame, most: tuple[int, int, int], by: Sequence[str] = ()) -> DataFrame:
-    """The largest aligned dyadic blocks that are full: rows dx, dy, dh (by how many bits coarser), bx, by, bh, atoms.
+    """The largest aligned dyadic blocks that are full: rows dx, dy, dh (by how many bits coarser), bx, by, bh, atoms, for all ties.
 
-    All shapes up to `most` bits are counted in one grouping; all ties for the largest are returned.
+    Full blocks are found as a pyramid, axis by axis: a block is full if both its halves are. A level has at most half the blocks of the one
+    below, and where it has none the axis ends, so in all at most eight times the voxels are moved, whatever `most` is.
     """
-    shapes = F.array(*[F.struct(*[F.lit(d).alias(n) for d, n in zip(s, ("dx", "dy", "dh"), strict=True)]) for s in ((a, b, c) for a in range(most[0] + 1) for b in range(most[1] + 1) for c in range(most[2] + 1))])
-    rows = voxels.select(*by, *GRID).distinct().withColumn("_s", F.explode(shapes))
-    rows = rows.select(*by, "_s.*", *[shr(F.col(g), F.col(f"_s.{d}")).alias(b) for g, d, b in (("ix", "dx", "bx"), ("iy", "dy", "by"), ("ih", "dh", "bh"))])
-    full = rows.groupBy(*by, "dx", "dy", "dh", "bx", "by", "bh").agg(F.count("*").alias("atoms")).where(F.col("atoms") == F.call_function("shiftleft", F.lit(1).cast("long"), F.col("dx") + F.col("dy") + F.col("dh")))
-    best = full.groupBy(*by).agg(F.max("atoms").alias("_most"))
-    if by:
-        return full.join(best, list(by)).where("atoms = _most").drop("_most")
-    return full.crossJoin(F.broadcast(best)).where("atoms = _most").drop("_most")  # one row
+    block, depth = ["bx", "by", "bh"], ["dx", "dy", "dh"]
+    full = cut(voxels.select(*[F.col(c).alias(f"_k_{c}") for c in by], *[F.col(g).alias(b) for g, b in zip(GRID, block, strict=True)], *[F.lit(0).alias(d) for d in depth]).distinct())
+    keys = [f"_k_{c}" for c in by]
+    for d, b, bits in zip(depth, block, most, strict=True):
+        level = full
+        for _ in range(bits):
+            rest = [*keys, *[c for c in (*block, *depth) if c != b]]
+            level = level.groupBy(*rest, shr(F.col(b), 1).alias(b)).agg(F.count("*").alias("_n")).where("_n = 2").drop("_n")
+            level = cut(level.withColumn(d, (F.col(d) + 1).cast("int")))
+            if level.isEmpty():
+                break
+            full = full.unionByName(level)
+    sized = full.withColumn("atoms", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("dx") + F.col("dy") + F.col("dh")))
+    ranked = sized.groupBy(*keys).agg(F.max("atoms").alias("_most")) if by else sized.agg(F.max("atoms").alias("_most"))
+    same = F.col("s.atoms") == F.col("m._most")
+    for k in keys:
+        same = same & F.equal_null(F.col("s." + k), F.col("m." + k))
+    return sized.alias("s").join(ranked.alias("m"), same).select(*[F.col(f"s._k_{c}").alias(c) for c in by], *[F.col("s." + c) for c in (*depth, *block, "atoms")])
 
 
 def set_sizes(raw: DataFrame, closed: DataFrame, solid: DataFrame, by: Sequence[str] = ()) -> DataFrame:
