@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesseral.functions import geodesic
 from tesseral.operators import regions, scans
 from tesseral.plans import fixtures, oracles, queries, scenario
 from tesseral.plans.fixtures import END_S, START_S
@@ -217,3 +218,33 @@ ORACLE_SQL["canonical_order_in_ranges"] = oracles.O["canonical_order"]
 ORACLE_SQL["asof_in_ranges"] = f"""with {oracles.CTE["samples"]}, s as (select flight_id, epoch_s, max(amsl_m) as amsl_m from samples group by 1, 2),
   q as (select distinct flight_id % 41 as flight_id, epoch_s * 7 % 8000 + {START_S - 400} as epoch_s from s)
 select q.flight_id, q.epoch_s, coalesce(s.epoch_s, -1) as s_epoch_s, coalesce(s.amsl_m, -1e0) as s_amsl_m from q asof left join s on q.flight_id = s.flight_id and q.epoch_s >= s.epoch_s"""
+
+
+@query
+def cloud_azimuthal(spark: SparkSession, sf: str) -> DataFrame:
+    """Points in metres about the anchor to degrees on the ellipsoid, and back to millimetres."""
+    there = geodesic.enu_to_wgs84(queries._cloud(spark, sf), F.col("e"), F.col("n"), *queries._ANCHOR)
+    back = geodesic.wgs84_to_enu(there, F.col("lat"), F.col("lon"), *queries._ANCHOR, ("e2", "n2"))
+    return back.select("point_id", F.round("lat", 8).alias("lat"), F.round("lon", 8).alias("lon"), F.round("e2", 3).alias("e"), F.round("n2", 3).alias("n"))
+
+
+def _direct_sql() -> str:
+    """Vincenty's direct series from the anchor, a step a table."""
+    f, a = geodesic.FLAT, geodesic.A_M
+    b = a * (1 - f)
+    steps = [
+        "radians(37.5e0) as p, atan2(e, n) as z, sqrt(e * e + n * n) as d", f"atan({1 - f!r} * tan(p)) as uu", "atan2(tan(uu), cos(z)) as s1, cos(uu) * sin(z) as sine", "1 - sine * sine as sq",
+        f"sq * {(a * a - b * b) / (b * b)!r} as w", f"d / ({b!r} * (1 + w / 16384 * (4096 + w * (-768 + w * (320 - 175 * w))))) as s0, w / 1024 * (256 + w * (-128 + w * (74 - 47 * w))) as bb", "s0 as g0",
+    ]
+    for i in range(5):
+        steps += [f"cos(2 * s1 + g{i}) as m{i}", f"s0 + bb * sin(g{i}) * (m{i} + bb / 4 * (cos(g{i}) * (2 * m{i} * m{i} - 1) - bb / 6 * m{i} * (4 * sin(g{i}) * sin(g{i}) - 3) * (4 * m{i} * m{i} - 3))) as g{i + 1}"]
+    steps += [
+        f"cos(2 * s1 + g5) as m, {f / 16!r} * sq * (4 + {f!r} * (4 - 3 * sq)) as c", "sin(uu) * sin(g5) - cos(uu) * cos(g5) * cos(z) as x",
+        f"degrees(atan2(sin(uu) * cos(g5) + cos(uu) * sin(g5) * cos(z), {1 - f!r} * sqrt(sine * sine + x * x))) as la, "
+        f"139.95e0 + degrees(atan2(sin(g5) * sin(z), cos(uu) * cos(g5) - sin(uu) * sin(g5) * cos(z)) - (1 - c) * {f!r} * sine * (g5 + c * sin(g5) * (m + c * cos(g5) * (2 * m * m - 1)))) as lo",
+    ]
+    tables = [f"d{i} as (select *, {s} from {f'd{i - 1}' if i else 'cloud'})" for i, s in enumerate(steps)]
+    return oracles._with("points", oracles._CLOUD, *tables) + f"select point_id, round(case when d = 0 then 37.5e0 else la end, 8) as lat, round(case when d = 0 then 139.95e0 else lo end, 8) as lon, round(e, 3) as e, round(n, 3) as n from d{len(steps) - 1}"
+
+
+ORACLE_SQL["cloud_azimuthal"] = _direct_sql()
