@@ -86,6 +86,8 @@ def _zoom_step(sides: Sequence[DataFrame], most: int) -> int:
     steps = list(STEPS)
     for df in sides:
         vectors = df.select("flags", *ZOOMS).distinct()
+        if vectors.limit(most + 1).count() <= most:
+            continue
         counts = vectors.agg(*[F.countDistinct("flags", *[_step_zoom(F.col(z), s) for z in ZOOMS]).alias(str(s)) for s in steps]).first()
         steps = [s for s in steps if counts[str(s)] <= most] or steps[-1:]
     return steps[0]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from tesseral.functions import codec
-from tesseral.plans import airspace, compression, fixtures, oracles
+from tesseral.plans import airspace, compression, extended, fixtures, oracles
 from tesseral.plans import queries as catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -26,13 +26,16 @@ def rows_of(columns, rows):
     return sorted(repr(tuple(r[i] for i in order)) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+QUERIES, SQL = {**catalogue.QUERIES, **extended.QUERIES}, {**oracles.ORACLE_SQL, **extended.ORACLE_SQL}
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    got = catalogue.QUERIES[name](spark, SF)
+    got = QUERIES[name](spark, SF)
     rows = got.collect()
-    assert name in oracles.ORACLE_SQL or rows, "a query without SQL has rows at least"
-    if name in oracles.ORACLE_SQL:
-        want = duck.sql(oracles.ORACLE_SQL[name])
+    assert name in SQL or rows, "a query without SQL has rows at least"
+    if name in SQL:
+        want = duck.sql(SQL[name])
         assert sorted(got.columns) == sorted(want.columns)
         assert rows_of(got.columns, map(tuple, rows)) == rows_of(want.columns, want.fetchall())
 
