@@ -91,6 +91,22 @@ def test_scenario_document(spark, tmp_path):
     assert all(f["conformance"]["applicable"] == f["conformance"]["inside"] + f["conformance"]["outside"] for f in doc["flights"])
 
 
+def test_scenario_of_flights_without_reservations(spark, tmp_path):
+    """A flight that never cruises holds nothing, and its document can be read all the same."""
+    some = flights(spark, SF)
+    still = some.where("flight_id = 1").withColumns({"flight_id": F.lit(900).cast("long"), "destination_lat": F.col("origin_lat"), "destination_lon": F.col("origin_lon")})
+    late = some.where("flight_id = 2").withColumns({"flight_id": F.lit(901).cast("long"), "departure_s": F.lit(END_S + 60).cast("long")})
+    made = scenario.plan_scenario(some.unionByName(still).unionByName(late), START_S, END_S)
+    path = f"file://{tmp_path}/r.json"
+    scenario.write_scenario_document(made, path)
+    doc = {f["flight_id"]: f for f in json.loads((tmp_path / "r.json").read_text())["flights"]}
+    assert doc["900"]["reservation"]["dynamic_atoms"] == doc["901"]["reservation"]["dynamic_atoms"] == doc["901"]["nominal_trajectory"] == doc["901"]["actual_trajectory"] == []
+    assert tables.read_scenario(spark, path).count() == made.reserved.count()
+    assert json.loads((tmp_path / "r.json").read_text())["totals"]["flights.reservation.dynamic_atoms"] == sum(len(f["reservation"]["dynamic_atoms"]) for f in doc.values())
+    read = {r["flight_id"]: r for r in scenario.read_flights(spark, path).collect()}
+    assert read["901"]["nominal_samples"] == 0 and read["900"]["dynamic_atom_count"] == 0
+
+
 def test_scenario_without_flights(spark, tmp_path):
     none = scenario.plan_scenario(flights(spark, SF).limit(0), START_S, END_S)
     scenario.write_scenario_document(none, f"file://{tmp_path}/n.json")
