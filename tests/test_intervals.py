@@ -101,3 +101,12 @@ def test_interval_and_asof_joins(spark):
             past = [x for x in own if x[1] <= r["t"]]
             known = past and (not within or r["t"] <= own[-1][1])
             assert r["s_name"] == (past[-1][2] if known else None)
+
+
+def test_what_explode_made_of_a_row_is_not_broadcast(spark):
+    """Its size is told from the row alone; the driver could not hold it."""
+    many = spark.range(1).selectExpr("1 as key", "explode(sequence(0L, 99L)) as start_s").selectExpr("key", "start_s % 7 as member", "start_s", "start_s + 5 as end_s")
+    asked = many.selectExpr("key", "start_s as t")
+    for made in (joins.dyadic_interval_join(asked, many, ["key"], "t"), intervals.active_sets(many, ["key"], "member")):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
