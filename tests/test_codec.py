@@ -133,3 +133,17 @@ def test_sql_functions(spark):
     assert sorted((r["vt"] << (32 - r["zt"]), (r["vt"] + 1) << (32 - r["zt"])) for r in cover) == [(3, 4), (4, 8), (8, 16), (16, 17)]
     assert sorted(map(tuple, spark.sql("select * from tess_refine(5, 3)").collect())) == [(4, 10), (4, 11)]
     assert spark.sql("select tess_compatible(5, 3, 2, 2), tess_subsumes(5, 3, 2, 2), tess_subsumes(2, 2, 5, 3), tess_prefix_bits(5, 4), tess_time_block(30)").first()[:] == (True, False, True, "0101", 4)
+
+
+def test_bytes_of_ids_take_no_steps_by_digit(spark):
+    """IDs of all lengths, and longer strings; up to the longest ID no array of digits is made."""
+    rnd = random.Random(6)
+    texts = ["".join(rnd.choice("01") for _ in range(n)) for n in [*range(1, 160), 192, 193, 200, 500]]
+    df = spark.createDataFrame([(t,) for t in texts], "b string")
+    made = {r["b"]: bytes(r["x"]) for r in df.select("b", codec.id_bytes(F.col("b")).alias("x")).collect()}
+    assert made == {t: int(t.ljust(-(-len(t) // 8) * 8, "0"), 2).to_bytes(-(-len(t) // 8), "big") for t in texts}
+    ids = ["0000", "1000" + "00111" + "10101010", "1111" + "11111" * 4 + "1" * 128, "0101" + "00000" + "11111" + "0" + "01" * 16]
+    raw = spark.createDataFrame([(t, int(t.ljust(-(-len(t) // 8) * 8, "0"), 2).to_bytes(-(-len(t) // 8), "big")) for t in ids], "b string, x binary")
+    assert all(r["b"] == r["got"] for r in raw.select("b", codec.bytes_to_bits(F.col("x")).alias("got")).collect())
+    plan = raw.select(codec.bytes_to_bits(F.col("x")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan
