@@ -22,6 +22,8 @@ from tesseral.sources.ply import _open_fs
 
 RANGE_BYTES = 16 << 20
 BLOCK, ROWS = 1 << 20, 50_000
+#: A range of short lines makes more than a million corners, so they are dealt to several tasks.
+TASKS_PER_RANGE = 4
 _SCHEMAS = {
     "count": "file string, range long, vertices long, faces long, object string",
     "v": "file string, range long, place long, x double, y double, z double",
@@ -129,6 +131,7 @@ class ObjSource(DataSource):
 class Mesh:
     vertices: DataFrame  #: file, number (from 1), x, y, z
     faces: DataFrame  #: file, face (from 0), object, corners (numbers of vertices)
+    ranges: int  #: how many ranges the files have
 
 
 def read_mesh(spark: SparkSession, path: str, bytes_per_task: int = RANGE_BYTES) -> Mesh:
@@ -141,24 +144,28 @@ def read_mesh(spark: SparkSession, path: str, bytes_per_task: int = RANGE_BYTES)
     read = lambda kind: spark.read.format(ObjSource.name()).option("kind", kind).option("bytesPerTask", bytes_per_task).load(path)
     before = Window.partitionBy("file").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
-    # One short row a range.
-    bases = read("count").select(
+    # One short row a range, sent to all tasks.
+    bases = F.broadcast(read("count").select(
         "file", "range", F.coalesce(F.sum("vertices").over(before), zero).alias("_v"), F.coalesce(F.sum("faces").over(before), zero).alias("_f"), F.last("object", ignorenulls=True).over(before).alias("_o"),
-    )
+    ))
+    ranges = len(ObjReader({"path": path, "bytespertask": bytes_per_task}).partitions())
     vertices = read("v").join(bases, ["file", "range"]).select("file", (F.col("_v") + F.col("place") + 1).alias("number"), "x", "y", "z")
     seen = F.col("_v") + F.col("before")
     corners = F.transform("corners", lambda c: F.when(c < 0, seen + c + 1).otherwise(c)).alias("corners")
     faces = read("f").join(bases, ["file", "range"]).select("file", (F.col("_f") + F.col("place")).alias("face"), F.coalesce("object", "_o").alias("object"), corners)
-    return Mesh(vertices, faces)
+    return Mesh(vertices, faces, ranges)
 
 
 def triangles(mesh: Mesh) -> DataFrame:
     """file, face, part, object, ax, ay, az, bx, ..., cz: faces cut into triangles that share their first corner, each a row."""
     ok = F.when(F.size("corners") >= 3, F.size("corners") - 3).otherwise(F.raise_error(F.lit("a face has less than three corners")).cast("int"))
-    parts = mesh.faces.withColumn("part", F.explode(F.sequence(F.lit(0), ok)))
+    cut = mesh.faces.withColumn("part", F.explode(F.sequence(F.lit(0), ok)))
     which = F.array(F.col("corners")[0], F.get("corners", F.col("part") + 1), F.get("corners", F.col("part") + 2))
-    corners = parts.select("file", "face", "part", "object", F.posexplode(which).alias("_at", "number"))
-    placed = corners.join(mesh.vertices, ["file", "number"], "left")
+    corners = cut.select("file", "face", "part", "object", F.posexplode(which).alias("_at", "number"))
+    # A task's share of the corners is that of a part of a range, however large the files are.
+    parts = TASKS_PER_RANGE * mesh.ranges
+    placed = corners.repartition(parts, "file", "number").join(mesh.vertices.repartition(parts, "file", "number"), ["file", "number"], "left")
+    placed = placed.repartition(parts, "file", "face", "part", "object")
     found = F.when(F.count("x") == 3, F.lit(True)).otherwise(F.raise_error(F.lit("a face names a vertex that is not there")).cast("boolean"))
     at = [F.max(F.when(F.col("_at") == i, F.col(c))).alias(n + c) for i, n in enumerate("abc") for c in "xyz"]
     return placed.groupBy("file", "face", "part", "object").agg(found.alias("_ok"), *at).where("_ok").drop("_ok")
@@ -168,4 +175,4 @@ def transformed(mesh: Mesh, scale: float, yaw_deg: float) -> Mesh:
     """The mesh scaled and then turned about the upward axis, both about its own origin."""
     turn = F.radians(F.lit(float(yaw_deg)))
     x, y, z = (F.col(c) * scale for c in "xyz")
-    return Mesh(mesh.vertices.select("file", "number", (x * F.cos(turn) - y * F.sin(turn)).alias("x"), (x * F.sin(turn) + y * F.cos(turn)).alias("y"), z.alias("z")), mesh.faces)
+    return Mesh(mesh.vertices.select("file", "number", (x * F.cos(turn) - y * F.sin(turn)).alias("x"), (x * F.sin(turn) + y * F.cos(turn)).alias("y"), z.alias("z")), mesh.faces, mesh.ranges)

@@ -155,6 +155,12 @@ def test_meshes_of_a_folder_are_numbered_for_themselves(spark, tmp_path):
     assert {(r["file"].rpartition("/")[2], r["face"]): tuple(r[n + c] for n in "abc" for c in "xyz") for r in rows} == want
 
 
+def test_tasks_of_a_mesh_grow_with_its_files(spark, tmp_path):
+    (tmp_path / "t.obj").write_text("".join(f"v {i} 0 0\nv 0 {i} 0\nv 0 0 {i}\nf -3 -2 -1\n" for i in range(400)))
+    tasks = [obj.triangles(obj.read_mesh(spark, f"file://{tmp_path}/t.obj", size)).rdd.getNumPartitions() for size in (100_000, 1000, 500)]
+    assert tasks[1] >= 8 * tasks[0] and tasks[2] >= 1.9 * tasks[1]
+
+
 def test_mesh_odd_files(spark, tmp_path):
     (tmp_path / "e.obj").write_text("")
     assert obj.triangles(obj.read_mesh(spark, f"file://{tmp_path}/e.obj")).count() == 0
