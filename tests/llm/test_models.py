@@ -89,6 +89,30 @@ def test_toxicity_odd_rows(odd, none, spark):
     assert toxicity.score_toxicity(none, model).count() == 0
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark):
+    ids = [i for i in range(12_000) if zlib.crc32(str(i).encode()) % 5 > 1]
+    rare = {i: f"rare{k // 3}" for k, i in enumerate(ids[::97][:60])}
+    docs = spark.createDataFrame([(i, f"plain text {rare.get(i, '')}") for i in ids] + [(ids[0], f"plain text {rare[ids[0]]}")], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "0 as toxic")
+    buckets = set(toxicity.train_toxicity(docs, labels).buckets.tolist())
+    assert {toxicity._bucket(w) for w in rare.values()} <= buckets
+    assert toxicity.training_rows(docs, labels, "toxic").count() == len(ids)
+
+
+def test_lots_change_the_network_by_their_mean():
+    start = toxicity.begin(np.array([3, 5, 9]), np.array([4.0, -1.0, 0.5]))
+    moved = []
+    for words, label in (([3, 5, 7], 1), ([5, 9], 0)):
+        own = toxicity.Learner(start, 2.0)
+        own.step(start.index(np.array(words)), label)
+        moved.append((own, own.moved()))
+    (a, rows), _ = moved
+    once = toxicity.begin(start.buckets, np.array([4.0, -1.0, 0.5]))
+    once.add(rows.column(0).to_numpy(), np.stack([c.to_numpy() for c in rows.columns[2:]], axis=1) / rows.column(1).to_numpy()[:, None] / toxicity.UNIT)
+    assert np.allclose(once.embeddings, a.embeddings, atol=1e-8) and np.allclose(once.out, a.out, atol=1e-8) and abs(once.out_bias - a.out_bias) < 1e-8
+    assert all(np.allclose(once.filters[k], a.filters[k], atol=1e-8) for k in toxicity.WIDTHS) and not once.embeddings[0].any()
+
+
 def test_languages():
     from tesseral.llm.words import language_row, plain
 
