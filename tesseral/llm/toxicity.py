@@ -39,6 +39,8 @@ MOST_BUCKETS = 1 << 17
 WIDTHS = (1, 2, 3)
 FILTERS = 6
 SIZE = 8
+#: Words of a text that are looked up at once.
+LOOKED_UP = 1 << 15
 #: Changes are summed in whole numbers of 1 / UNIT, and logits counted in steps of 1 / STEPS between -FAR and FAR.
 UNIT = 1 << 30
 STEPS, FAR = 256, 30
@@ -87,20 +89,24 @@ class TextCnn:
         self.filters = {k: p.reshape(k, SIZE, FILTERS) for k, p in zip(WIDTHS, parts, strict=True)}
         self.out_bias = float(last[0])
 
-    def tables(self) -> dict[int, list[np.ndarray]]:
-        """For each width and place in it, every embedding's response to the filters there."""
-        return {k: [self.embeddings @ w[j] for j in range(k)] for k, w in self.filters.items()}
-
-    def logit(self, rows: np.ndarray, tables: dict[int, list[np.ndarray]]) -> float:
-        rows = pad(rows)
-        pooled = []
-        for k, parts in tables.items():
-            n = len(rows) - k + 1
-            response = parts[0][rows[:n]]
-            for j in range(1, k):
-                response = response + parts[j][rows[j : n + j]]
-            pooled.append(response.max(axis=0))
-        return float(np.maximum(np.concatenate(pooled) + self.bias, 0) @ self.out + self.out_bias)
+    def tables(self) -> np.ndarray:
+        """Each embedding's response to the filters, by width, place in it and filter."""
+        return np.concatenate([self.embeddings @ self.filters[k][j] for k in WIDTHS for j in range(k)], axis=1)
+
+    def logit(self, rows: np.ndarray, tables: np.ndarray) -> float:
+        rows, pooled = pad(rows), np.full((len(WIDTHS), FILTERS), -np.inf)
+        over = max(WIDTHS) - 1
+        for start in range(0, len(rows) - over, LOOKED_UP):
+            got = np.ascontiguousarray(tables[rows[start : start + LOOKED_UP + over]].T).reshape(-1, FILTERS, min(LOOKED_UP + over, len(rows) - start))
+            at = 0
+            for i, k in enumerate(WIDTHS):
+                n = got.shape[2] - k + 1
+                response = got[at][:, :n]
+                for j in range(1, k):
+                    response = response + got[at + j][:, j : n + j]
+                pooled[i] = np.maximum(pooled[i], response.max(axis=1))
+                at += k
+        return float(np.maximum(pooled.ravel() + self.bias, 0) @ self.out + self.out_bias)
 
     def score(self, logit: float, language: str) -> float:
         x = logit - self.thresholds.get(language, self.thresholds.get("", 0.0))
@@ -364,7 +370,7 @@ def score_toxicity(docs: DataFrame, model: TextCnn) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        tables = {k: [t.astype(np.float32) for t in parts] for k, parts in model.tables().items()}
+        tables = model.tables().astype(np.float32)
 
         def table_of() -> WordTable:
             rows = model.rows()

@@ -113,6 +113,21 @@ def test_lots_change_the_network_by_their_mean():
     assert all(np.allclose(once.filters[k], a.filters[k], atol=1e-8) for k in toxicity.WIDTHS) and not once.embeddings[0].any()
 
 
+def test_logits_of_parts_are_those_of_whole_texts(monkeypatch):
+    rng = np.random.default_rng(4)
+    model = toxicity.begin(np.arange(50), rng.normal(0, 3, 50))
+    tables = model.tables()
+    for n in (0, 1, 2, 3, 7, 8, 9, 200):
+        rows = toxicity.pad(rng.integers(0, 51, n))
+        x, pooled = model.embeddings[rows], []
+        for k in toxicity.WIDTHS:
+            pooled.append(np.max([sum(x[i + j] @ model.filters[k][j] for j in range(k)) for i in range(len(x) - k + 1)], axis=0))
+        want = np.maximum(np.concatenate(pooled) + model.bias, 0) @ model.out + model.out_bias
+        for most in (1, 5, 1 << 15):
+            monkeypatch.setattr(toxicity, "LOOKED_UP", most)
+            assert abs(model.logit(rows, tables) - want) < 1e-9
+
+
 def test_languages():
     from tesseral.llm.words import language_row, plain
 
