@@ -30,6 +30,8 @@ from tesseral.llm.common import stored, text_or_empty
 from tesseral.llm.words import kept
 
 
+#: Words, and parts of words, that a Python worker remembers, and as many older ones: in tasks that do nothing else, and where they send ids on too.
+WORDS, WORDS_WITH_IDS = 150_000, 20_000
 #: Up to so many bytes of counts by length and task, at 40 a row, are broadcast; beyond that they are joined by a shuffle.
 BROADCAST_BYTES = 20 << 20
 
@@ -220,12 +222,10 @@ class WordEncoder:
         return _packed([t.id for t in self.model.tokenize(part if part.isascii() else part.translate(self.latin))])
 
     def word(self, word: str) -> bytes:
-        if word.isascii():  # most words are letters and perhaps a mark
-            if word.isalpha():
-                return self.parts[word.lower()]
-            if word[-1] in ".," and word[:-1].isalpha():
-                return self.parts[word[:-1].lower()] + self.parts[word[-1]]
-        low = word.lower()
+        low = word.lower()  # most words are Latin letters and perhaps a mark
+        core = low[:-1] if low[-1] in ".," else low
+        if core.isalpha() and (core.isascii() or max(core) < "\u0250"):
+            return self.parts[core] + self.parts[low[-1]] if core is not low else self.parts[core]
         if word.isprintable() and max(low) < "\u0250" and not any(x in word for x in self.special):
             return b"".join(map(self.parts.__getitem__, self.pattern.findall(low)))
         return _packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
@@ -239,9 +239,9 @@ class WordEncoder:
         return b"".join(map(self.words.__getitem__, words))
 
 
-def word_encoder(path: str) -> WordEncoder:
+def word_encoder(path: str, most: int) -> WordEncoder:
     """The encoder of a Python worker."""
-    return kept(f"packing-{path}", lambda: WordEncoder(path))
+    return kept(f"packing-{most}-{path}", lambda: WordEncoder(path, most))
 
 
 def tokenize_pieces(docs: DataFrame, tokenizer: str, capacity: int, *, with_ids: bool = False) -> DataFrame:
@@ -257,7 +257,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, capacity: int, *, with_ids:
     out = pa.schema([*fields, ("ids", pa.binary())] if with_ids else fields)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_encoder(tokenizer)
+        encode = word_encoder(tokenizer, WORDS_WITH_IDS if with_ids else WORDS)
         task, made = TaskContext.get().partitionId(), Counter()
         for batch in batches:
             rows: list[tuple] = []

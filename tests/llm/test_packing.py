@@ -86,6 +86,18 @@ def test_word_encoder_is_the_tokenizer(documents):
         assert fast(text) == b"".join(i.to_bytes(4, "little") for i in plain.encode(text, add_special_tokens=False).ids)
 
 
+def test_words_are_remembered():
+    from itertools import product
+
+    encode, made = packing.word_encoder(tokenizer_path(), packing.WORDS), []
+    once = encode.words.encode
+    encode.words.encode = lambda word: made.append(word) or once(word)
+    words = ["".join(x) for x in product("abcdefghij", repeat=5)][:60_000]
+    texts = [" ".join(words[i : i + 500]) for i in range(0, len(words), 500)]
+    first = [encode(x) for x in texts]
+    assert [encode(x) for x in texts] == first and len(made) == len(words)
+
+
 def test_other_tokenizers_see_whole_texts():
     import public_tokenizers
     from tokenizers import Tokenizer
