@@ -110,3 +110,13 @@ def test_what_explode_made_of_a_row_is_not_broadcast(spark):
     for made in (joins.dyadic_interval_join(asked, many, ["key"], "t"), intervals.active_sets(many, ["key"], "member")):
         plan = made._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_segments_pick_their_members_from_a_row_a_bucket(spark):
+    """Pairs of a segment and a member are not dealt out and grouped again."""
+    rows = spark.createDataFrame([(k, m, a, a + 40) for k in range(3) for m in range(30) for a in range(m, 400 + m, 50)], "key int, member int, start_s int, end_s int")
+    made = intervals.active_sets(rows, ["key"], "member")
+    above = made._jdf.queryExecution().executedPlan().toString().split("SortMergeJoin")[0]
+    assert "Aggregate" not in above and "Exchange" not in above
+    assert made.exceptAll(intervals.active_sets(rows, ["key"], "member", merged=True)).isEmpty()
+    assert {(r["start_s"], r["end_s"]): r["members"] for r in made.where("key = 1 and end_s <= 3").collect()} == {(i, i + 1): list(range(i + 1)) for i in range(3)}

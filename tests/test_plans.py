@@ -55,6 +55,13 @@ def test_nominal_flight(spark):
     assert all(r["n"] == r["span"] + 1 for r in steps)
 
 
+def test_flights_are_dealt_before_they_become_samples(spark):
+    """A thousand flights lie in one file; one task made all their seconds."""
+    f = catalogue.flights(spark, "/root/testdata/sf0.1")
+    for samples in (airspace.nominal_samples(f, fixtures.END_S), airspace.actual_samples(f, fixtures.END_S)):
+        assert samples.rdd.getNumPartitions() >= 8
+
+
 def test_flights_as_flown_conform(spark):
     f = catalogue.flights(spark, "/root/testdata/sf0.01").limit(6)
     nominal = airspace.nominal_samples(f, fixtures.END_S)
