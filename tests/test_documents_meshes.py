@@ -1,3 +1,4 @@
+import gzip
 import json
 import math
 import random
@@ -9,7 +10,7 @@ from tesseral.plans import extended, scenario
 from tesseral.plans.fixtures import END_S, START_S
 from tesseral.plans.queries import flights
 from tesseral.sources import obj, tables
-from tesseral.sources.document import between, closing, list_name, opening, write_document
+from tesseral.sources.document import between, closing, list_name, opening, read_document, write_document
 
 SF = "/root/testdata/sf0.001"
 
@@ -91,6 +92,60 @@ def test_scenario_document(spark, tmp_path):
     assert all(f["conformance"]["applicable"] == f["conformance"]["inside"] + f["conformance"]["outside"] for f in doc["flights"])
 
 
+def test_compressed_document_is_read_by_blocks(spark, tmp_path):
+    doc = {"head": {"a": 1, "b": [1, 2]}, "items": [{"id": i, "rows": list(range(i % 7))} for i in range(300)], "tail": [{"x": i} for i in range(90)]}
+    leaves = [(list(p), v, n, int(p[1].strip("[")) if p[0] != "head" else 0, i) for i, (p, v) in enumerate(leaves_of(doc)) for n in [list(doc).index(p[0])]]
+    df = spark.createDataFrame(leaves, "path array<string>, value string, section int, element int, n int").repartition(5)
+    path = f"file://{tmp_path}/d.json.gz"
+    for _ in range(2):  # a second run replaces the first and its index
+        write_document(df, path, ["n"], totals="t", ranges=["section", "element"], block=400)
+        with gzip.open(tmp_path / "d.json.gz") as f:
+            got = json.load(f)
+        assert {k: got[k] for k in doc} == doc and list(got) == [*doc, "t"]
+    items = read_document(spark, path, "items array<struct<id:int,rows:array<int>>>, tail array<struct<x:int>>").collect()
+    assert len([r for r in items if r["items"]]) > 8 and len([r for r in items if r["tail"]]) > 1
+    assert sorted((i["id"], i["rows"]) for r in items for i in r["items"] or []) == [(i["id"], i["rows"]) for i in doc["items"]]
+    assert sorted(i["x"] for r in items for i in r["tail"] or []) == list(range(90))
+    assert [r["head"].asDict() for r in read_document(spark, path, "head struct<a:int,b:array<int>>").collect()] == [doc["head"]]
+    with gzip.open(tmp_path / "d.json.gz", "w") as f:  # written by another: no index holds
+        f.write(b'{"items": [{"id": 7}]}')
+    assert [r["items"][0]["id"] for r in read_document(spark, path, "items array<struct<id:int>>").collect()] == [7]
+
+
+def test_elements_that_tasks_share_are_read_as_a_whole(spark, tmp_path):
+    df = spark.range(1, 400).selectExpr("array('items', concat('[', id div 50), concat('m', id)) as path", "cast(id as string) as value", "id as n")
+    path = f"file://{tmp_path}/e.json"
+    write_document(df, path, ["n"], block=50)
+    rows = read_document(spark, path, "items array<map<string,int>>").collect()
+    assert len(rows) == 1 and {k: v for i in rows[0]["items"] for k, v in i.items()} == {f"m{i}": i for i in range(1, 400)}
+
+
+def spoiled(folder, name, keep):
+    """The document with all blocks but those of one member made unreadable."""
+    where = [json.loads(line) for line in (folder / f".{name}.index" / "blocks.json").read_text().splitlines()[:-1]]
+    data = bytearray((folder / name).read_bytes())
+    for b in where:
+        if b["member"] != keep:
+            data[b["at"] : b["at"] + b["length"]] = bytes(b["length"])
+    (folder / name).write_bytes(data)
+    return sum(b["member"] == keep for b in where)
+
+
+def small_document(spark, folder):
+    """A document of the scenario's members, of 60 flights; its path."""
+    flights = [(["flights", f"[{i}", "*"], json.dumps({"flight_id": str(i), "speed_class": "slow", "nominal_trajectory": [{"epoch_s": t} for t in range(i)], "conformance": {"inside": i}}), 1, i) for i in range(60)]
+    rows = [(["summary", "*"], '{"flights": 60, "atoms": 8}', 0, 0), *flights, *[(["overlap_segments", f"[{i}"], json.dumps({"coverage": 2 + i, "flight_ids": ["1", "2"]}), 2, i) for i in range(40)]]
+    df = spark.createDataFrame(rows, "path array<string>, value string, section int, element int")
+    write_document(df, f"file://{folder}/m.json.gz", ["section", "element"], totals="totals", block=300)
+    return f"file://{folder}/m.json.gz"
+
+
+def test_overlaps_of_a_document_are_read_alone(spark, tmp_path):
+    path = small_document(spark, tmp_path)
+    assert spoiled(tmp_path, "m.json.gz", "overlap_segments") > 3
+    assert sorted(r["coverage"] for r in scenario.read_overlaps(spark, path).collect()) == list(range(2, 42))
+
+
 def test_scenario_of_flights_without_reservations(spark, tmp_path):
     """A flight that never cruises holds nothing, and its document can be read all the same."""
     some = flights(spark, SF)
