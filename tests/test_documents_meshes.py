@@ -140,6 +140,14 @@ def small_document(spark, folder):
     return f"file://{folder}/m.json.gz"
 
 
+def test_flights_of_a_document_are_read_by_many_tasks_and_nothing_else(spark, tmp_path):
+    path = small_document(spark, tmp_path)
+    assert spoiled(tmp_path, "m.json.gz", "flights") > 16
+    read = scenario.read_flights(spark, path)
+    assert {r["flight_id"]: (r["nominal_samples"], r["actual_samples"], r["inside"]) for r in read.collect()} == {str(i): (i, 0, i) for i in range(60)}
+    assert read.rdd.getNumPartitions() > 2
+
+
 def test_overlaps_of_a_document_are_read_alone(spark, tmp_path):
     path = small_document(spark, tmp_path)
     assert spoiled(tmp_path, "m.json.gz", "overlap_segments") > 3
