@@ -148,6 +148,12 @@ def test_flights_of_a_document_are_read_by_many_tasks_and_nothing_else(spark, tm
     assert read.rdd.getNumPartitions() > 2
 
 
+def test_summary_of_a_document_is_read_alone(spark, tmp_path):
+    path = small_document(spark, tmp_path)
+    assert spoiled(tmp_path, "m.json.gz", "summary") == 1
+    assert [tuple(r) for r in scenario.read_summary(spark, path, "flights bigint, atoms bigint").collect()] == [(60, 8)]
+
+
 def test_overlaps_of_a_document_are_read_alone(spark, tmp_path):
     path = small_document(spark, tmp_path)
     assert spoiled(tmp_path, "m.json.gz", "overlap_segments") > 3
